@@ -54,7 +54,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies stays. Documents without an id stay; rows that repeat an id are one."""
     kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
     key = docs["doc_id"].cast("bigint")
-    stay = docs.join(kept, key == kept["__kept"], "left_semi")
+    stay = docs.join(kept.hint("shuffle_hash"), key == kept["__kept"], "left_semi")
     twice = docs.where(key.isNotNull()).groupBy(key.alias("k")).count().where("count > 1").limit(1).count()
     return (stay.dropDuplicates(["doc_id"]) if twice else stay).unionByName(docs.where(key.isNull()))
 

@@ -298,7 +298,8 @@ def near_duplicate_links(documents: DataFrame, copies: DataFrame, percent: int =
     rows = placed.unionByName(own.select("hub", "i", "j", F.lit(-1).alias("block"), F.col("hub").alias("doc")))
     wanted = members.select("doc").union(members.select("hub")).distinct()
     docs = documents.select(doc_id(documents).alias("doc_id"), documents["text"])
-    sets = _full_sets(docs.join(wanted, docs["doc_id"] == wanted["doc"], "left_semi"), width)
+    # texts are shuffled once and never sorted, whatever the number of ids
+    sets = _full_sets(docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted["doc"], "left_semi"), width)
     rows = rows.join(sets, "doc").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "block", "doc")
     return materialize(_linked(rows, percent), "links")
 
