@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from engramite.llm.common import bound_batches, doc_id, fold, map_batches
 
 UNDETERMINED = "und"
+UNDECIDED = 0.4
 BUCKETS = 1 << 16
 DIM = 24
 ORDERS = (1, 2, 3, 4)
@@ -148,15 +149,15 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.6,
 
 def calibrate(model: Model, z: np.ndarray, y: np.ndarray, most_lost: float = 0.002) -> None:
     """Temperature of least log loss on rows that the descent never saw; a text is rejected if no class reaches
-    half of the probability, and the threshold sinks below that where it would reject over ``most_lost`` of
-    the rightly classified rows."""
+    UNDECIDED, so that a page in two languages stays, and the threshold sinks below that where it would reject
+    over ``most_lost`` of the rightly classified rows."""
     grid = np.geomspace(0.05, 5.0, 61)
     rows = np.arange(len(y))
     loss = [-np.log(softmax(z / t)[rows, y] + 1e-12).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
     p = softmax(z / model.temperature)
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
-    model.reject_below = 0.5 if not len(right) else float(min(0.5, right[int(most_lost * len(right))]))
+    model.reject_below = UNDECIDED if not len(right) else float(min(UNDECIDED, right[int(most_lost * len(right))]))
 
 
 def sample_rows(labelled: DataFrame, max_rows: int) -> DataFrame:
