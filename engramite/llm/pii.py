@@ -107,7 +107,6 @@ def _glyphs() -> dict[str, str]:
 
 
 _GLYPHS = _glyphs()
-_GLYPH = re.compile("[" + "".join(map(re.escape, sorted(_GLYPHS))) + "]")
 _ENTITY = re.compile(r"&(?:#0*(\d{2,5})|#[xX]0*([0-9a-fA-F]{2,4})|(commat|period|plus|hyphen));")
 _NAMED = {"commat": "@", "period": ".", "plus": "+", "hyphen": "-"}
 
@@ -211,8 +210,8 @@ def _numbers(m: re.Match) -> list[tuple[int, int, str]]:
 def normalise(text: str) -> _Tape:
     """The chain of transducers. A transducer without a trigger in the text costs one scan."""
     tape = _Tape(text)
-    if not text.isascii() and _GLYPH.search(text):
-        tape.rewrite([(m.start(), m.end(), _GLYPHS[m[0]]) for m in _GLYPH.finditer(tape.text)])
+    if not text.isascii() and not _GLYPHS.keys().isdisjoint(text):
+        tape.rewrite([(i, i + 1, _GLYPHS[c]) for i, c in enumerate(text) if c in _GLYPHS])
     if "&" in tape.text:
         edits = []
         for m in _ENTITY.finditer(tape.text):
