@@ -7,9 +7,11 @@ for each way to leave out that many symbols, and every such pair shares an index
 11 of 24; at a similarity of 0.75 a pair shares a key with probability 0.9997, above it with more.)
 
 Nothing emits all pairs of a key. Exact copies first shrink to one document. The smallest document of a key is its hub; the
-documents of all keys with one hub form a group. A group is compared on full sets, in pairs of
-blocks of bounded size that go to different tasks; documents that the hub already links are not compared with each other again, and
-a task emits only links that join what was apart. Components then follow from the links by joins.
+documents of all keys with one hub form a group. A group is dealt to blocks of bounded size; each block is compared on full
+sets with the hub and within itself, one row per document. Only documents that the hub does not link then
+meet the other blocks, so a group of near copies of one text costs rows in proportion to its size; the worst case, a group of
+many blocks of which the hub links little, costs rows by blocks. A task emits only links that join what was apart.
+Components then follow from the links by joins.
 
 Defined cases: documents without words, and null texts, have empty sets and are linked with nothing; fewer than
 ``width`` words make one shingle; vertices are document ids, so rows that repeat an id are one document, and its component holds what any of
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engramite.llm.common import bound_batches, doc_id, map_batches, materialize
@@ -291,13 +293,38 @@ def near_duplicate_links(documents: DataFrame, copies: DataFrame, percent: int =
     keyed = copies.where("n > 0").select(F.col("doc_id").alias("doc"), "n", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("top")).where("hub <> top").select("key", "hub")
     members = materialize(keyed.join(hubs, "key").where("doc <> hub").select("hub", "doc", "n").distinct(), "members")
-    sizes = members.groupBy("hub").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("q"))
-    placed = members.join(sizes, "hub").select("hub", "doc", "q", F.when(F.col("q") > 1, F.pmod(F.xxhash64("doc", "hub"), F.col("q")).cast("int")).otherwise(0).alias("block"))
-    placed = placed.select("hub", "doc", "block", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("other")).select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc")
-    own = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("i"), "q").select("hub", "i", F.explode(F.sequence(F.col("i"), F.col("q") - 1)).alias("j"))
-    rows = placed.unionByName(own.select("hub", "i", "j", F.lit(-1).alias("block"), F.col("hub").alias("doc")))
-    wanted = members.select("doc").union(members.select("hub")).distinct()
+    sizes = materialize(members.groupBy("hub").agg(_blocks().alias("q")), "sizes")
+    placed = members.join(sizes, "hub").select("hub", _dealt(F.col("q")).alias("i"), "doc")
+    own = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("i"), F.col("hub").alias("doc"))
+    rows = placed.withColumn("block", F.col("i")).unionByName(own.withColumn("block", F.lit(-1))).withColumn("j", F.col("i"))
+    links = _compared(documents, rows, percent, width)
+    # in groups of several blocks, what the hub does not link is compared with all others too
+    several = members.join(sizes.where("q > 1").select("hub"), "hub", "left_semi")
+    found = links.select(F.col("a").alias("hub"), F.col("b").alias("doc"), F.lit(True).alias("found"))
+    several = materialize(several.join(found.distinct(), ["hub", "doc"], "left").select("hub", "doc", "n", F.col("found").isNull().alias("rest")), "several")
+    if not several.where("rest").limit(1).count():
+        return links
+    rest, linked = several.where("rest"), several.where("not rest")
+    most = rest.groupBy("hub").agg(_blocks().alias("r")).join(linked.groupBy("hub").agg(_blocks().alias("l")), "hub", "left").fillna(0, ["l"])
+    placed = several.join(most, "hub").withColumn("block", F.when(F.col("rest"), _dealt(F.col("r"))).otherwise(F.col("r") + _dealt(F.greatest("l", F.lit(1)))))
+    others = F.when(F.col("rest"), F.sequence(F.lit(0), F.col("r") + F.col("l") - 1)).otherwise(F.sequence(F.lit(0), F.col("r") - 1))
+    rows = placed.select("hub", "doc", "block", F.explode(others).alias("other")).select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc")
+    return links.unionByName(_compared(documents, rows, percent, width))
+
+
+def _blocks() -> Column:
+    """How many blocks of bounded size the rows of a group fill."""
+    return F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int")
+
+
+def _dealt(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("doc", "hub"), blocks).cast("int")
+
+
+def _compared(documents: DataFrame, rows: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links within the groups of rows (hub, i, j, block, doc), on full sets."""
     docs = documents.select(doc_id(documents).alias("doc_id"), documents["text"])
+    wanted = rows.select("doc").distinct()
     # texts are shuffled once and never sorted, whatever the number of ids
     sets = _full_sets(docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted["doc"], "left_semi"), width)
     rows = rows.join(sets, "doc").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "block", "doc")

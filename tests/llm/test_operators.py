@@ -70,6 +70,11 @@ def test_pii_disguises_map_back_to_the_source(text, kind, found):
     assert (kind, found) in [(k, text[a:b]) for k, a, b in added], (base, added)
 
 
+def test_pii_long_runs_of_zeros_are_one_part():
+    text = f"{'0' * 5000}.1.2.3 {'9' * 5000}.1.2.3"
+    assert [x for x in pii.detect(text) if x[0] == "ip"] == [("ip", 0, 5006)]
+
+
 def test_pii_leaves_clean_text_alone():
     for text in ("We met at noon. Dot the i.", "One or two of them, three at most; four five six.", "naïve café", "the cat sat at the door dot", "Look at that. Point taken."):
         assert pii.find(text) == ([], [])
@@ -269,6 +274,17 @@ def test_blocks_lose_no_link(docs, corpus, monkeypatch):
     assert sorted((r[0], r[1], r[2]) for r in got if r[0] is not None) == sorted((i, n, c) for i, n, c in brute_components(corpus) if i is not None)
 
 
+def test_chains_that_leave_their_hub_stay_whole(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", 2)
+    words, chain = [f"w{k}" for k in range(120)], []
+    for i in range(30):
+        words[3 * i] = f"e{i}"
+        chain.append((i, " ".join(words)))
+    chain += [(100 + i, f"{chain[0][1]} end{i}") for i in range(10)]
+    got = rows(neardup.near_duplicates(spark.createDataFrame(chain, "doc_id bigint, text string")))
+    assert sorted((r[0], r[1], r[2]) for r in got) == sorted(brute_components(chain)) and {r[2] for r in got} == {0}
+
+
 def test_pairs_within_the_distance_share_a_key():
     rng = np.random.default_rng(1)
     for _ in range(2000):
