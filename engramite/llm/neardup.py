@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engramite.llm.common import bound_batches, doc_id, map_batches, materialize
+from engramite.llm.common import bound_batches, discard, doc_id, map_batches, materialize
 from engramite.plans.components import connected_components
 
 WIDTH, BITS, CHUNKS, CHUNK = 5, 16, 6, 4
@@ -297,19 +297,26 @@ def near_duplicate_links(documents: DataFrame, copies: DataFrame, percent: int =
     placed = members.join(sizes, "hub").select("hub", _dealt(F.col("q")).alias("i"), "doc")
     own = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("i"), F.col("hub").alias("doc"))
     rows = placed.withColumn("block", F.col("i")).unionByName(own.withColumn("block", F.lit(-1))).withColumn("j", F.col("i"))
-    links = _compared(documents, rows, percent, width)
+    # texts are shuffled once and never sorted, whatever the number of ids; both comparisons read the sets
+    wanted = members.select("doc").union(members.select("hub")).distinct()
+    docs = documents.select(doc_id(documents).alias("doc_id"), documents["text"])
+    sets = materialize(_full_sets(docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted["doc"], "left_semi"), width), "sets")
+    links = _compared(sets, rows, percent)
     # in groups of several blocks, what the hub does not link is compared with all others too
     several = members.join(sizes.where("q > 1").select("hub"), "hub", "left_semi")
     found = links.select(F.col("a").alias("hub"), F.col("b").alias("doc"), F.lit(True).alias("found"))
     several = materialize(several.join(found.distinct(), ["hub", "doc"], "left").select("hub", "doc", "n", F.col("found").isNull().alias("rest")), "several")
     if not several.where("rest").limit(1).count():
+        discard(sets)
         return links
     rest, linked = several.where("rest"), several.where("not rest")
     most = rest.groupBy("hub").agg(_blocks().alias("r")).join(linked.groupBy("hub").agg(_blocks().alias("l")), "hub", "left").fillna(0, ["l"])
     placed = several.join(most, "hub").withColumn("block", F.when(F.col("rest"), _dealt(F.col("r"))).otherwise(F.col("r") + _dealt(F.greatest("l", F.lit(1)))))
     others = F.when(F.col("rest"), F.sequence(F.lit(0), F.col("r") + F.col("l") - 1)).otherwise(F.sequence(F.lit(0), F.col("r") - 1))
     rows = placed.select("hub", "doc", "block", F.explode(others).alias("other")).select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc")
-    return links.unionByName(_compared(documents, rows, percent, width))
+    links = links.unionByName(_compared(sets, rows, percent))
+    discard(sets)
+    return links
 
 
 def _blocks() -> Column:
@@ -321,12 +328,8 @@ def _dealt(blocks: Column) -> Column:
     return F.pmod(F.xxhash64("doc", "hub"), blocks).cast("int")
 
 
-def _compared(documents: DataFrame, rows: DataFrame, percent: int, width: int) -> DataFrame:
+def _compared(sets: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Links within the groups of rows (hub, i, j, block, doc), on full sets."""
-    docs = documents.select(doc_id(documents).alias("doc_id"), documents["text"])
-    wanted = rows.select("doc").distinct()
-    # texts are shuffled once and never sorted, whatever the number of ids
-    sets = _full_sets(docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted["doc"], "left_semi"), width)
     rows = rows.join(sets, "doc").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "block", "doc")
     return materialize(_linked(rows, percent), "links")
 
