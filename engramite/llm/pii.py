@@ -117,6 +117,8 @@ DIGIT_WORDS = {
     "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
+# What the patterns below also take for i and s, as they ignore case.
+_FOLDED = {0x131: "i", 0x307: None, 0x17F: "s"}
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 # A run of number words, digits and what may stand between them; at least three words or digits in a row.
 _RUN = re.compile(
@@ -131,7 +133,7 @@ _AT = r"at|arroba|arobase|klammeraffe"
 _DOT = r"dot|punto|punkt|point"
 _BRACKETED = re.compile(rf"\s{{0,3}}(?:\[\s?|\(\s?|\{{\s?|<\s?|_+|-+)(?:({_AT}|@)|({_DOT}|\.))(?:\s?\]|\s?\)|\s?\}}|\s?>|_+|-+)\s{{0,3}}", re.IGNORECASE)
 # local at label dot label (dot label)*, all in words; or with spaces about the signs. A full stop before a space ends a sentence.
-_LABELS = r"[A-Za-z0-9._%+-]+"
+_LABELS = r"[A-Za-z0-9._%+-]++"
 _DOT_WORD = rf"\s+(?:{_DOT})\s+"
 _SPACED = re.compile(
     rf"(?<![A-Za-z0-9._%+-]){_LABELS}(?:{_DOT_WORD}{_LABELS}){{0,3}}"
@@ -200,7 +202,7 @@ def _numbers(m: re.Match) -> list[tuple[int, int, str]]:
             last_end = b
             continue
         elif word:
-            edits.append((m.start() + a, m.start() + b, DIGIT_WORDS[word.lower()] * times))
+            edits.append((m.start() + a, m.start() + b, DIGIT_WORDS[word.lower().translate(_FOLDED)] * times))
         elif dot:
             edits.append((m.start() + a, m.start() + b, "."))
         times, last_word, last_end = 1, bool(word), b
@@ -208,7 +210,8 @@ def _numbers(m: re.Match) -> list[tuple[int, int, str]]:
 
 
 def normalise(text: str) -> _Tape:
-    """The chain of transducers. A transducer without a trigger in the text costs one scan."""
+    """The chain of transducers. A transducer without a trigger in the text costs one scan; each trigger is a part
+    that every match of its transducer has, built from the same tables."""
     tape = _Tape(text)
     if not text.isascii() and not _GLYPHS.keys().isdisjoint(text):
         tape.rewrite([(i, i + 1, _GLYPHS[c]) for i, c in enumerate(text) if c in _GLYPHS])
@@ -219,27 +222,22 @@ def normalise(text: str) -> _Tape:
             if 32 <= code < 127:
                 edits.append((m.start(), m.end(), chr(code)))
         tape.rewrite(edits)
-    low = tape.text.lower()
-    spelled = low.count(" one") + low.count(" two") + low.count(" three") + low.count(" four") + low.count(" five") + low.count(" six") + low.count(" seven") + low.count(" eight") + low.count(" nine") + low.count(" zero") + low.count(" double")
-    if spelled < 3:
-        spelled += sum(low.count(w) for w in (" deux", " trois", " quatre", " zwei", " drei", " vier", " cuatro", " cinco", " siete", " nueve"))
-    if spelled >= 3 or ("-" in low and "-two-" in low):
+    if _HAS_WORD.search(tape.text):
         tape.rewrite([e for m in _RUN.finditer(tape.text) for e in _numbers(m)])
-    if any(w in low for w in ("dot", "punto", "punkt", "point", "arroba", "arobase", "klammeraffe", "@", "(at", "[at", "{at", "<at", "[ at", "( at", "_at_", "-at-")):
-        text = tape.text
-        if _BRACKET_HINT.search(text):
-            tape.rewrite([(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(text) if _between_words(text, m)])
+    if _BRACKET_HINT.search(tape.text):
         text = tape.text
+        tape.rewrite([(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(text) if _between_words(text, m)])
+    if _SPACED_HINT.search(tape.text):
         edits = []
-        if " dot " in (spaced := text.lower()) or any(f" {w} " in spaced for w in ("punto", "punkt", "point", "arroba", "arobase")) or " @" in text or "@ " in text:
-            for m in _SPACED.finditer(text):
-                for s in _SIGN.finditer(text, *m.span()):
-                    edits.append((s.start(), s.end(), "@" if s[1] or s[3] else "."))
+        for m in _SPACED.finditer(tape.text):
+            for s in _SIGN.finditer(tape.text, *m.span()):
+                edits.append((s.start(), s.end(), "@" if s[1] or s[3] else "."))
         tape.rewrite(edits)
     return tape
 
 
 _BRACKET_HINT = re.compile(rf"[\[({{<_-]\s?(?:{_AT}|{_DOT}|@|\.)\s?[\])}}>_-]", re.IGNORECASE)
+_SPACED_HINT = re.compile(rf"@|\s(?:{_DOT})\s", re.IGNORECASE)
 
 
 def _between_words(text: str, m: re.Match) -> bool:

@@ -70,6 +70,32 @@ def test_pii_disguises_map_back_to_the_source(text, kind, found):
     assert (kind, found) in [(k, text[a:b]) for k, a, b in added], (base, added)
 
 
+def test_pii_spelled_digits_of_every_language_and_separator():
+    words = list(pii.DIGIT_WORDS)
+    for language in (words[:11], words[11:20], words[20:30], words[30:]):
+        for sep in (" ", "-", "\n", ", ", "  "):
+            for start in range(len(language)):
+                number = "plus" + sep.replace(",", "") + sep.join(language[(start + i) % len(language)] for i in range(12))
+                assert ("phone", 5, 5 + len(number)) in pii.find(f"call {number} today")[1], number
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("at 192[.]168[.]0[.]1 now", "ip", "192[.]168[.]0[.]1"),
+        ("at 192.168.zero.1 now", "ip", "192.168.zero.1"),
+        ("mail jane@example . com now", "email", "jane@example . com"),
+        ("mail jane { at } example { dot } org now", "email", "jane { at } example { dot } org"),
+        ("mail jane < arroba > example < punto > org now", "email", "jane < arroba > example < punto > org"),
+        ("mail jane\tat\nexample\ndot\tcom", "email", "jane\tat\nexample\ndot\tcom"),
+        ("card FİVE ſix one one one one one one one one one one one one one eight", "card", None),
+    ],
+)
+def test_pii_no_trigger_is_narrower_than_its_transducer(text, kind, found):
+    hits = [(k, text[a:b]) for k, a, b in pii.find(text)[1]]
+    assert (kind, found) in hits if found else hits == []
+
+
 def test_pii_long_runs_of_zeros_are_one_part():
     text = f"{'0' * 5000}.1.2.3 {'9' * 5000}.1.2.3"
     assert [x for x in pii.detect(text) if x[0] == "ip"] == [("ip", 0, 5006)]
