@@ -3,8 +3,8 @@
 Base kinds are assign, access and hex. Beyond them, each long run of the characters that keys are written in
 is encoded with a public byte-pair vocabulary: words of any language compress to several characters per token,
 random strings hardly do. A run of fewer than ``max_ratio`` characters per token becomes a span of kind
-``random``, unless it is a known form of digest (pure hexadecimal), an identifier (UUID, version, date, number, path,
-words joined by separators or by capitals), or touches a base span.
+``random``, unless it is a known form of digest (pure hexadecimal), a UUID or a number, touches a base span, or is made of
+words: parts between separators, digits and capitals that are cheap in tokens themselves make up most of it.
 
 Defined cases: a null text is empty and has no spans; the digest of no spans is that of an empty string; rows are judged
 one by one, so repeated rows, null ids and extra columns change nothing; an empty table gives an empty result.
@@ -33,7 +33,7 @@ _DIGEST = re.compile(r"(?:sha\d*[-:=])?(?:[0-9a-fA-F]+|0x[0-9a-fA-F]+)")
 _UUID = re.compile(r"[{]?[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}[}]?")
 _NUMBER = re.compile(r"[0-9+/_=-]+")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
-MIN_LENGTH, MAX_RATIO, MAX_LENGTH = 20, 2.1, 512
+MIN_LENGTH, MAX_RATIO, MAX_LENGTH, WORD_RATIO = 20, 2.1, 512, 2.5
 
 
 def detect(text: str) -> list[tuple[str, int, int]]:
@@ -52,14 +52,14 @@ def ordered(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 
 
 def known_form(s: str) -> bool:
-    """Digests and identifiers: not secrets by themselves."""
-    if _DIGEST.fullmatch(s) or _UUID.fullmatch(s) or _NUMBER.fullmatch(s):
-        return True
-    if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
-        return True
-    parts = _PART.findall(s)
-    words = sum(len(p) for p in parts if len(p) >= 4 and p.isalpha())
-    return words >= 0.6 * len(s)
+    """Digests, UUIDs and numbers: not secrets by themselves."""
+    return bool(_DIGEST.fullmatch(s) or _UUID.fullmatch(s) or _NUMBER.fullmatch(s))
+
+
+def made_of_words(s: str, encoding) -> bool:
+    """Whether parts that the vocabulary knows as words, in lower case, make up most of it. Length alone makes no word."""
+    words = (p for p in _PART.findall(s) if len(p) >= 4 and p.isalpha())
+    return sum(len(p) for p in words if len(p) >= WORD_RATIO * len(encoding.encode_ordinary(p.lower()))) >= 0.6 * len(s)
 
 
 def load_encoding(path: str, pattern: str):
@@ -78,7 +78,7 @@ def random_runs(text: str, base: list[tuple[str, int, int]], encoding, max_ratio
             continue
         # Whole runs are judged; the longest are judged by equal parts, of which every one must be as random.
         parts = [s[i : i + MAX_LENGTH] for i in range(0, len(s), MAX_LENGTH)]
-        if all(len(p) < max_ratio * len(encoding.encode_ordinary(p)) for p in parts):
+        if all(len(p) < max_ratio * len(encoding.encode_ordinary(p)) for p in parts) and not made_of_words(s, encoding):
             found.append(("random", *m.span()))
     return found
 

@@ -150,6 +150,21 @@ def test_secrets_random_strings_and_known_forms():
 # --- language
 
 
+def test_secrets_recall_on_random_keys_of_every_alphabet():
+    encoding, rng = secrets.load_encoding(*secrets.default_vocabulary()), random.Random(5)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for letters in (lower, upper, lower + upper, upper + "234567", lower + digits, upper + digits, lower + upper + digits, lower + upper + digits + "+/"):
+        for length in (20, 32, 64):
+            keys = ["".join(rng.choice(letters) for _ in range(length)) for _ in range(200)]
+            assert sum(bool(secrets.find(f"key {k} end", encoding)[1]) for k in keys) >= 192, (letters, length)
+
+
+def test_secrets_words_are_no_keys():
+    encoding = secrets.load_encoding(*secrets.default_vocabulary())
+    for name in ("getUserNameFromDatabaseConnection", "MAX_CONCURRENT_REQUESTS_PER_HOST", "org/apache/spark/sql/catalyst/expressions", "ANTICONSTITUTIONNELLEMENT", "feature/JIRA-1234-fix-login-page"):
+        assert secrets.find(name, encoding) == ([], []), name
+
+
 def test_language_held_out(docs, clashing, nothing, corpus):
     got = rows(langid.identify_language(docs))
     lang = {d[0]: d[2] for d in corpus}
