@@ -52,8 +52,9 @@ def bm25(texts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int, earlier: bool = False) -> DataFrame:
     """Exact neighbours by distance: (query_id, id, distance, rank). vectors(id, embedding), queries(query_id, embedding).
+    With earlier, a query meets only ids up to its own, as when it was stored.
 
     Queries go out in blocks of QUERY_BLOCK vectors, so what is broadcast is bounded; each batch of vectors meets a block in one matrix
     product and keeps its k best, so few rows are shuffled."""
@@ -74,7 +75,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 own, x = np.array([i for i, _ in got]), np.array([e for _, e in got], np.float64)
                 d = np.round(np.sqrt(np.maximum(square[:, None] + (x * x).sum(1)[None, :] - 2 * (m @ x.T), 0)), 6)
                 for row in range(len(m)):
-                    best = np.lexsort((own, d[row]))[:k]
+                    met = np.flatnonzero(own <= query_ids[row]) if earlier else np.arange(len(own))
+                    best = met[np.lexsort((own[met], d[row][met]))[:k]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), query_ids[row])), pa.array(own[best]), pa.array(d[row][best])], names=["query_id", "id", "distance"])
 
         return vectors.select(F.col("id").cast("bigint").alias("id"), "embedding").mapInArrow(run, "query_id bigint, id bigint, distance double")

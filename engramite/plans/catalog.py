@@ -377,11 +377,21 @@ def _trusted(s, d) -> DataFrame:
     return m.select("id", "content", (F.coalesce("confidence", F.lit(1.0)) * F.col("reputation")).alias("trust"), F.col("importance_score").alias("importance"))
 
 
+def _contradictions(s, d) -> DataFrame:
+    ship_package(s)
+    m = model.memories(s, d)
+    return curation.contradictions(store.with_provenance(m, model.provenance(s, d)), _embedded(m))
+
+
+@query()
+def contradictions(s, d):
+    """Of all memories; contradiction_candidates shows the test of words on versions only, as its SQL does."""
+    return _contradictions(s, d).select("new_id", "old_id", F.round("similarity", 6).alias("similarity"), F.round("distance", 6).alias("distance"))
+
+
 @query()
 def resolve_contradictions(s, d):
-    m = _trusted(s, d)
-    pairs = m.where("id % 2 = 1").select(F.col("id").alias("new_id"), (F.col("id") - 1).alias("old_id"), F.lit(0.9).alias("similarity"))
-    return curation.resolve_contradictions(pairs, m.select("id", "trust"))
+    return curation.resolve_contradictions(_contradictions(s, d), _trusted(s, d).select("id", "trust"))
 
 
 @query()

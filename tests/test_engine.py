@@ -157,6 +157,42 @@ def test_consolidation_keeps_the_most_trusted(spark):
     assert [(r.old_id, r.outcome) for r in curation.resolve_contradictions(c, trust).orderBy("old_id").collect()] == [(1, "archived_old"), (2, "kept_old")]
 
 
+def test_contradictions_equal_brute_force(spark, tables, tmp_path):
+    import shutil
+
+    import numpy as np
+
+    folder, con = str(tmp_path / "sf"), tables[1]
+    shutil.copytree(tables[0], folder)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["x", "y", w, w, w]) for w in "the database port of the server and the password in dark mode".split()) for _ in range(60)]
+    con.execute("create table near_copies(doc_id bigint, text varchar, lang varchar, source varchar, n_chars bigint)")
+    con.executemany("insert into near_copies values (?, ?, 'en', ?, 1)", [(i, t, f"src{i % 3}") for i, t in enumerate(texts)])
+    con.execute(f"copy near_copies to '{folder}/documents.parquet' (format parquet)")
+    m = store.with_provenance(catalog.model.memories(spark, folder), catalog.model.provenance(spark, folder)).collect()
+    trust = {r.id: r.trust for r in catalog._trusted(spark, folder).collect()}
+    e = {r.id: np.array(emb.embed(r.content), np.float32).astype(float) for r in m}
+    by, want, folds = {r.id: r for r in m}, {}, []
+    for new in sorted((r for r in m if r.valid_until is None), key=lambda r: r.id):
+        dist = {i: round(float(np.sqrt(((e[i] - e[new.id]) ** 2).sum())), 6) for i in e if i <= new.id}
+        going = True
+        for i in sorted(dist, key=lambda i: (dist[i], i))[:20]:
+            old, s = by[i], max(0.0, 1 - dist[i] ** 2 / 2)
+            x, y = set(new.content.lower().split()), set(old.content.lower().split())
+            d = 1 - len(x & y) / len(x | y)
+            same = old.source_type == new.source_type == "agent" and old.source_id == new.source_id
+            if i == new.id or s <= 0.7 or old.valid_until is not None or old.namespace not in ("shared", new.namespace) or same or not 0 < d < 0.65:
+                continue
+            want[new.id, i] = round(d, 6)
+            if going:
+                going = trust[new.id] > trust[i]
+                folds.append((new.id, i, i if going else new.id, "archived_old" if going else "kept_old"))
+    got = {(r.new_id, r.old_id): r.distance for r in catalog.QUERIES["contradictions"](spark, folder).collect()}
+    assert got == want and any(a - b > 1 for a, b in got)
+    assert sorted(map(tuple, catalog.QUERIES["resolve_contradictions"](spark, folder).collect())) == sorted(folds)
+    assert {a % 2 for a, *_ in folds} == {0, 1} and len({a for a, *_ in folds}) < len(folds) < len(want)
+
+
 def test_word_diff():
     assert curation.word_diff("the port is 3000.", "the port is 8080.") == "the port is [-3000.-][+8080.+]"
     assert curation.word_diff("", "a") == "[+a+]" and curation.word_diff("a b", "a b") == "a b"
