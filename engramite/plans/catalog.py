@@ -416,6 +416,14 @@ def file_history(s, d):
     return store.entity_memories(first, model.edges(s, d), m).join(m.select(F.col("id").alias("memory_id"), "created_at"), "memory_id").select("memory_id", "created_at")
 
 
+@query(", e AS (SELECT DISTINCT l_partkey AS p, l_orderkey AS o FROM lineitem) SELECT p AS entity_id, o AS memory_id, act.created_at FROM e JOIN act ON o = act.id JOIN part ON p = p_partkey", "act")
+def file_histories(s, d):
+    """file_history of every entity."""
+    m = store.active(model.memories(s, d)).select(F.col("id").alias("memory_id"), "created_at")
+    e = model.edges(s, d).select(F.col("source_id").alias("entity_id"), F.col("target_id").alias("memory_id"))
+    return e.join(m, "memory_id").join(model.entities(s, d).select(F.col("id").alias("entity_id")), "entity_id").select("entity_id", "memory_id", "created_at")
+
+
 @query(", names AS (SELECT token AS name FROM tok WHERE token <> '' GROUP BY token ORDER BY count(*) DESC, token LIMIT 100) SELECT m.id AS memory_id, name FROM mem m JOIN names ON contains(lower(content), name)", "tok")
 def implicit_entity_edges(s, d):
     m = model.memories(s, d)
@@ -429,11 +437,22 @@ def implicit_entity_edges(s, d):
     " w(q, n, depth) AS (SELECT q, n, 0 FROM seeds UNION SELECT w.q, b.b, depth + 1 FROM w JOIN b ON w.n = b.a WHERE depth < 3) SELECT q AS query_id, n AS node, min(depth)::int AS depth FROM w GROUP BY q, n"
 )
 def graph_bfs(s, d):
-    e = model.edges(s, d).select((2 * F.col("source_id")).alias("a"), (2 * F.col("target_id") + 1).alias("b"))
+    e = _nodes(model.edges(s, d))
     seeds = model.entities(s, d).orderBy("id").limit(5).select(F.col("id").alias("query_id"), (2 * F.col("id")).alias("node"))
     return graph.expand(seeds, e, 3)
 
 
+def _nodes(edges: DataFrame) -> DataFrame:
+    """Entities are even nodes, memories odd ones."""
+    return edges.select((2 * F.col("source_id")).alias("a"), (2 * F.col("target_id") + 1).alias("b"))
+
+
+@query()
+def graph_neighbourhoods(s, d):
+    """graph_bfs from every entity, to the operator's own depth."""
+    return graph.expand(model.entities(s, d).select(F.col("id").alias("query_id"), (2 * F.col("id")).alias("node")), _nodes(model.edges(s, d)))
+
+
 _CHAINS = ", t AS (SELECT id AS a, parent_id AS b FROM mem WHERE parent_id IS NOT NULL), b AS (SELECT a, b FROM t UNION SELECT b, a FROM t), r(x, y) AS (SELECT a, b FROM b UNION SELECT r.x, b.b FROM r JOIN b ON r.y = b.a), ch AS (SELECT x, min(y) AS y FROM r GROUP BY x), chain AS (SELECT id, least(id, coalesce(y, id)) AS chain FROM mem LEFT JOIN ch ON id = x)"
 
 
