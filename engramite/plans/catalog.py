@@ -496,8 +496,29 @@ def _scored(s, d) -> DataFrame:
     return rows.withColumn("score", context.candidate_score(F.col("base"), F.col("last_accessed"), F.lit(1.0), NOW))
 
 
+def _in_context(s, d) -> DataFrame:
+    """The whole builder: hybrid hits, what the graph reaches from them and from entities that the query names, decay and reputation."""
+    m, v = model.memories(s, d), model.vectors(s, d)
+    act, p, ev, names = store.active(m), model.provenance(s, d), model.agent_events(s, d), model.entities(s, d)
+    queries = _queries_both(m, v).select("query_id", F.coalesce("query", F.lit("")).alias("query"), "embedding")
+    hits = materialize(retrieval.hybrid_search(m, v, p, ev, queries, 5, namespace="all").select("query_id", "id", "score"), "hits")
+    implied = graph.implied_edges(act, names).select((2 * F.col("entity_id")).alias("a"), (2 * F.col("memory_id") + 1).alias("b"))
+    named = graph.implied_edges(queries.select(F.col("query_id").alias("id"), F.col("query").alias("content")), names).select(F.col("memory_id").alias("query_id"), (2 * F.col("entity_id")).alias("node"))
+    seeds = hits.select("query_id", (2 * F.col("id") + 1).alias("node")).union(named)
+    reached = graph.expand(seeds, materialize(_nodes(model.edges(s, d)).union(implied), "edges")).where("node % 2 = 1").select("query_id", ((F.col("node") - 1) / 2).cast("bigint").alias("id"))
+    rows = context.candidates(hits, reached).join(store.with_provenance(act, p), "id")
+    rows = store.reputation_of(rows, store.agent_stats(ev))
+    return rows.withColumn("score", context.candidate_score(F.col("base"), F.col("last_accessed"), F.col("reputation"), NOW)).select("query_id", "id", "content", "source", "score")
+
+
+@query()
+def context_candidates(s, d):
+    """All that may enter a context; context_scoring shows the decay of vector neighbours only, as its SQL does."""
+    return _in_context(s, d).select("query_id", "id", "source", F.round("score", 6).alias("score"))
+
+
 def _packed(s, d) -> DataFrame:
-    rows = _scored(s, d)
+    rows = materialize(_in_context(s, d), "candidates")
     taken = context.pack_context(rows.select("query_id", "id", "content", "score", context.budget(F.lit(4000), F.lit("debugging")).alias("budget")))
     return taken.join(rows.select("query_id", "id", "content"), ["query_id", "id"]).select("query_id", "position", "id", "tokens", "content", F.lit("debugging").alias("intent"), F.lit("critical").alias("urgency"))
 

@@ -241,6 +241,36 @@ def test_neighbourhoods_of_every_entity(spark, tables):
     assert len({r.entity_id for r in catalog.QUERIES["file_histories"](spark, folder).collect()}) > 1
 
 
+def test_context_holds_hits_hops_and_reputation(spark, tables):
+    import math
+
+    folder, con = tables
+    ties = {}
+    for o, p in con.execute("select distinct l_orderkey, l_partkey from lineitem").fetchall():
+        ties.setdefault(2 * p, set()).add(2 * o + 1)
+        ties.setdefault(2 * o + 1, set()).add(2 * p)
+    m = store.with_provenance(store.active(catalog.model.memories(spark, folder)), catalog.model.provenance(spark, folder))
+    m = {r.id: r for r in store.reputation_of(m, store.agent_stats(catalog.model.agent_events(spark, folder))).collect()}
+    hits, want = {}, {}
+    for r in catalog.QUERIES["hybrid_search"](spark, folder).collect():
+        hits.setdefault(r.query_id, {})[r.id] = r.score
+    for q, found in hits.items():
+        seen = frontier = {2 * i + 1 for i in found}
+        for _ in range(6):
+            frontier = {b for a in frontier for b in ties.get(a, ())} - seen
+            seen = seen | frontier
+        for i in {n // 2 for n in seen if n % 2} & m.keys():
+            base = found.get(i, 0.5 * max(found.values()))
+            want[q, i] = ("search" if i in found else "hop", base * math.exp(-0.01 * max(0, catalog.NOW - m[i].last_accessed) / 3600) * m[i].reputation)
+    rows = catalog.QUERIES["context_candidates"](spark, folder).collect()
+    got = {(r.query_id, r.id): (r.source, r.score) for r in rows}
+    assert len(rows) == len(want) and got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-6) for k in want)
+    assert {x for x, _ in got.values()} == {"search", "hop"} and any(r.reputation != 1 for r in m.values())
+    packed = {(r.query_id, r.id) for r in catalog.QUERIES["context_pack"](spark, folder).collect()}
+    assert packed <= got.keys() and any(got[k][0] == "hop" for k in packed)
+
+
 def test_audit_detects_changes_and_signatures(spark):
     rows = spark.createDataFrame([(i, "k", f"p{i}") for i in range(5)], "id bigint, key string, payload string")
     chained = audit.chain(rows, "key", "id", F.col("payload")).cache()
