@@ -283,6 +283,24 @@ def test_audit_detects_changes_and_signatures(spark):
     assert again.verify("text", keys.sign("text")) and not again.verify("text2", keys.sign("text")) and not again.verify("text", "AAAA")
 
 
+def test_every_head_is_signed_as_the_jvm_would(spark):
+    keys = audit.Keys(spark)
+    heads = spark.createDataFrame([(i, f"head {i}") for i in range(60)], "user_id bigint, head string")
+    got = audit.sign_heads(heads, keys).collect()
+    assert sorted(r.user_id for r in got) == list(range(60)) and all(r.verified and not r.forged for r in got)
+    assert all(r.signature == keys.sign(r.head) and keys.verify(r.head, r.signature) for r in got)
+
+
+def test_signatures_of_every_user(spark, tables, tmp_path):
+    import shutil
+
+    folder, con = str(tmp_path / "sf"), tables[1]
+    shutil.copytree(tables[0], folder)
+    con.execute(f"copy (select * replace (event_id % 45 as user_id) from events) to '{folder}/events.parquet' (format parquet)")
+    got = catalog.QUERIES["attestation_signatures"](spark, folder).collect()
+    assert sorted(r.user_id for r in got) == list(range(45)) and all(r.verified and not r.forged and r.signature_chars == 88 for r in got)
+
+
 def test_export_import_and_commits(spark, tmp_path):
     m = spark.createDataFrame([memory(1, "one"), memory(2, "two"), memory(3, "gone", until=NOW)], MEMORIES)
     p = spark.createDataFrame([(1, 1, "agent", "y", 0, 0.5)], PROVENANCE)
