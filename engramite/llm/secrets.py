@@ -4,7 +4,8 @@ Base kinds are assign, access and hex. Beyond them, each long run of the charact
 is encoded with a public byte-pair vocabulary: words of any language compress to several characters per token,
 random strings hardly do. A run of fewer than ``max_ratio`` characters per token becomes a span of kind
 ``random``, unless it is a known form of digest (pure hexadecimal), a UUID or a number, touches a base span, or is made of
-words: parts between separators, digits and capitals that are cheap in tokens themselves make up most of it.
+words: parts between separators, digits and capitals that are cheap in tokens themselves make up most of it. A run is judged
+as a whole, whatever its length; the encoder sees it in pieces, which adds less than a token for each of them.
 
 Defined cases: a null text is empty and has no spans; the digest of no spans is that of an empty string; rows are judged
 one by one, so repeated rows, null ids and extra columns change nothing; an empty table gives an empty result.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +35,8 @@ _DIGEST = re.compile(r"(?:sha\d*[-:=])?(?:[0-9a-fA-F]+|0x[0-9a-fA-F]+)")
 _UUID = re.compile(r"[{]?[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}[}]?")
 _NUMBER = re.compile(r"[0-9+/_=-]+")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
-MIN_LENGTH, MAX_RATIO, MAX_LENGTH, WORD_RATIO = 20, 2.1, 512, 2.5
+MAX_RATIO, WORD_RATIO = 2.1, 2.5
+_PIECE = 4096  # characters that are encoded at once
 
 
 def detect(text: str) -> list[tuple[str, int, int]]:
@@ -59,7 +62,23 @@ def known_form(s: str) -> bool:
 def made_of_words(s: str, encoding) -> bool:
     """Whether parts that the vocabulary knows as words, in lower case, make up most of it. Length alone makes no word."""
     words = (p for p in _PART.findall(s) if len(p) >= 4 and p.isalpha())
-    return sum(len(p) for p in words if len(p) >= WORD_RATIO * len(encoding.encode_ordinary(p.lower()))) >= 0.6 * len(s)
+    return sum(len(p) for p in words if len(p) >= WORD_RATIO * token_count(p.lower(), encoding)) >= 0.6 * len(s)
+
+
+def token_count(s: str, encoding) -> int:
+    return sum(len(encoding.encode_ordinary(s[i : i + _PIECE])) for i in range(0, len(s), _PIECE))
+
+
+def merged(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of spans, which come by start."""
+    starts, ends = [], []
+    for _, a, b in spans:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
 
 
 def load_encoding(path: str, pattern: str):
@@ -71,14 +90,13 @@ def load_encoding(path: str, pattern: str):
 
 
 def random_runs(text: str, base: list[tuple[str, int, int]], encoding, max_ratio: float = MAX_RATIO) -> list[tuple[str, int, int]]:
-    found = []
+    """Spans of random runs that touch no base span. base: by start."""
+    found, (starts, ends) = [], merged(base)
     for m in _CANDIDATE.finditer(text):
-        s = m[0]
-        if known_form(s) or any(a < m.end() and m.start() < b for _, a, b in base):
+        s, at = m[0], bisect_left(starts, m.end()) - 1  # the last base span that starts before the run ends
+        if known_form(s) or (at >= 0 and ends[at] > m.start()):
             continue
-        # Whole runs are judged; the longest are judged by equal parts, of which every one must be as random.
-        parts = [s[i : i + MAX_LENGTH] for i in range(0, len(s), MAX_LENGTH)]
-        if all(len(p) < max_ratio * len(encoding.encode_ordinary(p)) for p in parts) and not made_of_words(s, encoding):
+        if len(s) < max_ratio * token_count(s, encoding) and not made_of_words(s, encoding):
             found.append(("random", *m.span()))
     return found
 

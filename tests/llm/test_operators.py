@@ -159,6 +159,26 @@ def test_secrets_recall_on_random_keys_of_every_alphabet():
             assert sum(bool(secrets.find(f"key {k} end", encoding)[1]) for k in keys) >= 192, (letters, length)
 
 
+def test_secrets_long_runs_are_judged_whole():
+    encoding, rng = secrets.load_encoding(*secrets.default_vocabulary()), random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for length in (400, 511, 512, 513, 4096, 5000, 20_000):
+        for tail in ("", "tion", "information"):
+            run = "".join(rng.choice(letters) for _ in range(length)) + tail
+            assert secrets.find(f"x {run} y", encoding)[1] == [("random", 2, 2 + len(run))], (length, tail)
+    assert secrets.find("a" * 100_000, encoding)[1] == []
+
+
+def test_secrets_touching_base_spans_equal_the_plain_scan():
+    encoding, rng = secrets.load_encoding(*secrets.default_vocabulary()), random.Random(7)
+    parts = ["q7Zr2Kx9LmW4bTn8VyHc3JdPf6Gs", "token=", "AKIA", "0123456789abcdef" * 2, " ", "=", "A", ".", "secret: x", "passwd"]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 12)))
+        base = secrets.detect(text)
+        free = [s for s in secrets.random_runs(text, [], encoding) if not any(a < s[2] and s[1] < b for _, a, b in base)]
+        assert secrets.random_runs(text, base, encoding) == free, text
+
+
 def test_secrets_words_are_no_keys():
     encoding = secrets.load_encoding(*secrets.default_vocabulary())
     for name in ("getUserNameFromDatabaseConnection", "MAX_CONCURRENT_REQUESTS_PER_HOST", "org/apache/spark/sql/catalyst/expressions", "ANTICONSTITUTIONNELLEMENT", "feature/JIRA-1234-fix-login-page"):
