@@ -2,9 +2,10 @@
 
 A text's vector is the mean of the embeddings of its hashed subwords (letters, bigrams, trigrams and
 4-grams of its lower-cased letters, words marked by their borders). The model is trained by stochastic gradient descent in
-numpy on the driver, over at most ``max_rows`` labelled documents of at most ``max_chars`` characters (the
-documented bound of the sample; chosen by a hash, so alike at every size). A part of the sample is kept from
-the descent to fit a temperature and the threshold of rejection.
+numpy on the driver, over about ``max_rows`` labelled documents (the documented bound of the sample): of each language its share
+of them, but ``least_rows`` of a rare one, chosen by a hash of id and text. Executors count the subwords of the whole texts; of a text with over
+``max_kinds`` kinds the most frequent ones reach the driver. A part of the sample is kept from the descent to fit a temperature and the
+threshold of rejection.
 
 Scoring needs one table only: embedding times softmax weights, a row of class scores for each subword. The
 mean over whole texts of these rows equals the softmax layer over the mean embedding.
@@ -16,7 +17,6 @@ an empty result; null ids are scored, and never learned from or held out.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +32,6 @@ BUCKETS = 1 << 16
 DIM = 24
 ORDERS = (1, 2, 3, 4)
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean"
-_LETTER = re.compile(r"[^\W\d_]")
 _CHUNK = 1 << 17  # characters that are hashed at once
 
 
@@ -51,9 +50,13 @@ _TABLE = _letter_table()
 
 def _letters(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    if len(codes) and codes.max() >= len(_TABLE):
-        return np.where(codes < len(_TABLE), _TABLE[np.minimum(codes, len(_TABLE) - 1)], codes)
-    return _TABLE[codes]
+    if not len(codes) or codes.max() < len(_TABLE):
+        return _TABLE[codes]
+    high = codes >= len(_TABLE)
+    out = _TABLE[np.where(high, 0, codes)]
+    kinds, at = np.unique(codes[high], return_inverse=True)
+    out[high] = np.array([ord(low) if (c := chr(k)).isalpha() and len(low := c.lower()) == 1 else k if c.isalpha() else 32 for k in kinds.tolist()], np.uint32)[at]
+    return out
 
 
 def subwords(text: str, chunk: int = _CHUNK):
@@ -98,10 +101,10 @@ class Model:
         return total / n + self.bias if n else None
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if not text or not self.langs or _LETTER.search(text) is None:
+        z = self.logits(text) if text and self.langs else None
+        if z is None:
             return UNDETERMINED, 0.0, True
-        z = self.logits(text)
-        p = softmax((self.bias if z is None else z)[None, :] / self.temperature)[0]
+        p = softmax(z[None, :] / self.temperature)[0]
         k = int(p.argmax())
         return self.langs[k], float(min(1.0, p[k])), bool(p[k] < self.reject_below)
 
@@ -111,15 +114,22 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.6, seed: int = 7) -> Model:
-    """SGD over documents in small batches; a document's subwords enter by count, so no order of rows matters but the seeded one."""
+def bag(text: str, max_kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a whole text's subwords and how often each occurs; the most frequent ones, of equally frequent ones the first."""
+    counts = np.zeros(BUCKETS, np.int64)
+    for ids in subwords(text):
+        counts += np.bincount(ids, minlength=BUCKETS)
+    kinds = np.flatnonzero(counts)
+    if len(kinds) > max_kinds:
+        kinds = np.sort(kinds[np.lexsort((kinds, -counts[kinds]))[:max_kinds]])
+    return kinds, counts[kinds]
+
+
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: int = 6, rate: float = 0.6, seed: int = 7) -> Model:
+    """SGD over documents, one at a time; a document's subwords enter by count, so no order of rows matters but the seeded one."""
     classes = sorted(set(langs))
     rng = np.random.default_rng(seed)
     y_all = np.array([classes.index(x) for x in langs], dtype=np.int64)
-    bags = []
-    for t in texts:
-        ids = np.concatenate(list(subwords(t)) or [np.zeros(0, np.uint32)])
-        bags.append(np.unique(ids, return_counts=True))
     usable = np.array([i for i, b in enumerate(bags) if len(b[0])], dtype=np.int64)
     if not len(usable):
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
@@ -160,22 +170,38 @@ def calibrate(model: Model, z: np.ndarray, y: np.ndarray, most_lost: float = 0.0
     model.reject_below = UNDECIDED if not len(right) else float(min(UNDECIDED, right[int(most_lost * len(right))]))
 
 
-def sample_rows(labelled: DataFrame, max_rows: int) -> DataFrame:
-    """At most max_rows rows, chosen by a hash of the id: a share of all rows, then a hard limit."""
-    n = labelled.count()
-    share = min(1.0, max_rows / max(n, 1))
-    key = F.pmod(F.xxhash64(labelled["doc_id"].cast("string"), F.lit("sample")), F.lit(1 << 30))
-    return labelled.where(key < int(share * (1 << 30)) + 1).limit(2 * max_rows)
+def sample_rows(labelled: DataFrame, max_rows: int, least_rows: int) -> DataFrame:
+    """Distinct (doc_id, text, lang), chosen by a hash of id and text: of each language its share of max_rows, or least_rows where that is more."""
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    total, least = sum(sizes.values()), min(least_rows, max_rows // max(len(sizes), 1))
+    shares = {x: min(1.0, max(max_rows * n / total, least) / n) for x, n in sizes.items()}
+    rows = labelled.where(labelled["text"].isNotNull()).select(labelled["doc_id"].cast("bigint").alias("doc_id"), labelled["text"], labelled["lang"])
+    if not shares:
+        return rows
+    table = labelled.sparkSession.createDataFrame([(x, int(s * (1 << 30)) + 1) for x, s in shares.items()], "__lang string, __below bigint")
+    key = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30))
+    return rows.join(F.broadcast(table), (rows["lang"] == table["__lang"]) & (key < table["__below"]), "left_semi").distinct()
 
 
-def train(documents: DataFrame, learn: Column, max_rows: int = 4000, max_chars: int = 20000) -> Model:
+def train(documents: DataFrame, learn: Column, max_rows: int = 4000, least_rows: int = 100, max_kinds: int = 8192) -> Model:
     """learn: which rows may be learned from."""
     bound_batches(documents.sparkSession)
-    rows = documents.where(learn & documents["lang"].isNotNull() & documents["text"].isNotNull() & documents["doc_id"].isNotNull())
-    rows = rows.where(F.length(rows["text"]) <= max_chars)
-    got = sample_rows(rows, max_rows).select("doc_id", "text", "lang").toArrow().to_pydict()
-    order = sorted(range(len(got["doc_id"])), key=lambda i: (str(got["doc_id"][i]), got["lang"][i], got["text"][i]))
-    return fit([got["text"][i] for i in order], [got["lang"][i] for i in order])
+    lang = documents["lang"].cast("string")
+    rows = documents.where(learn & lang.isNotNull() & documents["doc_id"].isNotNull()).select(documents["doc_id"], documents["text"], lang.alias("lang"))
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            bags = [bag(t, max_kinds) for t in batch.column("text").to_pylist()]
+            return {
+                "doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "kinds": pa.array([k.astype("<u2").tobytes() for k, _ in bags], pa.binary()),
+                "counts": pa.array([c.astype("<u4").tobytes() for _, c in bags], pa.binary()),
+            }
+
+        return work
+
+    got = map_batches(sample_rows(rows, max_rows, least_rows), make, "doc_id bigint, lang string, kinds binary, counts binary").toArrow().to_pylist()
+    got.sort(key=lambda r: (r["doc_id"], r["lang"], r["kinds"], r["counts"]))
+    return fit([(np.frombuffer(r["kinds"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<u4").astype(np.int64)) for r in got], [r["lang"] for r in got])
 
 
 def identify_language(documents: DataFrame, model: Model | None = None) -> DataFrame:

@@ -197,6 +197,39 @@ def test_language_held_out(docs, clashing, nothing, corpus):
     assert rows(langid.identify_language(nothing)) == []
 
 
+def test_language_of_texts_without_letters_is_undetermined(spark, docs):
+    model = langid.train(docs, langid.fold(docs, 3) != 1)
+    for text in (None, "", "²", "½ ①", "Ⅷ", "123 _ !", "\U0001f600", "\u3002", "\u3000"):
+        assert model.predict(text) == ("und", 0.0, True), text
+    assert all(model.predict(t)[0] in ("de", "en", "fr") for t in ("a", "字", "1é"))
+
+
+def test_language_scores_equal_the_whole_model():
+    """The table of scores against embeddings, their mean and a softmax, done plainly."""
+    texts = ["der die und das ist nicht", "the of and that is not", "les des une dans pour"] * 20
+    rng = random.Random(1)
+    texts = [" ".join(rng.sample(t.split(), 4)) for t in texts]
+    model = langid.fit([langid.bag(t, 8192) for t in texts], ["de", "en", "fr"] * 20)
+    for t in texts[:6]:
+        ids = np.concatenate(list(langid.subwords(t, 7)))
+        z = np.mean([model.scores[i].astype(float) for i in ids], axis=0) + model.bias
+        p = np.exp(z / model.temperature) / np.exp(z / model.temperature).sum()
+        assert model.predict(t)[0] == model.langs[int(p.argmax())] and abs(model.predict(t)[1] - p.max()) < 1e-9
+
+
+def test_language_sample_holds_rare_languages_and_long_texts(spark):
+    rng = random.Random(2)
+    data = [(i, " ".join(rng.choice(["aa", "bb", "cc"]) for _ in range(5)), "en") for i in range(3000)]
+    data += [(3000 + i, "zz yy " * (20_000 if i == 0 else 3), "rare") for i in range(5)] + [(9000, "aa bb", "en")] * 500
+    rows_ = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    got = langid.sample_rows(rows_, 200, 50).collect()
+    assert sum(r.lang == "rare" for r in got) == 5 and 100 < len(got) < 320 and len(got) == len(set(got))
+    model = langid.train(rows_, langid.F.lit(True), 200, 50)
+    assert model.langs == ["en", "rare"] and model.predict("zz yy zz")[0] == "rare"
+    kinds, counts = langid.bag("ab " * 100_000 + "xyz", 3)
+    assert len(kinds) == 3 and counts.min() >= 99_999
+
+
 def test_subwords_do_not_depend_on_pieces():
     text = "Größe élève the end. " * 40
     whole = np.sort(np.concatenate(list(langid.subwords(text))))
