@@ -55,13 +55,16 @@ _EDGE = ".,;:!?\"'()[]{}<>«»„“”…-"
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "*": None, ".": None, "-": None, "_": None, "#": None, "+": "t"})
 _ONE_LEFT_OUT = {w[:i] + w[i + 1 :] for w in INSULTS if len(w) >= 4 for i in range(1, len(w))}
 _LONG_INSULTS = frozenset(w for w in INSULTS if len(w) >= 4)
+_LONGEST = max(map(len, INSULTS))
 
 
 def _disguised(token: str) -> bool:
     token = token.strip(_EDGE)
-    if len(token) < 4 or len(token) > 24 or token.isalpha() or not any(c.isalpha() for c in token):
+    if len(token) < 4 or token.isalpha() or not any(c.isalpha() for c in token):
         return False
     plain = token.translate(_LEET)
+    if len(plain) > _LONGEST + 1:
+        return False
     if plain in _LONG_INSULTS or plain.rstrip("s") in _LONG_INSULTS:
         return True
     return any(c in token for c in "*#") and plain in _ONE_LEFT_OUT
@@ -243,8 +246,9 @@ def sample(documents: DataFrame, labels: DataFrame, target: str, max_rows: int)
     return docs.join(F.broadcast(picked), docs["doc_id"] == picked["__key"]).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y", half.alias("half"))
 
 
-def learn_lexicon(rows: DataFrame, least: int = 4, purity: float = 0.7, most: int = 20000) -> Lexicon:
-    """Units of at least ``least`` distinct toxic texts, at least ``purity`` of their texts being toxic. Tasks count before the shuffle."""
+def learn_lexicon(rows: DataFrame, least: int = 4, purity: float = 0.7) -> Lexicon:
+    """Units of at least ``least`` distinct toxic texts, at least ``purity`` of their texts being toxic. Tasks count before the shuffle.
+    The sample bounds the list: each unit takes ``least`` of its toxic texts."""
     distinct = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("y").alias("y"), F.max("text").alias("text")).select("text", "y")
 
     def run(batches):
@@ -258,8 +262,8 @@ def learn_lexicon(rows: DataFrame, least: int = 4, purity: float = 0.7, most: in
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([toxic[u] for u in part], pa.int64()), pa.array([other[u] for u in part], pa.int64())], names=["unit", "a", "b"])
 
     counts = distinct.mapInArrow(run, "unit string, a bigint, b bigint").groupBy("unit").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    best = counts.where((F.col("a") >= least) & (F.col("a") + 0.5 >= purity * (F.col("a") + F.col("b") + 1))).orderBy(F.desc("a"), "b", "unit").limit(most)
-    return Lexicon([r.unit for r in best.collect()])
+    best = counts.where((F.col("a") >= least) & (F.col("a") + 0.5 >= purity * (F.col("a") + F.col("b") + 1)))
+    return Lexicon([r.unit for r in best.select("unit").collect()])
 
 
 def dense_features(rows: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
