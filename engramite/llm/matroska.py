@@ -104,9 +104,17 @@ def _unknown_end(data: bytes, at: int, end: int) -> int:
 
 
 def _uint(data: bytes, a: int, b: int) -> int:
+    if b - a > 8:
+        raise ValueError(f"an integer of {b - a} bytes at byte {a}")
     return int.from_bytes(data[a:b], "big")
 
 
+def _float(data: bytes, a: int, b: int) -> float:
+    if b - a not in (0, 4, 8):
+        raise ValueError(f"a float of {b - a} bytes at byte {a}")
+    return struct.unpack(">f" if b - a == 4 else ">d", data[a:b])[0] if b > a else 0.0
+
+
 def _frames(data: bytes, a: int, b: int, lacing: int) -> list[tuple[int, int]]:
     if lacing == 0:
         return [(a, b - a)]
@@ -135,6 +143,8 @@ def _frames(data: bytes, a: int, b: int, lacing: int) -> list[tuple[int, int]]:
             value, n = read_vint(data, at, False)
             sizes.append(value if i == 0 else sizes[-1] + value - ((1 << (7 * n - 1)) - 1))
             at += n
+            if sizes[-1] < 0:
+                raise ValueError("a lace of negative size")
     sizes.append(b - at - sum(sizes))
     if min(sizes) < 0:
         raise ValueError("lace sizes beyond the block")
@@ -153,7 +163,10 @@ def _block(data: bytes, a: int, b: int, media: Media, cluster: int, time: int, s
     lacing = flags >> 1 & 3
     step = media.tracks.get(track, {}).get("duration", 0)
     for i, (at, size) in enumerate(_frames(data, a + n + 3, b, lacing)):
-        media.packets.append(Packet(track, time + relative + (i * step) // media.scale, at, size, bool(flags & 0x80) if simple else key, _LACINGS[lacing], cluster))
+        stamp = time + relative + (i * step) // media.scale
+        if stamp >= 1 << 63:
+            raise ValueError(f"a timestamp beyond 64 bits at byte {a}")
+        media.packets.append(Packet(track, stamp, at, size, bool(flags & 0x80) if simple else key, _LACINGS[lacing], cluster))
 
 
 def parse(data: bytes) -> Media:
@@ -197,7 +210,7 @@ def _segment(data: bytes, a: int, b: int, media: Media) -> None:
                                 elif g == CHANNELS:
                                     t["channels"] = _uint(data, s, z)
                                 elif g == RATE:
-                                    t["rate"] = struct.unpack(">f" if z - s == 4 else ">d", data[s:z])[0]
+                                    t["rate"] = _float(data, s, z)
                     media.tracks[t["number"]] = t
         elif eid == CLUSTER:
             time, position = 0, x
