@@ -2,8 +2,9 @@
 
 Each whole text becomes token ids and a closing id. Whole sequences are cut off the front; what remains is packed
 first-fit decreasing: the tournament tree holds the free room of the bins, so the first bin with enough room is found in
-the logarithm of their number. Documents fall into groups of about ``group_docs`` by a hash; each group is packed by itself,
-in windows of at most ``WINDOW`` pieces, so memory is bounded and groups run in parallel.
+the logarithm of their number. Pieces fall into groups of about ``group_docs`` documents by a hash of id, text and place in the table, so
+neither a long text nor a row that repeats fills one group; each group is packed by itself, in windows of at most ``WINDOW`` pieces, so
+memory is bounded and groups run in parallel.
 
 Only lengths and checksums of pieces are shuffled. Ids come from the public vocabulary: texts of common characters
 by a faster encoder of the same merges, all others, and whatever that encoder refuses, by the tokenizer file itself; both give equal ids.
@@ -14,6 +15,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from engramite.llm.common import doc_id, map_batches, texts_of
 
 CAPACITY, END_ID, GROUP_DOCS, WINDOW = 1024, 0, 4096, 1 << 16
-PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, spread bigint"
+PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, spread bigint, place bigint"
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 _UNCOMMON = re.compile(r"[^\t\n\r\x20-\x7E¡-ɏ‘’“”–—…€]")
 
@@ -100,19 +102,19 @@ def first_fit_decreasing(lengths: list[int], capacity: int = CAPACITY) -> tuple[
 
 
 def pieces(documents: DataFrame, files: tuple[str, str | None, str | None] | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Each document's ids cut into pieces of at most ``capacity``, without the ids."""
+    """Each document's ids cut into pieces of at most ``capacity``, without the ids. place: the row's number within its task."""
 
     def make():
-        encoder = Encoder(*(files or default_files()))
+        encoder, rows = Encoder(*(files or default_files())), itertools.count()
 
         def work(batch: pa.RecordBatch) -> dict:
             out: list[tuple] = []
             for key, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
                 ids = np.array(encoder.ids(text) + [end_id], "<u4")
-                n, spread = len(ids), zlib.crc32(ids)
+                n, spread, place = len(ids), zlib.crc32(ids), next(rows)
                 for start in range(0, n, capacity):
                     part = ids[start : start + capacity]
-                    out.append((key, start, len(part), zlib.crc32(part), n, spread))
+                    out.append((key, start, len(part), zlib.crc32(part), n, spread, place))
             names = [x.split(" ")[0] for x in PIECES.split(", ")]
             return {name: pa.array([r[k] for r in out], pa.int64()) for k, name in enumerate(names)}
 
@@ -125,8 +127,8 @@ def pack(documents: DataFrame, files: tuple[str, str | None, str | None] | None
     """One row per piece, with its sequence and offset."""
     groups = max(1, -(-documents.count() // group_docs))
     hashed = pieces(documents, files, capacity, end_id)
-    hashed = hashed.withColumn("order", F.xxhash64("doc_id", "spread")).withColumn("group", F.pmod("order", F.lit(groups)))
-    placed = hashed.repartition("group").sortWithinPartitions("group", "order", "doc_id", "spread", "start")
+    hashed = hashed.withColumn("order", F.xxhash64("doc_id", "spread", "start", "place")).withColumn("group", F.pmod("order", F.lit(groups)))
+    placed = hashed.repartition("group").sortWithinPartitions("group", "order", "doc_id", "spread", "start", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "group"]

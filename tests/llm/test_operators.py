@@ -264,6 +264,12 @@ def test_packing(docs, clashing, nothing, corpus):
     assert rows(packing.pack(nothing)) == []
 
 
+def test_packing_deals_rows_that_repeat_to_many_groups(spark):
+    hot = spark.createDataFrame([(1, "one text that repeats")] * 3000, "doc_id bigint, text string")
+    got = rows(packing.pack(hot, capacity=64, group_docs=100))
+    assert len({r[5] >> 32 for r in got}) == 30 and len(got) == 3000 and len({(r[5], r[6]) for r in got}) == 3000
+
+
 def test_first_fit_decreasing_equals_the_plain_scan():
     rng = random.Random(5)
     for _ in range(50):
@@ -282,6 +288,11 @@ def test_both_encoders_agree():
     fast, exact = packing.Encoder(*packing.default_files()), packing.Encoder(packing.default_files()[0])
     for text in ("Hello  world\n\n 12 don't", "Größe, élève — “x” …", "日本語 and more", "<|endoftext|> a", " " * 50 + "x", "\u2028\x85\x1c x", "a" * 5000):
         assert fast.ids(text) == exact.ids(text)
+    rng = random.Random(13)
+    letters = "abcdefXYZ01279 \t\n\r'.,-_!?()[]{}<>|/\\\"@#$%&*+=~^`:;" + "äöüßéèàçñÅØŒœžšđ¡¿«»×÷ɏ" + "‘’“”–—…€"
+    for _ in range(20_000):
+        text = "".join(rng.choice(letters) * rng.choice([1, 1, 1, 1, 2, 5]) for _ in range(rng.randrange(1, 25)))
+        assert fast.ids(text) == exact.ids(text), text
 
 
 # --- decontamination
@@ -428,6 +439,32 @@ def test_media_lacings_groups_and_unknown_sizes(spark):
     assert {(r.doc_id, r.error is None) for r in table.collect()} == {(1, True), (2, False), (4, False)}
 
 
+def test_media_damaged_files_only_raise_value_errors(spark):
+    rng = random.Random(12)
+    m, e = matroska, matroska.element
+    good = [m.mux(m.payload_of("whole text " * n)[0]) for n in (1, 300, 3000)]
+    good.append(m._HEAD + e(m.SEGMENT, m._SETUP + e(m.CLUSTER, m._number(m.CLUSTER_TIME, 7) + e(m.SIMPLE_BLOCK, b"\x81\x00\x05" + bytes([0x02, 2, 5, 1]) + bytes(9)))))
+    bad = []
+    for _ in range(6000):
+        data = bytearray(rng.choice(good))
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(min(len(data), 400)) if rng.random() < 0.8 else rng.randrange(len(data))
+            data[at] = rng.randrange(256)
+        data = bytes(data[: rng.randrange(len(data))] if rng.random() < 0.2 else data)
+        try:
+            m.parse(data)
+        except ValueError:
+            bad.append(data)
+    tables = [(i, bytearray(x)) for i, x in enumerate(bad[:300])]
+    assert len(bad) > 1000 and all(r.error for r in m.packets(spark.createDataFrame(tables, "doc_id bigint, media binary")).collect())
+    for rate in (b"ab", b"abc", bytes(9)):
+        with pytest.raises(ValueError):
+            m.parse(m._HEAD + e(m.SEGMENT, e(m.TRACKS, e(m.TRACK_ENTRY, e(m.AUDIO, e(m.RATE, rate))))))
+    late = m._HEAD + e(m.SEGMENT, m._SETUP + e(m.CLUSTER, e(m.CLUSTER_TIME, b"\xff" * 8) + e(m.SIMPLE_BLOCK, b"\x81\x00\x05\x00abc")))
+    with pytest.raises(ValueError):
+        m.parse(late)
+
+
 # --- toxicity and quality
 
 
@@ -461,6 +498,36 @@ def test_toxicity_held_out(spark, docs, clashing, nothing):
     assert {r[2] for r in rows(toxicity.score_toxicity(docs, labels.where("false")))} == {0.0}
 
 
+def test_toxicity_disguises_of_any_length():
+    for token in ("m----o----r----o----n", "m-----o-----r-----o-----n", "m" + "-" * 500 + "oron", "1d10t", "st*pid", "f*ck"):
+        assert toxicity._disguised(token), token
+    for token in ("well-known", "2024-01-01", "a" + "-" * 500 + "b", "c3po", "x" * 300 + "1"):
+        assert not toxicity._disguised(token), token
+
+
+def test_toxicity_trees_equal_a_plain_fit():
+    """Each split against all splits, and predictions against a walk from the root."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, (200, 3)).astype(float)
+    y = ((x[:, 0] > 2) ^ (x[:, 1] > 3)).astype(float)
+    model = toxicity.fit(x, y, rounds=30, depth=2)
+    assert np.mean((model.raw(x) > 0.5) == (y > 0.5)) > 0.95
+    for row, raw in zip(x[:50], model.raw(x[:50]), strict=True):
+        z = model.base
+        for t in model.trees:
+            at = 0
+            while at < len(t.feature):
+                at = 2 * at + (2 if row[t.feature[at]] > t.threshold[at] else 1)
+            z += model.rate * t.value[at - len(t.feature)]
+        assert abs(1 / (1 + np.exp(-z)) - raw) < 1e-12
+    grad, hess = 0.5 - y, np.full(len(y), 0.25)
+    edges = [np.arange(0.5, 5)] * 3
+    tree = toxicity._grow(np.column_stack([np.searchsorted(e, x[:, f]) for f, e in enumerate(edges)]), edges, grad, hess, 1, 1.0, 1.0)
+    gain = lambda m: grad[m].sum() ** 2 / (hess[m].sum() + 1)
+    best = max(((gain(x[:, f] <= e) + gain(x[:, f] > e), -f, -e) for f in range(3) for e in edges[f]))
+    assert (tree.feature[0], tree.threshold[0]) == (-best[1], -best[2])
+
+
 def test_isotonic_is_the_least_squares_monotone_fit():
     x, y = np.array([1.0, 2, 3, 4, 5, 6]), np.array([0.0, 1, 0, 1, 1, 0])
     assert np.allclose(toxicity.isotonic(x, y)[1], [0, 0.5, 0.5, 2 / 3, 2 / 3, 2 / 3])
