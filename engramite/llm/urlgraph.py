@@ -3,7 +3,8 @@
 A rule is (host, path, verdict). It fits its host and all subdomains if the path starts with its path; the longest
 fitting rule decides. Hosts then form a graph: an edge for each host that another host's pages link to, weighted by its links.
 Trust starts at hosts by the share of their pages that rules allow and follows links; distrust starts by the share that
-rules block and follows links backwards. Both are personalised PageRank of a fixed number of steps. A page without a
+rules block and follows links backwards. Both are personalised PageRank, to at most ``steps`` links away;
+scores only grow from step to step, so the steps end early once their sum does not. A page without a
 rule is blocked if its host's distrust exceeds its trust by that of a host of which over ``threshold`` of the pages are blocked.
 
 Edges are summed per pair of hosts before they are joined, so their number is bounded by pairs of hosts, not by pages.
@@ -30,7 +31,9 @@ DEFAULT_RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-STEPS, DAMPING, THRESHOLD, MAX_RULES = 8, 0.85, 0.5, 200
+STEPS, DAMPING, THRESHOLD = 60, 0.85, 0.5
+#: Rules that are tested one by one within a page's row; longer lists are joined.
+INLINE_RULES, SETTLED = 200, 1e-12
 
 
 def host_of(url: Column) -> Column:
@@ -43,8 +46,6 @@ def path_of(url: Column) -> Column:
 
 def rule_and_verdict(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]) -> tuple[Column, Column]:
     """Tests rules from the longest; of equally long ones the one with the longer host."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"over {MAX_RULES} rules")
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for h, p, v in sorted(rules, key=lambda r: (len(r[0] + r[1]), len(r[0]), r)):
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
@@ -52,9 +53,26 @@ def rule_and_verdict(host: Column, path: Column, rules: tuple[tuple[str, str, st
     return rule, verdict
 
 
+def fitting_rules(urls: DataFrame, rules) -> DataFrame:
+    """(host, path, rule, by_rule) of the distinct urls(host, path) that a rule fits: each host's suffixes and each beginning of its path, of a
+    length that rules have, meet the table of rules by equality. As many rows a url as it has suffixes and rules have lengths of path."""
+    spark = urls.sparkSession
+    table = spark.createDataFrame(sorted(rules), "h string, p string, v string")
+    lengths = F.array(*[F.lit(n) for n in sorted({len(p) for _, p, _ in rules})])
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    keys = urls.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("h"))
+    keys = keys.select("host", "path", "h", F.explode(F.filter(lengths, lambda n: n <= F.length("path"))).alias("n")).select("host", "path", "h", F.substring("path", F.lit(1), F.col("n")).alias("p"))
+    best = F.max(F.struct(F.length(F.concat("h", "p")).alias("n"), F.length("h").alias("m"), "h", "p", "v")).alias("best")
+    return keys.join(table, ["h", "p"]).groupBy("host", "path").agg(best).select("host", "path", F.concat("best.h", "best.p").alias("rule"), F.col("best.v").alias("by_rule"))
+
+
 def judged(pages: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
+    """page_id, host, path, rule, by_rule. Both ways of testing rules give the same rows."""
     host, path = host_of(pages["url"]), path_of(pages["url"])
     found = pages.select(pages["page_id"], host.alias("host"), path.alias("path"))
+    if len(rules) > INLINE_RULES:
+        return found.join(fitting_rules(found, rules), ["host", "path"], "left").select("page_id", "host", "path", "rule", "by_rule")
     rule, verdict = rule_and_verdict(F.col("host"), F.col("path"), rules)
     return found.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"))
 
@@ -78,11 +96,19 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: f
         forward = edges.join(out, "src").select(F.lit(0).alias("kind"), F.col("src").alias("from"), F.col("dst").alias("to"), (F.col("n") / F.col("total") * damping).alias("share"))
         backward = edges.join(into, "dst").select(F.lit(1).alias("kind"), F.col("dst").alias("from"), F.col("src").alias("to"), (F.col("n") / F.col("total") * damping).alias("share"))
         moves = materialize(forward.unionByName(backward), "moves")
+        before = None
         for step in range(steps):
             flow = moves.join(ranks.withColumnRenamed("host", "from"), ["kind", "from"]).select("kind", F.col("to").alias("host"), (F.col("share") * F.col("w")).alias("w"))
             following = flow.unionByName(start).groupBy("kind", "host").agg(F.sum("w").alias("w"))
-            if step % 2:
+            if step % 4 == 3:
                 following = materialize(following, "ranks")
+                total = following.agg(F.sum("w")).first()[0] or 0.0
+                if before is not None:
+                    discard(ranks_before)
+                    if total - before <= SETTLED * total:
+                        ranks = following
+                        break
+                before, ranks_before = total, following
             ranks = following
         ranks = materialize(ranks, "ranks")
         discard(moves)

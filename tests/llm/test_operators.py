@@ -547,7 +547,7 @@ def test_quality_held_out(spark, docs, clashing, nothing):
 # --- urls
 
 
-def brute_urls(pages, steps=8, d=0.85):
+def brute_urls(pages, steps=60, d=0.85, rules=urlgraph.DEFAULT_RULES):
     from collections import Counter, defaultdict
 
     out, edges = [], Counter()
@@ -555,7 +555,7 @@ def brute_urls(pages, steps=8, d=0.85):
     for page, url, html in pages:
         m = re.search(r"(?s)://([^/?#]*)([^?#]*)", url or "")
         host, path = ("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[1]), m[2]) if m else ("", "")
-        fits = [(len(h + p), len(h), h + p, v) for h, p, v in urlgraph.DEFAULT_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         rule, verdict = max(fits)[2:] if fits else (None, None)
         out.append((page, host, path, rule, verdict))
         if host:
@@ -607,3 +607,30 @@ def test_url_filters(spark):
     con.executemany("insert into pages values (?, ?, ?)", pages)
     assert sorted(map(repr, con.execute(urlgraph.oracle_sql()).fetchall())) == sorted(map(repr, brute_urls(pages)))
     assert rows(urlgraph.filter_urls(df.where("false"))) == []
+
+
+def test_url_distrust_follows_long_chains_and_cycles(spark):
+    """Hosts twelve links before a blocked one, and a cycle that leads to it."""
+    pages = [(i, f"http://h{i}.org/", f'<a href="http://h{i + 1}.org/">') for i in range(12)] + [(12, "http://h12.org/", '<a href="http://bad.net/es/">')]
+    pages += [(100 + i, "http://bad.net/es/x", "") for i in range(30)] + [(200, "http://c1.org/", '<a href="http://c2.org/">'), (201, "http://c2.org/", '<a href="http://c1.org/"><a href="http://bad.net/es/">')]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    got = urlgraph.filter_urls(df, threshold=0.05)
+    scores = {r.host: (r.trust, r.distrust) for r in urlgraph.propagate(urlgraph.host_edges(df), spark.createDataFrame([("bad.net", 0.0, 1.0)], "host string, trust double, distrust double")).collect()}
+    assert abs(scores["h5.org"][1] - 0.15 * 0.85**8 / 2) < 1e-9 and scores["h0.org"][1] > 0
+    c1 = scores["c1.org"][1]
+    assert abs(c1 - 0.85 * scores["c2.org"][1]) < 1e-5 and abs(scores["c2.org"][1] - (0.15 * 0.85 / 2 + 0.85 * c1)) < 1e-5
+    assert {r[4] for r in rows(got) if r[1] == "h12.org"} == {"block"}
+
+
+def test_url_rules_beyond_the_inline_list(spark):
+    rng = random.Random(14)
+    parts = ["a", "b", "www", "com", "net"]
+    rules = {(".".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))), rng.choice(["/", "/a", "/a/", "/ab/c", ""])): rng.choice(["allow", "block"]) for _ in range(900)}
+    rules = tuple((h, p, v) for (h, p), v in rules.items())
+    assert len(rules) > urlgraph.INLINE_RULES
+    pages = [(i, f"http://{'.'.join(rng.choice(parts) for _ in range(rng.randrange(1, 6)))}{rng.choice(['', '/', '/a', '/a/b', '/ab/cd', '/c'])}", "") for i in range(400)] + [(None, None, None), (7, "://", ""), (8, "http://a..com/a", ""), (9, "http://com./", "")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    joined = sorted(map(repr, rows(urlgraph.judged(df, rules))))
+    rule, verdict = urlgraph.rule_and_verdict(urlgraph.F.col("host"), urlgraph.F.col("path"), rules)
+    plain = df.select("page_id", urlgraph.host_of(df["url"]).alias("host"), urlgraph.path_of(df["url"]).alias("path")).select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"))
+    assert joined == sorted(map(repr, rows(plain))) == sorted(repr(r) for r in [(p, h, q, r, next((v for a, b, v in rules if r == a + b and (h == a or h.endswith("." + a)) and q.startswith(b)), None) if r is not None else None) for p, h, q, r, _ in brute_urls(pages, rules=rules)])
