@@ -630,7 +630,19 @@ def test_url_rules_beyond_the_inline_list(spark):
     assert len(rules) > urlgraph.INLINE_RULES
     pages = [(i, f"http://{'.'.join(rng.choice(parts) for _ in range(rng.randrange(1, 6)))}{rng.choice(['', '/', '/a', '/a/b', '/ab/cd', '/c'])}", "") for i in range(400)] + [(None, None, None), (7, "://", ""), (8, "http://a..com/a", ""), (9, "http://com./", "")]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
-    joined = sorted(map(repr, rows(urlgraph.judged(df, rules))))
-    rule, verdict = urlgraph.rule_and_verdict(urlgraph.F.col("host"), urlgraph.F.col("path"), rules)
-    plain = df.select("page_id", urlgraph.host_of(df["url"]).alias("host"), urlgraph.path_of(df["url"]).alias("path")).select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"))
-    assert joined == sorted(map(repr, rows(plain))) == sorted(repr(r) for r in [(p, h, q, r, next((v for a, b, v in rules if r == a + b and (h == a or h.endswith("." + a)) and q.startswith(b)), None) if r is not None else None) for p, h, q, r, _ in brute_urls(pages, rules=rules)])
+
+    def brute(rules):
+        by = {}
+        for h, p, v in rules:
+            by.setdefault(h + p, []).append((h, p, v))
+        out = []
+        for page, host, path, rule, _ in brute_urls(pages, rules=rules):
+            fits = [(len(h), v) for h, p, v in by.get(rule, []) if (host == h or host.endswith("." + h)) and path.startswith(p)]
+            out.append(repr((page, host, path, rule, max(fits)[1] if fits else None)))
+        return sorted(out)
+
+    assert sorted(map(repr, rows(urlgraph.judged(df, rules)))) == brute(rules)
+    few = rules[:40]
+    assert sorted(map(repr, rows(urlgraph.judged(df, few)))) == brute(few)
+    found = df.select("page_id", urlgraph.host_of(df["url"]).alias("host"), urlgraph.path_of(df["url"]).alias("path"))
+    assert sorted(map(repr, rows(found.join(urlgraph.fitting_rules(found, few), ["host", "path"], "left").select("page_id", "host", "path", "rule", "by_rule")))) == brute(few)
