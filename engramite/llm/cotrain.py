@@ -1,15 +1,17 @@
 """Quality: co-training of a text view and a metadata view.
 
-The text view sees the shape of the whole text; the metadata view sees the page's columns (language, source, recorded length,
-line and paragraph layout). Each is a logistic regression. In every round each view labels the unlabelled documents it is
-surest of, and gives them to the other view as pseudo-labels. The views are then calibrated on labelled rows that
-neither was fitted on and combined by their calibrated log-odds.
+The text view sees the whole text and nothing else: its hashed words and pairs of words, and the shape of its writing. The metadata view
+sees the page's columns and nothing of the text: language, source and recorded length. Each is a logistic regression. In every round each view
+labels the unlabelled documents it is surest of, and gives them to the other view as pseudo-labels. The views are then calibrated on
+labelled rows that neither was fitted on, nor gave labels to, and combined by their calibrated log-odds.
 
-Fitting is done on the driver over the features of at most ``max_rows`` labelled and ``max_rows`` unlabelled documents (the
-documented bound; chosen by a hash). Every document is scored, from its whole text.
+Fitting is done on the driver over the features of at most about ``max_rows`` labelled and ``max_rows`` unlabelled documents (the
+documented bound; chosen by a hash; of a text with over ``max_kinds`` kinds of words the most frequent reach the driver). Labelled documents are
+never in the unlabelled pool. Every document is scored, from its whole text.
 
 Defined cases: a null or empty text has the features of no words; null metadata are a value of their own; without labels of
-both classes every score is 0.5; repeated rows are scored alike; extra columns are ignored; null ids are scored and never learned from.
+both classes every score is 0.5; repeated rows are scored alike, and rows that repeat an id are one row of the sample, the smallest; extra
+columns are ignored; null ids are scored and never learned from.
 """
 
 from __future__ import annotations
@@ -24,19 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engramite.llm.common import bound_batches, doc_id, fold, map_batches
+from engramite.llm.common import bound_batches, doc_id, fold, map_batches, texts_of
+from engramite.llm.neardup import pieces_of, word_hashes
 
-#: Rows that ever reach the driver.
-LARGEST_SAMPLE = 100_000
 SCHEMA = "doc_id bigint, held_out boolean, text_score double, meta_score double, score double, predicted int"
-TEXT_FEATURES, META_FEATURES, HASHED = 16, 40, 32
+SHAPES, META_FEATURES, HASHED, BUCKETS = 16, 40, 32, 1 << 15
+_Bag = tuple[np.ndarray, np.ndarray]
 _WORD = re.compile(r"[^\W\d_]+")
 _SYMBOL = re.compile(r"[#$%&*|~^<>{}\[\]\\=+_@]+")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
 _DIGITS = re.compile(r"[0-9]+")
 
 
-def text_features(text: str) -> list[float]:
+def shape_features(text: str) -> list[float]:
     words = _WORD.findall(text)
     lines = [x for x in text.split("\n") if x]
     n, chars = max(len(words), 1), max(len(text), 1)
@@ -52,20 +54,36 @@ def text_features(text: str) -> list[float]:
     ]
 
 
-def meta_features(lang: str | None, source: str | None, n_chars: int | None, text: str) -> list[float]:
-    """Hashed categories and the recorded length; of the text only its layout in lines."""
+def word_buckets(text: str):
+    """Yields arrays of buckets of a whole text's lower-cased words and pairs of words, piece by piece."""
+    before = np.zeros(0, np.uint64)
+    for piece in pieces_of(text.encode("utf-8", "surrogatepass").lower()):
+        words = np.concatenate((before, word_hashes(piece)[0]))
+        pairs = (words[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ words[1:]
+        yield (np.concatenate((words[len(before) :], pairs * np.uint64(0xC2B2AE3D27D4EB4F))) >> np.uint64(49)).astype(np.int64)
+        before = words[-1:]
+
+
+def bag(text: str, max_kinds: int) -> _Bag:
+    """Buckets that occur and their counts; the most frequent ones, of equally frequent ones the first."""
+    counts = np.zeros(BUCKETS, np.int64)
+    for ids in word_buckets(text):
+        counts += np.bincount(ids, minlength=BUCKETS)
+    kinds = np.flatnonzero(counts)
+    if len(kinds) > max_kinds:
+        kinds = np.sort(kinds[np.lexsort((kinds, -counts[kinds]))[:max_kinds]])
+    return kinds, counts[kinds]
+
+
+def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
+    """Hashed categories and the recorded length."""
     x = [0.0] * META_FEATURES
     for kind, value in (("lang", lang), ("source", source)):
         x[zlib.crc32(f"{kind}={value}".encode()) % HASHED] += 1.0
-    lines = text.count("\n") + 1
+    size = float(np.log1p(max(n_chars or 0, 0)))
     x[HASHED] = float(n_chars is None)
-    x[HASHED + 1] = float(np.log1p(max(n_chars or 0, 0))) / 8
-    x[HASHED + 2] = float(np.log1p(lines)) / 4
-    x[HASHED + 3] = float(np.log1p(len(text) / lines)) / 6
-    x[HASHED + 4] = min(abs((n_chars or 0) - len(text)), 1000) / 1000
-    x[HASHED + 5] = text.count("\n\n") / lines
-    x[HASHED + 6] = text.count(" | ") / lines / 10
-    x[HASHED + 7] = float(lines == 1)
+    x[HASHED + 1] = size / 8
+    x[HASHED + 2 + min(int(size / 2), 5)] = 1.0
     return x
 
 
@@ -81,9 +99,79 @@ class Logistic:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
         return z @ self.weights[1:] + self.weights[0]
 
-    def log_odds(self, x: np.ndarray) -> np.ndarray:
+    def log_odds(self, raw: np.ndarray) -> np.ndarray:
         """Calibrated."""
-        return np.clip(self.slope * self.raw(x) + self.offset, -15, 15)
+        return np.clip(self.slope * raw + self.offset, -15, 15)
+
+
+@dataclass
+class TextModel:
+    """A logistic regression over standardised shapes and over shares of hashed words."""
+
+    mean: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
+    table: np.ndarray
+    slope: float = 1.0
+    offset: float = 0.0
+
+    def raw(self, shapes: np.ndarray, by_words: np.ndarray) -> np.ndarray:
+        """by_words: the mean of the table over each text's words."""
+        return np.clip((shapes - self.mean) / self.scale, -8, 8) @ self.weights[1:] + self.weights[0] + by_words
+
+    def over_bag(self, b: _Bag) -> float:
+        return float(self.table[b[0]] @ b[1] / b[1].sum()) if len(b[0]) else 0.0
+
+    def over_text(self, text: str) -> float:
+        total, n = 0.0, 0
+        for ids in word_buckets(text):
+            total += float(self.table.take(ids).sum(dtype=np.float64))
+            n += len(ids)
+        return total / n if n else 0.0
+
+    def raw_rows(self, x: Texts) -> np.ndarray:
+        return self.raw(x.shapes, np.array([self.over_bag(b) for b in x.bags]))
+
+    def log_odds(self, raw: np.ndarray) -> np.ndarray:
+        """Calibrated."""
+        return np.clip(self.slope * raw + self.offset, -15, 15)
+
+
+@dataclass
+class Texts:
+    """The text view of some rows."""
+
+    shapes: np.ndarray
+    bags: list[_Bag]
+
+    def __len__(self) -> int:
+        return len(self.bags)
+
+    def rows(self, at: np.ndarray) -> Texts:
+        return Texts(self.shapes[at], [self.bags[i] for i in at])
+
+    def plus(self, other: Texts) -> Texts:
+        return Texts(np.vstack([self.shapes, other.shapes]), self.bags + other.bags)
+
+
+def fit_text(x: Texts, y: np.ndarray, weight: np.ndarray, epochs: int = 4, rate: float = 0.4, seed: int = 9) -> TextModel:
+    """Stochastic gradient descent with a step of its own for each weight."""
+    scale = x.shapes.std(0)
+    m = TextModel(x.shapes.mean(0), np.where(scale > 1e-9, scale, 1.0), np.zeros(x.shapes.shape[1] + 1), np.zeros(BUCKETS))
+    z = np.column_stack([np.ones(len(x)), np.clip((x.shapes - m.mean) / m.scale, -8, 8)])
+    shares = [b[1] / max(b[1].sum(), 1) for b in x.bags]
+    dense, words, rng = np.full(z.shape[1], 1e-6), np.full(BUCKETS, 1e-8), np.random.default_rng(seed)
+    for _ in range(epochs):
+        for i in rng.permutation(len(x)):
+            kinds, share = x.bags[i][0], shares[i]
+            g = weight[i] * (sigmoid(np.clip(z[i] @ m.weights + m.table[kinds] @ share, -30, 30)) - y[i])
+            step = g * z[i]
+            dense += step * step
+            m.weights -= rate * 0.25 * step / np.sqrt(dense)
+            step = g * share
+            words[kinds] += step * step
+            m.table[kinds] -= rate * step / np.sqrt(words[kinds])
+    return m
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -107,11 +195,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1
     return Logistic(mean, scale, w)
 
 
-def calibrate(m: Logistic, x: np.ndarray, y: np.ndarray) -> None:
+def calibrate(m: Logistic | TextModel, raw: np.ndarray, y: np.ndarray) -> None:
     """A straight line of the log-odds (Platt), on rows that the view was not fitted on."""
     if len(y) < 20 or y.min() == y.max():
         return
-    line = fit_logistic(m.raw(x)[:, None], y, np.ones(len(y)), l2=0.01)
+    line = fit_logistic(raw[:, None], y, np.ones(len(y)), l2=0.01)
     slope = float(line.weights[1] / line.scale[0])
     if slope > 0:
         m.slope, m.offset = slope, float(line.weights[0] - slope * line.mean[0])
@@ -119,20 +207,31 @@ def calibrate(m: Logistic, x: np.ndarray, y: np.ndarray) -> None:
 
 @dataclass
 class Model:
-    text: Logistic | None = None
+    text: TextModel | None = None
     meta: Logistic | None = None
-    prior: float = 0.0
     blend: tuple[float, float, float] = (0.0, 1.0, 1.0)
 
-    def scores(self, xt: np.ndarray, xm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def scores(self, texts: list[str], xm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the text view, of the metadata view and of both."""
         if self.text is None:
-            half = np.full(len(xt), 0.5)
+            half = np.full(len(texts), 0.5)
             return half, half, half
-        a, b = self.text.log_odds(xt), self.meta.log_odds(xm)
+        shapes = np.array([shape_features(t) for t in texts])
+        a = self.text.log_odds(self.text.raw(shapes, np.array([self.text.over_text(t) for t in texts])))
+        b = self.meta.log_odds(self.meta.raw(xm))
         return sigmoid(a), sigmoid(b), sigmoid(self.blend[0] + self.blend[1] * a + self.blend[2] * b)
 
 
-def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, ut: np.ndarray, um: np.ndarray, rounds: int = 5, share: float = 0.04, sure: float = 0.95, seed: int = 3) -> Model:
+def surest(p: np.ndarray, taken: dict[int, float], share: float, base: float, sure: float) -> dict[int, float]:
+    """Pseudo-labels: of each class the rows that the view is surest of and that have none yet, in proportion to the classes."""
+    n, out = max(1, int(share * len(p))), {}
+    for order, label, most in ((np.argsort(-p, kind="stable"), 1.0, int(n * base) + 1), (np.argsort(p, kind="stable"), 0.0, int(n * (1 - base)) + 1)):
+        certain = [int(i) for i in order if (p[i] if label else 1 - p[i]) >= sure and i not in taken]
+        out.update(dict.fromkeys(certain[:most], label))
+    return out
+
+
+def co_train(xt: Texts, xm: np.ndarray, y: np.ndarray, ut: Texts, um: np.ndarray, rounds: int = 4, share: float = 0.05, sure: float = 0.95, seed: int = 3) -> Model:
     """xt, xm, y: labelled rows; ut, um: unlabelled rows. A pseudo-label weighs half of a label."""
     if len(y) < 20 or y.min() == y.max():
         return Model()
@@ -141,28 +240,30 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, ut: np.ndarray, um:
     cal, tr = order[:n_cal], order[n_cal:]
     if y[tr].min() == y[tr].max():
         return Model()
-    base = y[tr].mean()
-    given = {"text": {}, "meta": {}}  # pseudo-labels by row that the other view gave
-
-    def fitted(x: np.ndarray, u: np.ndarray, extra: dict[int, float]) -> Logistic:
-        k = np.fromiter(extra, int, len(extra))
-        return fit_logistic(np.vstack([x[tr], u[k]]), np.concatenate([y[tr], [extra[i] for i in k]]), np.concatenate([np.ones(len(tr)), np.full(len(k), 0.5)]))
-
-    text, meta = fitted(xt, ut, {}), fitted(xm, um, {})
+    base = float(y[tr].mean())
+    to_text, to_meta = {}, {}  # pseudo-labels by row that the other view gave
+
+    def fitted() -> tuple[TextModel, Logistic]:
+        kt, km = (np.fromiter(d, int, len(d)) for d in (to_text, to_meta))
+        weights = [np.concatenate([np.ones(len(tr)), np.full(len(k), 0.5)]) for k in (kt, km)]
+        text = fit_text(xt.rows(tr).plus(ut.rows(kt)), np.concatenate([y[tr], [to_text[i] for i in kt]]), weights[0])
+        meta = fit_logistic(np.vstack([xm[tr], um[km]]), np.concatenate([y[tr], [to_meta[i] for i in km]]), weights[1])
+        calibrate(text, text.raw_rows(xt.rows(cal)), y[cal])
+        calibrate(meta, meta.raw(xm[cal]), y[cal])
+        return text, meta
+
+    text, meta = fitted()
     for _ in range(rounds if len(ut) else 0):
-        for view, x, u, other in ((text, xt, ut, "meta"), (meta, xm, um, "text")):
-            calibrate(view, x[cal], y[cal])
-            p = sigmoid(view.log_odds(u))
-            n = max(1, int(share * len(u)))
-            for ranked, label, k in ((np.argsort(-p, kind="stable"), 1.0, int(n * base) + 1), (np.argsort(p, kind="stable"), 0.0, int(n * (1 - base)) + 1)):
-                certain = [i for i in ranked[: 8 * k] if (p[i] if label else 1 - p[i]) >= sure and i not in given[other]]
-                given[other].update(dict.fromkeys(certain[:k], label))
-        text, meta = fitted(xt, ut, given["text"]), fitted(xm, um, given["meta"])
-    model = Model(text, meta, float(np.log(base / (1 - base))))
-    for view, x in ((text, xt), (meta, xm)):
-        calibrate(view, x[cal], y[cal])
+        new_meta = surest(sigmoid(text.log_odds(text.raw_rows(ut))), to_meta, share, base, sure)
+        new_text = surest(sigmoid(meta.log_odds(meta.raw(um))), to_text, share, base, sure)
+        if not new_meta and not new_text:
+            break
+        to_meta.update(new_meta)
+        to_text.update(new_text)
+        text, meta = fitted()
+    model = Model(text, meta)
     if n_cal and y[cal].min() < y[cal].max():
-        both = fit_logistic(np.column_stack([text.log_odds(xt[cal]), meta.log_odds(xm[cal])]), y[cal], np.ones(n_cal), l2=0.01)
+        both = fit_logistic(np.column_stack([text.log_odds(text.raw_rows(xt.rows(cal))), meta.log_odds(meta.raw(xm[cal]))]), y[cal], np.ones(n_cal), l2=0.01)
         w = both.weights[1:] / both.scale
         if (w >= 0).all():
             model.blend = (float(both.weights[0] - (w * both.mean).sum()), float(w[0]), float(w[1]))
@@ -177,44 +278,45 @@ def _views(documents: DataFrame, extra: list) -> DataFrame:
     return documents.select(*cols, *extra)
 
 
-def _both(batch: pa.RecordBatch) -> tuple[list[list[float]], list[list[float]]]:
-    texts = [t or "" for t in batch.column("text").to_pylist()]
-    meta = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("n_chars").to_pylist(), texts, strict=True)
-    return [text_features(t) for t in texts], [meta_features(*m) for m in meta]
+def _meta(batch: pa.RecordBatch) -> list[list[float]]:
+    return [meta_features(*m) for m in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)]
 
 
-def _gather(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _gather(rows: DataFrame, max_kinds: int) -> tuple[Texts, np.ndarray, np.ndarray]:
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            t, m = _both(batch)
-            return {"doc_id": batch.column("doc_id"), "y": batch.column("__y"), "t": pa.array(t, pa.list_(pa.float64())), "m": pa.array(m, pa.list_(pa.float64()))}
+            texts = texts_of(batch)
+            bags = [bag(t, max_kinds) for t in texts]
+            return {
+                "doc_id": batch.column("doc_id"), "y": batch.column("__y"), "s": pa.array([shape_features(t) for t in texts], pa.list_(pa.float64())), "m": pa.array(_meta(batch), pa.list_(pa.float64())),
+                "k": pa.array([k.astype("<u2").tobytes() for k, _ in bags], pa.binary()), "c": pa.array([c.astype("<u4").tobytes() for _, c in bags], pa.binary()),
+            }
 
         return work
 
-    # an id that repeats counts once, so what reaches the driver stays within the sample's bound
-    got = map_batches(rows, make, "doc_id bigint, y int, t array<double>, m array<double>").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("t").alias("t"), F.min("m").alias("m")).limit(4 * LARGEST_SAMPLE).toArrow()
-    if not got.num_rows:
-        return np.zeros((0, TEXT_FEATURES)), np.zeros((0, META_FEATURES)), np.zeros(0)
-    t, m, y = np.array(got["t"].to_pylist()), np.array(got["m"].to_pylist()), np.array([0 if v is None else v for v in got["y"].to_pylist()], float)
-    order = np.lexsort((*t.T, *m.T, np.array(got["doc_id"].to_pylist())))
-    return t[order], m[order], (y[order] > 0).astype(float)
+    # an id that repeats counts once, by one of its rows, so what reaches the driver stays within the sample's bound
+    got = map_batches(rows, make, "doc_id bigint, y int, s array<double>, m array<double>, k binary, c binary")
+    got = got.groupBy("doc_id").agg(F.min(F.struct("y", "s", "m", "k", "c")).alias("r")).select("doc_id", "r.*").toArrow().to_pylist()
+    got.sort(key=lambda r: r["doc_id"])
+    bags = [(np.frombuffer(r["k"], "<u2").astype(np.int64), np.frombuffer(r["c"], "<u4").astype(np.int64)) for r in got]
+    y = np.array([float((r["y"] or 0) > 0) for r in got])
+    return Texts(np.array([r["s"] for r in got]).reshape(len(got), SHAPES), bags), np.array([r["m"] for r in got]).reshape(len(got), META_FEATURES), y
 
 
-def train(documents: DataFrame, labels: DataFrame, max_rows: int = 8000, target: str = "quality") -> Model:
+def train(documents: DataFrame, labels: DataFrame, max_rows: int = 8000, target: str = "quality", max_kinds: int = 4096) -> Model:
     """Learns labels only from rows whose crc32(doc_id as text) mod 5 is not 0."""
     bound_batches(documents.sparkSession)
     rows = labels.where((fold(labels, 5) != 0) & labels[target].isNotNull())
     n, total = rows.count(), documents.count()
-    scale = 1 << 30
 
-    def key(df: DataFrame, salt: str):
-        return F.pmod(F.xxhash64(df["doc_id"].cast("string"), F.lit(salt)), F.lit(scale))
+    def chosen(df: DataFrame, salt: str, of: int):
+        return F.pmod(F.xxhash64(df["doc_id"].cast("string"), F.lit(salt)), F.lit(1 << 30)) < int(min(1.0, max_rows / max(of, 1)) * (1 << 30)) + 1
 
-    picked = rows.where(key(rows, "sample") < int(min(1.0, max_rows / max(n, 1)) * scale) + 1).select(rows["doc_id"].cast("bigint").alias("__key"), rows[target].cast("int").alias("__y")).limit(2 * max_rows)
+    picked = rows.where(chosen(rows, "sample", n)).groupBy(rows["doc_id"].cast("bigint").alias("__key")).agg(F.max(rows[target].cast("int")).alias("__y"))
     views = _views(documents, [])
-    xt, xm, y = _gather(views.join(F.broadcast(picked), views["doc_id"] == picked["__key"]).drop("__key"))
-    pool = documents.where(documents["doc_id"].isNotNull() & (key(documents, "pool") < int(min(1.0, max_rows / max(total, 1)) * scale) + 1))
-    ut, um, _ = _gather(_views(pool, [F.lit(None).cast("int").alias("__y")]))
+    xt, xm, y = _gather(views.join(F.broadcast(picked), views["doc_id"] == picked["__key"]).drop("__key"), max_kinds)
+    pool = _views(documents.where(documents["doc_id"].isNotNull() & chosen(documents, "pool", total)), [F.lit(None).cast("int").alias("__y")])
+    ut, um, _ = _gather(pool.join(F.broadcast(picked.select("__key")), pool["doc_id"] == F.col("__key"), "left_anti"), max_kinds)
     return co_train(xt, xm, y, ut, um)
 
 
@@ -226,8 +328,7 @@ def classify_quality(documents: DataFrame, labels: DataFrame, max_rows: int = 80
         m = shared.value
 
         def work(batch: pa.RecordBatch) -> dict:
-            t, x = _both(batch)
-            a, b, s = m.scores(np.array(t), np.array(x))
+            a, b, s = m.scores(texts_of(batch), np.array(_meta(batch)))
             return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "text_score": pa.array(a), "meta_score": pa.array(b), "score": pa.array(s), "predicted": pa.array((s >= 0.5).astype(np.int32), pa.int32())}
 
         return work

@@ -83,7 +83,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _mix(np.add.reduceat(_BYTE[raw[at]] * powers[at - np.repeat(starts, lengths)], first)), starts
 
 
-def _pieces(data: bytes) -> Iterator[bytes]:
+def pieces_of(data: bytes) -> Iterator[bytes]:
     """Cuts a long text at white space."""
     at = 0
     while at < len(data):
@@ -130,7 +130,7 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray
             continue
         data = text.encode().lower()
         if len(data) > _PIECE:
-            words = np.concatenate([word_hashes(p)[0] for p in _pieces(data)])
+            words = np.concatenate([word_hashes(p)[0] for p in pieces_of(data)])
             if len(words):
                 out[i] = _distinct(_shingles_of(words, width))
             continue
