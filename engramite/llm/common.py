@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from engramite.plans.ship import ship_package
 from engramite.plans.scratch import discard, materialize, shared_dir  # noqa: F401
@@ -38,11 +39,11 @@ def fold(df: DataFrame, modulus: int) -> Column:
 
 
 def map_batches(
-    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str | StructType
 ) -> DataFrame:
     """Runs make()(batch) -> columns over Arrow batches; make() is called once in each task."""
     bound_batches(df.sparkSession)
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    names = schema.names if isinstance(schema, StructType) else [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()

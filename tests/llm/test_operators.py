@@ -325,8 +325,10 @@ def test_decontamination(spark, docs, clashing, nothing, corpus):
     small = [d for d in corpus if d[1] is None or len(d[1]) < 5000]
     want = sorted(repr((d[0], *brute_contamination(d[1], items))) for d in small)
     part = docs.where("text is null or length(text) < 5000")
-    for most in (10**6, 20):  # one block, and many
-        assert sorted(map(repr, rows(decontam.find_contamination(part, bench, max_words=most)))) == want
+    for most, per_pass in ((10**6, 4), (20, 100), (20, 2)):  # one block, many in a pass, many passes
+        assert sorted(map(repr, rows(decontam.find_contamination(part, bench, max_words=most, per_pass=per_pass)))) == want
+    same(decontam.decontaminate(part, bench), decontam.decontaminate(part, bench, max_words=20, per_pass=2))
+    assert decontam.decontaminate(clashing, bench, max_words=20, per_pass=1).columns == clashing.columns
     same(decontam.find_contamination(docs, bench), decontam.find_contamination(clashing, bench))
     assert rows(decontam.find_contamination(nothing, bench)) == []
     assert all(not r[5] for r in rows(decontam.find_contamination(docs, bench.where("false"))))
