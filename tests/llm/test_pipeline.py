@@ -26,9 +26,27 @@ def table(df):
 
 def test_names_and_columns(spark, docs, folder):
     assert [k for k, _ in cp.STAGES] == ["language ID", "MinHash near-dedup", "benchmark decontamination", "PII", "packing"]
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs.where("false"), folder).count() == 0
     for _, stage in cp.STAGES[:4]:
         assert stage(spark, docs, folder).columns == docs.columns
-        assert stage(spark, docs.where("false"), folder).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_clashing_columns_change_nothing(spark, docs, clashing, folder, name):
+    stage = dict(cp.STAGES)[name]
+    plain, more = stage(spark, docs, folder), stage(spark, clashing, folder)
+    if name != "packing":
+        assert more.columns == clashing.columns
+    assert table(plain) == table(more.select(*plain.columns))
+
+
+def test_rows_that_repeat_an_id(spark, docs, folder):
+    words = [f"w{k}" for k in range(40)]
+    data = [(1, " ".join(words), "en", "b", 5), (1, " ".join(words), "en", "a", 5), (1, "another text of the same id", "en", "a", 5), (2, " ".join(words), "en", "a", 5), (3, "a third one", None, None, None), (None, "x", None, None, None)]
+    rows = spark.createDataFrame(data, docs.schema)
+    want = sorted(map(repr, [data[1], data[2], data[4], data[5]]))
+    assert table(cp.near_dedup(spark, rows, folder)) == want == table(cp.near_dedup(spark, rows.repartition(3), folder))
 
 
 def test_language_stage(spark, docs, folder):
