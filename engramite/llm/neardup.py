@@ -4,13 +4,15 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles. Its
 b-bit symbols (the low b bits of as many minima), split into CHUNKS. Two signatures that differ in at most DISTANCE
 symbols have, by pigeonhole, a chunk with at most DISTANCE // CHUNKS differing symbols; so each chunk enters the index once
 for each way to leave out that many symbols, and every such pair shares an index key. (With the defaults that is
-11 of 24; at a similarity of 0.75 a pair shares a key with probability 0.9997, above it with more.)
+15 of 32; at a similarity of 0.75 a pair shares a key with probability 0.99998, above it with more.)
 
 Nothing emits all pairs of a key. Exact copies first shrink to one document. The smallest document of a key is its hub; the
 documents of all keys with one hub form a group. A group is dealt to blocks of bounded size; each block is compared on full
-sets with the hub and within itself, one row per document. Only documents that the hub does not link then
-meet the other blocks, so a group of near copies of one text costs rows in proportion to its size; the worst case, a group of
-many blocks of which the hub links little, costs rows by blocks. A task emits only links that join what was apart.
+sets with the hub and within itself, one row per document. Where a hub leaves documents of a group of several blocks unlinked, as
+documents with a passage in common do, the documents of all such groups get exact keys instead: with shingles ordered from the rare to the
+frequent, two sets of that similarity share one of the first ``n - ceil(0.75 n) + 1`` of either, whatever the order. These keys are compared by
+hubs in the same way, and a passage in common is no key any more, so rows stay in proportion to documents; only what a hub leaves
+again, in a group of several blocks, meets the other blocks of its group. A task emits only links that join what was apart.
 Components then follow from the links by joins.
 
 Defined cases: documents without words, and null texts, have empty sets and are linked with nothing; fewer than
@@ -20,6 +22,7 @@ its texts is linked to; a null id is linked with nothing, its component is null
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +33,12 @@ from pyspark.sql import functions as F
 from engramite.llm.common import bound_batches, discard, doc_id, map_batches, materialize
 from engramite.plans.components import connected_components
 
-WIDTH, BITS, CHUNKS, CHUNK = 5, 16, 6, 4
+WIDTH, BITS, CHUNKS, CHUNK = 5, 16, 8, 4
 SYMBOLS = CHUNKS * CHUNK
 DISTANCE = 2 * CHUNKS - 1
 BLOCK_SHINGLES, BLOCK_DOCS = 200_000, 512
+#: Shingles that are told apart by how frequent they are; the others go by their hash. Any order is exact, this one is short of keys.
+RANKED = 50_000
 _PIECE = 1 << 20
 
 _rng = np.random.default_rng(20240229)
@@ -290,33 +295,94 @@ def near_duplicate_links(documents: DataFrame, copies: DataFrame, percent: int =
     """Confirmed links (a, b) between different sets, enough of them to connect all that are linked.
 
     copies: (doc_id, n, keys) with one row per distinct set."""
-    keyed = copies.where("n > 0").select(F.col("doc_id").alias("doc"), "n", F.explode("keys").alias("key"))
+    members = _members(copies.where("n > 0").select(F.col("doc_id").alias("doc"), "n", F.explode("keys").alias("key")))
+    # texts are shuffled once and never sorted, whatever the number of ids; all comparisons read the sets
+    wanted = members.select("doc").union(members.select("hub")).distinct()
+    docs = documents.select(doc_id(documents).alias("doc_id"), documents["text"])
+    sets = materialize(_full_sets(docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted["doc"], "left_semi"), width), "sets")
+    links, several = _by_hubs(members, sets, percent)
+    parts, tables = [links], [members, sets]
+    if several is not None:
+        left = several.join(several.where("rest").select("hub").distinct(), "hub", "left_semi")
+        left = left.select("doc").union(left.select("hub")).distinct()
+        chosen = materialize(sets.join(left, "doc", "left_semi"), "left")
+        again = _members(_exact_keys(chosen, percent))
+        links, unsettled = _by_hubs(again, chosen, percent)
+        parts.append(links)
+        tables += [several, chosen, again]
+        if unsettled is not None:
+            parts.append(_all_blocks(unsettled, chosen, percent))
+            tables.append(unsettled)
+    for t in tables:
+        discard(t)
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _members(keyed: DataFrame) -> DataFrame:
+    """keyed(doc, n, key): (hub, doc, n) of the documents that share a key with a smaller one, its hub."""
     hubs = keyed.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("top")).where("hub <> top").select("key", "hub")
-    members = materialize(keyed.join(hubs, "key").where("doc <> hub").select("hub", "doc", "n").distinct(), "members")
+    return materialize(keyed.join(hubs, "key").where("doc <> hub").select("hub", "doc", "n").distinct(), "members")
+
+
+def _by_hubs(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Links of each block with its hub and within itself; and, if hubs of groups of several blocks leave any document, the
+    members of these groups (hub, doc, n, rest)."""
     sizes = materialize(members.groupBy("hub").agg(_blocks().alias("q")), "sizes")
     placed = members.join(sizes, "hub").select("hub", _dealt(F.col("q")).alias("i"), "doc")
     own = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("i"), F.col("hub").alias("doc"))
     rows = placed.withColumn("block", F.col("i")).unionByName(own.withColumn("block", F.lit(-1))).withColumn("j", F.col("i"))
-    # texts are shuffled once and never sorted, whatever the number of ids; both comparisons read the sets
-    wanted = members.select("doc").union(members.select("hub")).distinct()
-    docs = documents.select(doc_id(documents).alias("doc_id"), documents["text"])
-    sets = materialize(_full_sets(docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted["doc"], "left_semi"), width), "sets")
     links = _compared(sets, rows, percent)
-    # in groups of several blocks, what the hub does not link is compared with all others too
     several = members.join(sizes.where("q > 1").select("hub"), "hub", "left_semi")
     found = links.select(F.col("a").alias("hub"), F.col("b").alias("doc"), F.lit(True).alias("found"))
     several = materialize(several.join(found.distinct(), ["hub", "doc"], "left").select("hub", "doc", "n", F.col("found").isNull().alias("rest")), "several")
-    if not several.where("rest").limit(1).count():
-        discard(sets)
-        return links
+    discard(sizes)
+    return links, several if several.where("rest").limit(1).count() else None
+
+
+def _exact_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """sets(doc, shingles): (doc, n, key) so that any two sets of the similarity share a key."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                kinds, n = np.unique(np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n)], names=["key", "n"])
+
+    counted = sets.select("shingles").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    frequent = np.array([r.key for r in counted.where("n > 1").orderBy("n", "key", ascending=[False, True]).limit(RANKED).collect()], np.int64)
+    order = np.argsort(frequent)
+    shared = sets.sparkSession.sparkContext.broadcast((frequent[order], len(frequent) - order))  # at most RANKED shingles
+
+    def make():
+        known, rank = shared.value
+
+        def work(batch: pa.RecordBatch) -> dict:
+            docs, sizes, keys = [], [], []
+            for doc, data in zip(batch.column("doc").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                own = np.frombuffer(data, np.int64)
+                ranks = np.zeros(len(own), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    ranks = np.where(known[at] == own, rank[at], 0)
+                first = own[np.lexsort((own, ranks))[: len(own) + percent * len(own) // -100 + 1]]
+                docs.append(np.full(len(first), doc))
+                sizes.append(np.full(len(first), len(own)))
+                keys.append(first)
+            return {name: pa.array(np.concatenate(x).astype(np.int64)) for name, x in (("doc", docs), ("n", sizes), ("key", keys))}
+
+        return work
+
+    return map_batches(sets, make, "doc bigint, n bigint, key bigint")
+
+
+def _all_blocks(several: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of what hubs left with all other blocks of its group."""
     rest, linked = several.where("rest"), several.where("not rest")
     most = rest.groupBy("hub").agg(_blocks().alias("r")).join(linked.groupBy("hub").agg(_blocks().alias("l")), "hub", "left").fillna(0, ["l"])
     placed = several.join(most, "hub").withColumn("block", F.when(F.col("rest"), _dealt(F.col("r"))).otherwise(F.col("r") + _dealt(F.greatest("l", F.lit(1)))))
     others = F.when(F.col("rest"), F.sequence(F.lit(0), F.col("r") + F.col("l") - 1)).otherwise(F.sequence(F.lit(0), F.col("r") - 1))
     rows = placed.select("hub", "doc", "block", F.explode(others).alias("other")).select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc")
-    links = links.unionByName(_compared(sets, rows, percent))
-    discard(sets)
-    return links
+    return _compared(sets, rows, percent)
 
 
 def _blocks() -> Column:
@@ -338,8 +404,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75, width: int = WIDTH)
     """doc_id, n_shingles, component_id (the smallest id reachable over links) and kept for each row of documents."""
     bound_batches(documents.sparkSession)
     signed = materialize(sign(documents, width), "signed")
-    firsts = signed.where("n > 0 and doc_id is not null").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("first"))
-    firsts = materialize(firsts, "firsts")
+    firsts = materialize(signed.where("n > 0 and doc_id is not null").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("first")), "firsts")
     copies = signed.join(firsts.select(F.col("first").alias("doc_id"), "set_a", "set_b", "n"), ["doc_id", "set_a", "set_b", "n"], "left_semi").dropDuplicates(["doc_id", "set_a", "set_b", "n"])
     links = near_duplicate_links(documents, copies, percent, width)
     small = signed.select("doc_id", "n", "set_a", "set_b")
@@ -352,4 +417,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75, width: int = WIDTH)
     groups = connected_components(links)
     labelled = labelled.join(groups, labelled["first"] == groups["node"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first"))
-    return labelled.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = materialize(labelled.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "near-duplicates")
+    for t in (signed, firsts, links, groups):
+        discard(t)
+    return out

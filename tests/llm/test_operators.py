@@ -392,6 +392,66 @@ def test_chains_that_leave_their_hub_stay_whole(spark, monkeypatch):
     assert sorted((r[0], r[1], r[2]) for r in got) == sorted(brute_components(chain)) and {r[2] for r in got} == {0}
 
 
+def test_what_hubs_leave_twice_meets_all_blocks(spark, monkeypatch):
+    """Blocks of two documents, and a chain that drifts away from its hub while its prefixes still share keys with it."""
+    calls, real = [], neardup._all_blocks
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", 2)
+    monkeypatch.setattr(neardup, "_exact_keys", lambda sets, percent: sets.select("doc", neardup.F.lit(9).cast("bigint").alias("n"), neardup.F.lit(1).cast("bigint").alias("key")))
+    monkeypatch.setattr(neardup, "_all_blocks", lambda *a: calls.append(1) or real(*a))
+    words, chain = [f"w{k}" for k in range(120)], []
+    for i in range(30):
+        words[3 * i] = f"e{i}"
+        chain.append((i, " ".join(words)))
+    got = rows(neardup.near_duplicates(spark.createDataFrame(chain, "doc_id bigint, text string")))
+    assert sorted((r[0], r[1], r[2]) for r in got) == sorted(brute_components(chain)) and {r[2] for r in got} == {0} and calls
+
+
+def test_exact_keys_are_shared_by_all_similar_pairs(spark, monkeypatch):
+    rng = random.Random(16)
+    monkeypatch.setattr(neardup, "RANKED", 20)
+    for percent in (75, 50, 90):
+        pool = [rng.getrandbits(63) for _ in range(60)]
+        sets = {i: sorted({rng.choice(pool[: rng.choice([12, 60])]) for _ in range(rng.randrange(1, 25))}) for i in range(150)}
+        table = spark.createDataFrame([(i, bytearray(np.array(x, np.int64).tobytes())) for i, x in sets.items()], "doc bigint, shingles binary")
+        keys = {}
+        for r in neardup._exact_keys(table, percent).collect():
+            assert r.n == len(sets[r.doc]) and r.key in sets[r.doc]
+            keys.setdefault(r.doc, set()).add(r.key)
+        for a in sets:
+            x = set(sets[a])
+            for b in sets:
+                if a < b and 100 * len(x & set(sets[b])) >= percent * len(x | set(sets[b])):
+                    assert keys[a] & keys[b]
+
+
+def test_a_passage_in_common_costs_rows_in_proportion(spark, monkeypatch):
+    """Documents with a passage in common and little else: twice the documents, about twice the rows of comparison."""
+    rng, passage, counted = random.Random(17), " ".join(f"p{k}" for k in range(60)), []
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", 16)
+    real = neardup._compared
+
+    def counting(sets, rows_, percent):
+        counted[-1] += rows_.count()
+        return real(sets, rows_, percent)
+
+    monkeypatch.setattr(neardup, "_compared", counting)
+    texts = [(i, f"{passage} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(800)]
+    for n in (400, 800):
+        counted.append(0)
+        got = rows(neardup.near_duplicates(spark.createDataFrame(texts[:n], "doc_id bigint, text string")))
+        assert all(r[0] == r[2] for r in got)
+    assert 0 < counted[1] < 3 * counted[0] and counted[1] < 20 * 800, counted
+
+
+def test_pairs_at_the_boundary_share_a_key_almost_always():
+    rng, missed = np.random.default_rng(18), 0
+    for _ in range(4000):
+        both, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (75, 12, 13))
+        x, y = neardup.index_keys(neardup.signatures([np.concatenate((both, a)), np.concatenate((both, b))]))
+        missed += not set(x) & set(y)
+    assert missed <= 2
+
+
 def test_pairs_within_the_distance_share_a_key():
     rng = np.random.default_rng(1)
     for _ in range(2000):
