@@ -36,7 +36,7 @@ from engramite.plans.components import connected_components
 WIDTH, BITS, CHUNKS, CHUNK = 5, 16, 8, 4
 SYMBOLS = CHUNKS * CHUNK
 DISTANCE = 2 * CHUNKS - 1
-BLOCK_SHINGLES, BLOCK_DOCS = 200_000, 512
+BLOCK_SHINGLES, BLOCK_DOCS = 200_000, 256
 #: Shingles that are told apart by how frequent they are; the others go by their hash. Any order is exact, this one is short of keys.
 RANKED = 50_000
 _PIECE = 1 << 20
