@@ -111,6 +111,7 @@ def json_array_rescue(text: Column) -> Column:
     return F.when(bare.rlike(r"^\[(?s:.*)\]\z"), bare).otherwise(F.regexp_extract(bare, r"(?s)(\[.*\])", 1))
 
 
+# What takes a secret's place, and the shape of credentials in an address.
 REDACTED = "[REDACTED]"
 URI_CREDENTIALS = r"(?i)([a-z0-9+.-]+://)([^/:\s]*):([^@/:\s]+)(@[^/\s]+)"
 # Shapes of vendors' keys and tokens.

@@ -16,7 +16,8 @@ from engramite.plans.ship import ship_package
 
 K1, B = 1.2, 0.75
 KEYWORD_BONUS, GATE, MMR_LAMBDA = 0.2, 0.30, 0.7
-QUERY_BLOCK = 4096
+#: Vectors of a block, the least of one, and of a tile of the product of two.
+BLOCK, LEAST_BLOCK, TILE = 16_384, 1024, 1024
 
 
 def postings(texts: DataFrame) -> DataFrame:
@@ -32,18 +33,26 @@ def document_frequency(texts: DataFrame) -> DataFrame:
 
 def keyword_and_match(texts: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id): texts that hold every token of queries(query_id, query). The tokens of the queries cut the exploded texts
-    before anything is counted."""
-    q = queries.select("query_id", tokens(F.col("query")).alias("t")).where(F.size("t") > 0).select("query_id", F.size("t").alias("need"), F.explode("t").alias("token"))
+    before anything is counted. Null and empty texts, and queries without tokens, match nothing."""
+    q = query_tokens(queries)
     t = texts.select("id", F.explode(tokens(F.col("content"))).alias("token")).join(q.select("token").distinct(), "token", "left_semi")
     return t.join(q, "token").groupBy("query_id", "id", "need").agg(F.count("*").alias("n")).where("n = need").select("query_id", "id")
 
 
+def query_tokens(queries: DataFrame) -> DataFrame:
+    """queries(query_id, query): (query_id, need, token), a row for each distinct token."""
+    q = queries.select("query_id", tokens(F.col("query")).alias("t")).where(F.size("t") > 0)
+    return q.select("query_id", F.size("t").alias("need"), F.explode("t").alias("token"))
+
+
 def bm25(texts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best texts of each query that hold all its tokens: (query_id, id, score, rank)."""
-    p = postings(texts)
-    n = texts.agg(F.count("*").alias("n"), F.avg(F.size(F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda x: x != ""))).alias("avg_len")).first()
-    q = queries.select("query_id", tokens(F.col("query")).alias("t")).where(F.size("t") > 0).select("query_id", F.size("t").alias("need"), F.explode("t").alias("token"))
-    p = p.join(q.select("token").distinct(), "token", "left_semi")
+    """The k best texts of each query that hold all its tokens: (query_id, id, score, rank). Archived texts count as any other. Null and empty texts
+    match nothing but count; queries without tokens find nothing. The tokens of the queries cut the exploded texts before anything is counted."""
+    all_tokens = F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda x: x != "")
+    n = texts.agg(F.count("*").alias("n"), F.avg(F.size(all_tokens)).alias("avg_len")).first()
+    q = query_tokens(queries)
+    rows = texts.select("id", all_tokens.alias("t")).select("id", F.size("t").alias("doc_len"), F.explode("t").alias("token"))
+    p = rows.join(q.select("token").distinct(), "token", "left_semi").groupBy("token", "id", "doc_len").agg(F.count("*").alias("tf"))
     df = p.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(n.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(float(n.avg_len or 1.0))))
@@ -56,43 +65,102 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, earlier: bool = False) -
     """Exact neighbours by distance: (query_id, id, distance, rank). vectors(id, embedding), queries(query_id, embedding).
     With earlier, a query meets only ids up to its own, as when it was stored.
 
-    Queries go out in blocks of QUERY_BLOCK vectors, so what is broadcast is bounded; each batch of vectors meets a block in one matrix
-    product and keeps its k best, so few rows are shuffled."""
+    Both sides are dealt to blocks of about BLOCK vectors; each pair of blocks is a cell, one group of rows. In a cell the queries are held, the
+    vectors stream by, and each query keeps its k best; so a task holds one block, nothing goes through the driver, and what is merged in the end
+    is k rows for each query and block. Null ids, null vectors and vectors with a null element meet nothing; vectors meet queries
+    of their own length only; no queries or no vectors give no rows; rows that repeat are found as often as they occur, for a query that
+    repeats its neighbours are ranked together."""
     spark = vectors.sparkSession
     ship_package(spark)
-    parts, block = [], []
-
-    def nearest(ids: np.ndarray, q: np.ndarray) -> DataFrame:
-        shared = spark.sparkContext.broadcast((ids, q))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query_ids, m = shared.value
-            square = (m * m).sum(1)
-            for batch in batches:
-                got = [(i, e) for i, e in zip(batch.column("id").to_pylist(), batch.column("embedding").to_pylist(), strict=True) if i is not None and e is not None]
-                if not got:
-                    continue
-                own, x = np.array([i for i, _ in got]), np.array([e for _, e in got], np.float64)
-                d = np.round(np.sqrt(np.maximum(square[:, None] + (x * x).sum(1)[None, :] - 2 * (m @ x.T), 0)), 6)
-                for row in range(len(m)):
-                    met = np.flatnonzero(own <= query_ids[row]) if earlier else np.arange(len(own))
-                    best = met[np.lexsort((own[met], d[row][met]))[:k]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), query_ids[row])), pa.array(own[best]), pa.array(d[row][best])], names=["query_id", "id", "distance"])
-
-        return vectors.select(F.col("id").cast("bigint").alias("id"), "embedding").mapInArrow(run, "query_id bigint, id bigint, distance double")
-
-    for row in queries.where("query_id is not null and embedding is not null").select("query_id", "embedding").toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            parts.append(nearest(np.array([r.query_id for r in block]), np.array([r.embedding for r in block], np.float64)))
-            block = []
-    if block or not parts:
-        parts.append(nearest(np.array([r.query_id for r in block], np.int64), np.array([r.embedding for r in block], np.float64).reshape(len(block), -1)))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    whole = "{0} is not null and embedding is not null and not exists(embedding, x -> x is null)"
+    v = vectors.select(F.col("id").cast("bigint").alias("id"), "embedding").where(whole.format("id"))
+    q = queries.select(F.col("query_id").cast("bigint").alias("id"), "embedding").where(whole.format("query_id"))
+    n, parts = v.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    across, down = max(-(-n // BLOCK), min(parts, -(-n // LEAST_BLOCK)), 1), max(-(-q.count() // BLOCK), 1)
+
+    def dealt(rows: DataFrame, side: int, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+        return rows.select("id", F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dim"), F.lit(side).alias("side"), block.alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+    cells = dealt(q, 0, "i", down, "j", across).unionByName(dealt(v, 1, "j", across, "i", down))
+    cells = cells.repartition("i", "j", "dim").sortWithinPartitions("i", "j", "dim", "side", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, cell = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = np.column_stack([batch.column(c).to_numpy() for c in ("i", "j", "dim", "side")])
+            cuts = np.concatenate(([0], np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1, [len(marks)]))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if key != tuple(marks[a][:3]):
+                    if cell is not None:
+                        yield cell.best()
+                    key, cell = tuple(marks[a][:3]), _Cell(k, earlier)
+                part = batch.slice(a, b - a)
+                cell.add(bool(marks[a][3]), part.column("id").to_numpy(), part.column("embedding").flatten().to_numpy().reshape(b - a, int(marks[a][2])))
+        if cell is not None:
+            yield cell.best()
+
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return cells.mapInArrow(run, "query_id bigint, id bigint, distance double").withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+class _Cell:
+    """Queries of one block, and the k nearest to each of the vectors that were added; equally near ones by id."""
+
+    def __init__(self, k: int, earlier: bool):
+        self.k, self.earlier = k, earlier
+        self.ids, self.rows = [], []
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, vectors: bool, ids: np.ndarray, x: np.ndarray) -> None:
+        if not vectors:
+            self.ids.append(ids)
+            self.rows.append(x)
+            return
+        if not self.ids:
+            return
+        if len(self.ids) > 1 or not self.held:
+            self.ids, self.rows = [np.concatenate(self.ids)], [np.concatenate(self.rows)]
+        if not self.held:
+            self.square = (self.rows[0] ** 2).sum(1)
+            self.limit = np.full(len(self.ids[0]), np.inf)
+        for at in range(0, len(ids), TILE):
+            for first in range(0, len(self.ids[0]), TILE):
+                self._tile(slice(first, first + TILE), ids[at : at + TILE], x[at : at + TILE])
+
+    def _tile(self, some: slice, ids: np.ndarray, x: np.ndarray) -> None:
+        m = self.rows[0][some]
+        d = np.round(np.sqrt(np.maximum(self.square[some, None] + (x * x).sum(1)[None, :] - 2 * (m @ x.T), 0)), 6)
+        if self.earlier:
+            d = np.where(ids[None, :] <= self.ids[0][some][:, None], d, np.inf)
+        limit = self.limit[some]
+        if len(ids) > self.k:
+            limit = np.minimum(limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
+        at, col = np.nonzero((d <= limit[:, None]) & (d < np.inf))
+        self.found.append((at + some.start, d[at, col], ids[col]))
+        self.held += len(at) + 1
+        if self.held > 4 * TILE * self.k:
+            self._cut()
+
+    def _cut(self) -> None:
+        row, d, ids = (np.concatenate(c) for c in zip(*self.found, strict=True))
+        order = np.lexsort((ids, d, row))
+        row, d, ids = row[order], d[order], ids[order]
+        start = np.searchsorted(row, np.arange(len(self.limit)))
+        keep = np.arange(len(row)) - start[row] < self.k
+        self.found, self.held = [(row[keep], d[keep], ids[keep])], int(keep.sum()) + 1
+        full = np.flatnonzero(np.bincount(row[keep], minlength=len(self.limit)) == self.k)
+        self.limit[full] = d[start[full] + self.k - 1]
+
+    def best(self) -> pa.RecordBatch:
+        if self.found:
+            self._cut()
+            row, d, ids = self.found[0]
+            return pa.RecordBatch.from_arrays([pa.array(self.ids[0][row], pa.int64()), pa.array(ids, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "id", "distance"])
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query_id", "id", "distance"])
 
 
 def similarity(distance):
