@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engramite.functions.redact import redact_secrets
 from engramite.sources.model import DAY, NOW
 
-INTERNAL_AGENTS = ("background-worker", "background-extractor")
+# Identities of background writers, which earn no reputation and whose memories the first agent takes over.
+INTERNAL_AGENTS = ("antigravity-worker", "user-dialogue")
 CONTENT_CAP = 10_000
 IDLE, EXPIRY = 7 * DAY, 14 * DAY
 
@@ -141,16 +141,6 @@ def expire(memories: DataFrame, now: int = NOW) -> DataFrame:
     return memories.withColumn("valid_until", F.when(due, F.lit(now)).otherwise(F.col("valid_until")))
 
 
-def insertable(content: Column) -> Column:
-    """Neither blank nor over the cap."""
-    return (F.length(F.trim(content)) > 0) & (F.length(content) <= CONTENT_CAP)
-
-
-def prepare_insert(rows: DataFrame) -> DataFrame:
-    """rows(content, importance, agent_id): redacted and capped content, clamped importance, folded agent."""
-    return rows.withColumns({"content": F.substring(redact_secrets(F.col("content")), 1, CONTENT_CAP), "importance_score": clamp(F.col("importance")), "agent_id": F.lower("agent_id")})
-
-
 def clamp(importance: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), importance)), 4)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from engramite.functions import embed as emb
 from engramite.functions import text as tx
 from engramite.functions.redact import redact_secrets
-from engramite.operators import audit, context, curation, extraction, graph, retrieval, store
+from engramite.operators import audit, context, curation, extraction, graph, history, retrieval, store, write
 from engramite.plans.scratch import materialize, shared_dir
 from engramite.plans.ship import ship_package
 from engramite.sources import files, model
@@ -397,7 +397,90 @@ def contradiction_candidates(s, d):
     "mem act latest rep",
 )
 def resolve_contradictions(s, d):
-    return curation.resolve_contradictions(_candidates(s, d), _trusted(s, d).select("id", "trust"))
+    return curation.resolve_contradictions(_candidates(s, d), _trusted(s, d).select("id", "trust")).select("new_id", "old_id", "archived", "outcome")
+
+
+#: Each version as the winner over its parent, every third one the loser; one reason in five is an update.
+_LOST = ", pairs AS (SELECT CASE WHEN id % 3 = 0 THEN id ELSE parent_id END AS loser, CASE WHEN id % 3 = 0 THEN parent_id ELSE id END AS winner, CASE WHEN id % 5 = 1 THEN 'by update_memory' ELSE 'found' END AS reason, id AS step FROM mem WHERE parent_id IS NOT NULL)"
+
+
+def _lost(s, d):
+    m = model.memories(s, d)
+    third = F.col("id") % 3 == 0
+    found = m.where("parent_id is not null").select(
+        F.when(third, F.col("id")).otherwise(F.col("parent_id")).alias("loser"), F.when(third, F.col("parent_id")).otherwise(F.col("id")).alias("winner"), F.when(F.col("id") % 5 == 1, "by update_memory").otherwise("found").alias("reason"), F.col("id").alias("step")
+    )
+    return write.log_contradictions(m, model.provenance(s, d), found, NOW)
+
+
+@query(
+    _LOST + f" SELECT mem.id, CASE WHEN id IN (SELECT loser FROM pairs) THEN {NOW} ELSE valid_until END AS valid_until, coalesce(p.parent, mem.parent_id) AS parent_id FROM mem"
+    " LEFT JOIN (SELECT greatest(loser, winner) AS child, arg_max(least(loser, winner), step) AS parent FROM pairs GROUP BY 1) p ON p.child = mem.id",
+    "mem",
+)
+def log_contradictions(s, d):
+    return _lost(s, d)[0].select("id", "valid_until", "parent_id")
+
+
+@query(
+    _LOST + """, judged AS (SELECT o.source_id AS loser, CASE WHEN w.source_type = 'agent' THEN w.source_id END AS winner FROM pairs JOIN latest o ON o.memory_id = loser LEFT JOIN latest w ON w.memory_id = pairs.winner
+      WHERE o.source_type = 'agent' AND coalesce(w.source_id, '') <> o.source_id AND NOT contains(reason, 'update_memory'))
+    SELECT agent_id, count(*) FILTER (action = 'contradicted') AS contradicted, count(*) FILTER (action = 'confirmed') AS confirmed FROM (SELECT loser AS agent_id, 'contradicted' AS action FROM judged UNION ALL SELECT winner, 'confirmed' FROM judged WHERE winner IS NOT NULL) GROUP BY agent_id""",
+    "mem latest",
+)
+def contradiction_counters(s, d):
+    n = {a: F.count(F.when(F.col("action") == a, 1)).alias(a) for a in ("contradicted", "confirmed")}
+    return _lost(s, d)[2].groupBy("agent_id").agg(*n.values())
+
+
+#: Provenance of which each third row belongs to a background writer, and every memory stored again by the agent of its id.
+_GHOSTS = ", ghosts AS (SELECT id, memory_id, source_type, CASE WHEN id % 3 = 0 THEN 'user-dialogue' ELSE source_id END AS source_id, confidence FROM prov), owner AS (SELECT memory_id, arg_max(source_id, id) AS source_id FROM ghosts GROUP BY memory_id)"
+
+
+@query(
+    _GHOSTS + " SELECT g.id, CASE WHEN o.source_id = 'user-dialogue' AND act.id IS NOT NULL THEN 'agent' ELSE g.source_type END AS source_type, CASE WHEN o.source_id = 'user-dialogue' AND act.id IS NOT NULL THEN 'agent-' || act.id % 7 ELSE g.source_id END AS source_id,"
+    " CASE WHEN o.source_id = 'user-dialogue' AND act.id IS NOT NULL THEN 1.0::double ELSE g.confidence END AS confidence FROM ghosts g LEFT JOIN owner o USING (memory_id) LEFT JOIN act ON act.id = g.memory_id",
+    "act prov",
+)
+def reattribute(s, d):
+    p = model.provenance(s, d)
+    ghosts = p.withColumn("source_id", F.when(F.col("id") % 3 == 0, "user-dialogue").otherwise(F.col("source_id")))
+    callers = store.active(model.memories(s, d)).select("id", F.concat(F.lit("agent-"), F.col("id") % 7).alias("agent"), F.col("id").alias("entry"))
+    return write.reattributed(ghosts, callers)[0].select("id", "source_type", "source_id", "confidence")
+
+
+#: Turns and documents as rows to add: blank ones, copies of stored texts, and copies among themselves.
+_ROWS = """, incoming AS (SELECT conv_id * 100 + turn AS entry, CASE turn % 4 WHEN 0 THEN content WHEN 1 THEN 'note ' || conv_id % 9 WHEN 2 THEN ' ' ELSE 'note ' || conv_id % 9 END AS content, CASE WHEN turn % 3 = 0 THEN 'src' || conv_id % 5 END AS agent, turn % 2 = 0 AS shared
+      FROM conversations LEFT JOIN mem ON mem.id = conv_id WHERE turn < 100),
+    told AS (SELECT *, CASE WHEN shared THEN 'shared' ELSE coalesce(agent, 'shared') END AS namespace, content IS NULL OR trim(content) = '' OR length(content) > 10000 AS bad FROM incoming),
+    known AS (SELECT entry, min(act.id) AS known FROM told JOIN act ON act.content = told.content AND act.namespace IN (told.namespace, 'shared') WHERE NOT bad GROUP BY entry)"""
+
+
+@query(
+    _ROWS + """, open AS (SELECT t.* FROM told t WHERE NOT bad AND entry NOT IN (SELECT entry FROM known)),
+    placed AS (SELECT entry, namespace, (SELECT min(o.entry) FROM open o WHERE o.content = open.content AND (o.namespace = open.namespace OR (o.namespace = 'shared' AND o.entry < open.entry))) AS first FROM open)
+    SELECT entry, namespace, CASE WHEN bad THEN 'error' WHEN known IS NOT NULL OR first < entry THEN 'exists' ELSE 'stored' END AS outcome,
+      CASE WHEN NOT bad THEN coalesce(known, first + 1000000) END AS id FROM told LEFT JOIN known USING (entry) LEFT JOIN (SELECT entry, first FROM placed) USING (entry)""",
+    "act mem",
+)
+def place_memories(s, d):
+    c = read(s, d, "conversations").where("turn < 100").join(model.memories(s, d).select(F.col("id").alias("conv_id"), "content"), "conv_id", "left")
+    note = F.concat(F.lit("note "), F.col("conv_id") % 9)
+    rows = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("entry"), F.when(F.col("turn") % 4 == 0, F.col("content")).when(F.col("turn") % 4 == 2, " ").otherwise(note).alias("content"), F.when(F.col("turn") % 3 == 0, F.concat(F.lit("src"), F.col("conv_id") % 5)).alias("agent"), (F.col("turn") % 2 == 0).alias("shared"))
+    rows = rows.withColumns({"namespace": store.namespace_for(F.col("shared"), F.col("agent"), F.lit(None).cast("string")), "error": write.refusal(F.col("content"))})
+    return write.place(rows, model.memories(s, d), 1000000).select("entry", "namespace", "outcome", "id")
+
+
+@query()
+def add_memories(s, d):
+    """Every turn of the conversations stored as a new memory, by policy, among all memories."""
+    ship_package(s)
+    c = read(s, d, "conversations")
+    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("entry"), F.col("text").alias("content"), F.lit(0.5).alias("importance"), F.concat(F.lit("Agent-"), F.col("conv_id") % 50).alias("agent_id"), (F.col("turn") % 2 == 0).alias("shared"))
+    m = model.memories(s, d)
+    done = write.add_memories(m, _embedded(m), model.provenance(s, d), model.agent_events(s, d), rows, NOW)
+    lost = done.contradictions.groupBy(F.col("old_memory_id").alias("id")).agg(F.count("*").alias("lost"))
+    return done.results.join(lost, "id", "left").select("entry", "id", "namespace", "outcome", F.coalesce("lost", F.lit(0)).alias("lost"))
 
 
 @query()
@@ -478,6 +561,50 @@ def word_diff(s, d):
     return curation.version_diffs(b.select(F.floor(F.col("item_id") / 10).alias("chain"), F.col("item_id").alias("id"), F.col("item_id").alias("created_at"), F.col("text").alias("content")))
 
 
+def _for_queries(name: str) -> str:
+    """A part of the SQL over the tokens of other queries."""
+    return _PARTS["bm"].replace("kq", name)
+
+
+#: Of every twentieth memory: its id, its two longest tokens, or a piece of its text.
+_LOOKUPS = """lookups AS MATERIALIZED (SELECT m.id AS query_id, CASE (m.id // 20) % 3 WHEN 0 THEN m.id::varchar WHEN 1 THEN two ELSE substr(content, 4, 14) END AS query FROM mem m LEFT JOIN (SELECT query_id, string_agg(token, ' ') AS two FROM kq GROUP BY query_id) ON query_id = m.id WHERE m.id % 20 = 0),
+  rest AS MATERIALIZED (SELECT * FROM lookups WHERE trim(query) <> '' AND coalesce(try_cast(trim(query) AS bigint), -1) NOT IN (SELECT id FROM mem)),
+  hq AS MATERIALIZED (SELECT DISTINCT query_id, unnest(string_split_regex(lower(query), '[^a-z0-9]+')) AS token FROM rest)"""
+_HITS = f", {_LOOKUPS.replace('AS token FROM rest)', 'AS token FROM rest)')}, wq AS MATERIALIZED (SELECT * FROM hq WHERE token <> ''), {_for_queries('wq')}, parts AS (SELECT query_id, m.id, row_number() OVER (PARTITION BY query_id ORDER BY m.id) AS r FROM rest JOIN mem m ON contains(lower(content), lower(query)) WHERE query_id NOT IN (SELECT query_id FROM bm)),"
+_HITS += " found AS MATERIALIZED (SELECT query_id, try_cast(trim(query) AS bigint) AS id, 'id' AS how FROM lookups WHERE try_cast(trim(query) AS bigint) IN (SELECT id FROM mem) UNION ALL SELECT query_id, id, 'words' FROM bm WHERE rank <= 5 UNION ALL SELECT query_id, id, 'part' FROM parts WHERE r <= 5)"
+
+
+def _lookups(s, d) -> DataFrame:
+    m = model.memories(s, d)
+    both = m.where("id % 20 = 0").select(F.col("id").alias("query_id"), "content").join(_keyword_queries(m), "query_id", "left")
+    kind = F.floor(F.col("query_id") / 20) % 3
+    return both.select("query_id", F.when(kind == 0, F.col("query_id").cast("string")).when(kind == 1, F.col("query")).otherwise(F.substring("content", 4, 14)).alias("query"))
+
+
+@query(_HITS + " SELECT query_id, id, how FROM found", "mem kq")
+def history_hits(s, d):
+    return history.history_hits(model.memories(s, d), _lookups(s, d))
+
+
+@query(
+    _HITS + _CHAINS + """, wanted AS (SELECT DISTINCT query_id, chain FROM found JOIN chain USING (id)),
+    versions AS (SELECT chain, mem.id, row_number() OVER (PARTITION BY chain ORDER BY created_at, mem.id) AS position, valid_until IS NOT NULL AS archived FROM mem JOIN chain ON chain.id = mem.id)
+    SELECT query_id, chain, position, v.id, coalesce(source_type, 'manual') AS source_type, source_id, coalesce(confidence, 1.0::double) AS confidence, archived FROM wanted JOIN versions v USING (chain) LEFT JOIN latest ON v.id = memory_id""",
+    "mem kq latest",
+    True,
+)
+def memory_history(s, d):
+    m = model.memories(s, d)
+    return history.memory_history(m, model.provenance(s, d), None, history.history_hits(m, _lookups(s, d))).drop("diff")
+
+
+@query(_HITS.replace("rest AS MATERIALIZED (SELECT * FROM lookups WHERE", "rest AS MATERIALIZED (SELECT * FROM lookups WHERE (query_id // 20) % 3 = 1 AND") + " SELECT query_id, id, score, rank FROM bm WHERE rank <= 5", "mem kq")
+def archived_keyword_search(s, d):
+    """The five best texts by their words, archived ones too."""
+    m = model.memories(s, d)
+    return retrieval.bm25(m, _lookups(s, d).where("floor(query_id / 20) % 3 = 1"), 5)
+
+
 # --- context
 
 
