@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,25 +18,153 @@ def content_hash(content: Column) -> Column:
 
 
 def stored_score(score: Column) -> Column:
-    return F.round(score * 10000).cast("bigint")
+    """Ten-thousandths, as a whole number; no score is 0."""
+    return F.coalesce(F.round(score * 10000).cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def canonical(columns: list[str]) -> Column:
-    """JSON with keys in the given order; nulls are written, for leaving them out would change the hash."""
-    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+def attestation_id(*parts: Column) -> Column:
+    """An id in the form of a UUID that is made of the record itself, so a task that runs twice gives it the same."""
+    h = F.sha2(F.to_json(F.struct(*[p.cast("string").alias(f"p{k}") for k, p in enumerate(parts)]), {"ignoreNullFields": "false"}), 256)
+    return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
+def linked(payload: Column, previous: Column) -> Column:
+    """What a record's hash covers: its payload and the hash of the record before it."""
+    return F.sha2(F.concat_ws("|", F.coalesce(payload, F.lit("")), F.coalesce(previous, F.lit(""))), 256)
+
+
+def _streamed(rows: DataFrame, key: str, order: str, carry: list[str], added: list[str], step) -> DataFrame:
+    """Adds columns of text: step(state, row) -> (state, values), over the rows of each key in order. A chain has one place after another, so one task walks
+    each key; it holds one record and streams."""
+    ship_package(rows.sparkSession)
+    rows = rows.repartition(key).sortWithinPartitions(key, order)
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), *(f"{c} string" for c in added)])
+
+    def run(batches):
+        current, state = None, None
+        for batch in batches:
+            out, keys = [], batch.column(key).to_pylist()
+            for k, row in zip(keys, batch.to_pylist(), strict=True):
+                if state is None or k != current:
+                    current, state = k, (None,)
+                state, values = step(state, row)
+                out.append(values)
+            made = [pa.array([v[i] for v in out], pa.string()) for i in range(len(added))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *made], names=[*carry, *added])
+
+    return rows.mapInArrow(run, schema)
 
 
 def chain(records: DataFrame, key: str, order: str, payload: Column) -> DataFrame:
-    """Adds own_hash and previous_hash: within each key, a record names the hash of the one before it. A record's hash covers its payload;
-    the link is checked beside it, so a chain verifies in one pass and needs no recursion."""
-    hashed = records.withColumn("own_hash", F.sha2(payload, 256))
-    return hashed.withColumn("previous_hash", F.lag("own_hash").over(Window.partitionBy(key).orderBy(order)))
+    """Adds previous_hash and own_hash: within each key, a record names the hash of the one before it, and its own hash covers that name and its
+    payload; so an edit shows in the record itself, or, with its hash made anew, in the one after it. Null payloads are empty."""
+    rows = records.withColumn("__payload", F.coalesce(payload, F.lit("")))
+
+    def step(state, row):
+        own = hashlib.sha256(f"{row['__payload']}|{state[0] or ''}".encode()).hexdigest()
+        return (own,), (state[0], own)
+
+    return _streamed(rows, key, order, records.columns, ["previous_hash", "own_hash"], step)
 
 
 def verify(records: DataFrame, key: str, order: str, payload: Column) -> DataFrame:
-    """Adds content_ok and link_ok to records with own_hash and previous_hash."""
+    """Adds content_ok, whether a record's hash is that of its payload and link, and link_ok, whether its link is the hash of the record before it.
+    Neither needs the order of a walk: all records are judged in parallel."""
     before = F.lag("own_hash").over(Window.partitionBy(key).orderBy(order))
-    return records.withColumn("link_ok", before.eqNullSafe(F.col("previous_hash"))).withColumn("content_ok", F.sha2(payload, 256).eqNullSafe(F.col("own_hash")))
+    judged = records.withColumn("link_ok", before.eqNullSafe(F.col("previous_hash")))
+    return judged.withColumn("content_ok", linked(payload, F.col("previous_hash")).eqNullSafe(F.col("own_hash")))
+
+
+def trusted_up_to(verified: DataFrame, key: str, order: str) -> DataFrame:
+    """Adds chain_ok to verified records: whether they and all records before them in their chain are whole."""
+    bad = F.when(F.col("content_ok") & F.col("link_ok"), 0).otherwise(1)
+    return verified.withColumn("chain_ok", F.max(bad).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) == 0)
+
+
+RECORD = ("chain", "id", "attestation_id", "query", "timestamp", "memories_retrieved", "agent_id", "session_id")
+# Keys of a record, in the order in which they are signed.
+FIELDS = ("attestation_id", "query", "timestamp", "memories_retrieved", "agent_id", "session_id", "previous_hash")
+MISMATCH, FORGED, BROKEN = "Attestation hash mismatch", "Signature verification failed", "Broken chain"
+
+
+def retrieved(rows: DataFrame, key: str) -> DataFrame:
+    """rows(key, rank, id, content, score): what each retrieval gave, as the items of a record; null contents hash as empty."""
+    item = F.struct("rank", F.struct("id", content_hash(F.coalesce("content", F.lit(""))).alias("content_hash"), stored_score(F.col("score")).alias("score")).alias("item"))
+    return rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["item"]).alias("memories_retrieved"))
+
+
+def document(row: dict, previous: str | None) -> str:
+    """The JSON that is signed: keys in their order, nulls written, no spaces; empty texts of agent and session are null."""
+    said = dict(row, agent_id=row["agent_id"] or None, session_id=row["session_id"] or None, previous_hash=previous or None, memories_retrieved=row["memories_retrieved"] or [])
+    return json.dumps({f: said[f] for f in FIELDS}, ensure_ascii=False, separators=(",", ":"))
+
+
+def record_hash(signed: str, signature: str | None) -> str:
+    return hashlib.sha256(f"{signed[:-1]},\"signature\":{json.dumps(signature)}}}".encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def attest(records: DataFrame, keys: Keys) -> DataFrame:
+    """records of RECORD: adds previous_hash, signature and hash. Within a chain, in the order of ids, each record names the hash of the one
+    before it, is signed with that name, and its hash covers the signature; signing runs in tasks, with the keys broadcast."""
+    rows = records.select(*RECORD)
+    shared = records.sparkSession.sparkContext.broadcast(keys.raw())
+
+    def step(state, row):
+        seed, public = shared.value
+        signed = document(row, state[0])
+        signature = sign_with(seed, public, signed.encode("utf-8", "surrogatepass")).hex()
+        own = record_hash(signed, signature)
+        return (own,), (state[0], signature, own)
+
+    return _streamed(rows, "chain", "id", list(RECORD), ["previous_hash", "signature", "hash"], step)
+
+
+def verify_records(records: DataFrame, public: bytes) -> DataFrame:
+    """Adds error, null for a record that is whole: its hash is that of what it says, the key signed it, and a whole record of a smaller id in
+    its chain has the hash it names; the first one names none. All records are judged in parallel, then chains by a window."""
+    ship_package(records.sparkSession)
+    rows = records.select("chain", "id", *[f for f in FIELDS if f != "chain"], "signature", "hash")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                signed = document(row, row["previous_hash"])
+                if record_hash(signed, row["signature"]) != row["hash"]:
+                    out.append(MISMATCH)
+                    continue
+                try:
+                    good = verify_with(public, signed.encode("utf-8", "surrogatepass"), bytes.fromhex(row["signature"] or ""))
+                except ValueError:  # no hexadecimal text
+                    good = False
+                out.append(None if good else FORGED)
+            yield pa.RecordBatch.from_arrays([batch.column("chain"), batch.column("id"), batch.column("hash"), batch.column("previous_hash"), pa.array(out, pa.string())], names=["chain", "id", "hash", "previous_hash", "own_error"])
+
+    judged = rows.mapInArrow(run, "chain string, id bigint, hash string, previous_hash string, own_error string")
+    before = Window.partitionBy("chain").orderBy("id")
+    names = F.lag("hash").over(before).eqNullSafe(F.when(F.col("previous_hash") != "", F.col("previous_hash")))
+    judged = judged.withColumn("own_error", F.coalesce("own_error", F.when(~names, f"{BROKEN}: previous hash is not that of the record before")))
+    earlier = F.max("own_error").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    error = F.coalesce("own_error", F.when(earlier.isNotNull(), F.concat(F.lit(f"{BROKEN}: Previous link is invalid: "), earlier)))
+    return records.join(judged.withColumn("error", error).select("chain", "id", "error"), ["chain", "id"], "left")
+
+
+def export_report(records: DataFrame, stats: DataFrame, start: str | None, end: str | None, exported_at: str, error: str = "error") -> DataFrame:
+    """records with their verification, within a range of time, and the ledger of agents: (section, position, json, line), the parts of an
+    export as JSON and as lines of Markdown. The summary says whether every record shown is whole."""
+    shown = in_range(records, start, end)
+    count = shown.agg(F.count("*").alias("total_attestations"), (F.count(F.col(error)) == 0).alias("whole"))
+    state = F.when(F.col("whole"), "SECURE").otherwise("COMPROMISED")
+    head = F.struct(F.lit(exported_at).alias("exported_at"), F.lit(start or "").alias("start_date"), F.lit(end or "").alias("end_date"), "total_attestations", state.alias("system_integrity"))
+    line = F.concat(F.lit("Total audit records: **"), F.col("total_attestations").cast("string"), F.lit("**, status: **"), state, F.lit("**"))
+    summary = count.select(F.lit("summary").alias("section"), F.lit(0).cast("bigint").alias("position"), F.to_json(head).alias("json"), line.alias("line"))
+    cells = F.concat_ws(" | ", F.concat(F.lit("| `"), "agent_id", F.lit("`")), "memories_created", "memories_confirmed", "memories_contradicted", F.concat(F.lit("**"), F.format_number("reputation_score", 2), F.lit("** |")))
+    ledger = stats.select(F.lit("agents").alias("section"), F.row_number().over(Window.orderBy(F.desc("reputation_score"), "agent_id")).cast("bigint").alias("position"), F.to_json(F.struct(*stats.columns)).alias("json"), cells.alias("line"))
+    items = F.concat_ws("; ", F.transform("memories_retrieved", lambda m: F.concat(F.lit("ID: `"), m["id"].cast("string"), F.lit("`, Hash: `"), m["content_hash"], F.lit("`, Score: `"), m["score"].cast("string"), F.lit("`"))))
+    told = F.concat_ws(" — ", F.concat(F.lit("### Attestation `"), "attestation_id", F.lit("`")), "timestamp", F.coalesce("agent_id", F.lit("shared")), "query", F.coalesce("previous_hash", F.lit("GENESIS")), "hash", F.when(items != "", items).otherwise("None"))
+    trail = shown.select(F.lit("attestations").alias("section"), F.col("id").alias("position"), F.to_json(F.struct(*shown.columns), {"ignoreNullFields": "false"}).alias("json"), told.alias("line"))
+    return summary.unionByName(ledger).unionByName(trail)
 
 
 def in_range(records: DataFrame, start: str | None, end: str | None) -> DataFrame:
@@ -65,6 +194,10 @@ class Keys:
         specs = factory.getKeySpec(self._private, form("java.security.spec.PKCS8EncodedKeySpec")), factory.getKeySpec(self._public, form("java.security.spec.X509EncodedKeySpec"))
         return tuple(base64.b64encode(bytes(x.getEncoded())).decode() for x in specs)
 
+    def raw(self) -> tuple[bytes, bytes]:
+        """The 32 bytes of the private and of the public key, with which both encodings end."""
+        return tuple(base64.b64decode(k)[-32:] for k in self.export())
+
     def sign(self, message: str) -> str:
         s = self.jvm.java.security.Signature.getInstance("Ed25519")
         s.initSign(self._private)
@@ -150,8 +283,7 @@ def sign_heads(heads: DataFrame, keys: Keys) -> DataFrame:
     """heads(user_id, head): adds signature, whether it verifies, and whether it does for another text. In tasks, with the keys broadcast."""
     spark = heads.sparkSession
     ship_package(spark)
-    # Both encodings end in the 32 bytes of the key.
-    shared = spark.sparkContext.broadcast(tuple(base64.b64decode(k)[-32:] for k in keys.export()))
+    shared = spark.sparkContext.broadcast(keys.raw())
 
     def run(batches):
         seed, public = shared.value

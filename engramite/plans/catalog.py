@@ -839,25 +839,67 @@ def _payload():
     return F.concat_ws("|", "event_id", "user_id", "event_type", "props")
 
 
-_HASHED = "WITH h AS (SELECT event_id, user_id, concat_ws('|', event_id, user_id, event_type, props) AS p, sha256(concat_ws('|', event_id, user_id, event_type, props)) AS own_hash FROM events)"
+_CHAINED = """WITH RECURSIVE p AS MATERIALIZED (SELECT event_id, user_id, concat_ws('|', event_id, user_id, event_type, props) AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+  c(event_id, user_id, n, own_hash, previous_hash) AS (SELECT event_id, user_id, n, sha256(p || '|'), NULL::varchar FROM p WHERE n = 1 UNION ALL SELECT p.event_id, p.user_id, p.n, sha256(p.p || '|' || c.own_hash), c.own_hash FROM c JOIN p ON p.user_id = c.user_id AND p.n = c.n + 1)"""
 
 
-@query(_HASHED + " SELECT event_id, own_hash, lag(own_hash) OVER (PARTITION BY user_id ORDER BY event_id) AS previous_hash FROM h")
+@query(_CHAINED + " SELECT event_id, own_hash, previous_hash FROM c")
 def attestation_chain_links(s, d):
     return audit.chain(read(s, d, "events"), "user_id", "event_id", _payload()).select("event_id", "own_hash", "previous_hash")
 
 
-@query("SELECT event_id, event_id % 97 <> 0 AS content_ok, true AS link_ok FROM events")
+#: Contents are edited, with the hash made anew or not, links are bent, and records are taken out.
+_TAMPERED = _CHAINED + """, edited AS (SELECT p.event_id, p.user_id, p.p || CASE WHEN p.event_id % 97 IN (0, 1) THEN '!' ELSE '' END AS p, CASE WHEN p.event_id % 89 = 2 THEN 'bent' ELSE previous_hash END AS previous_hash, own_hash FROM p JOIN c USING (event_id) WHERE p.event_id % 83 <> 3),
+  redone AS MATERIALIZED (SELECT event_id, user_id, p, previous_hash, CASE WHEN event_id % 97 = 1 THEN sha256(p || '|' || coalesce(previous_hash, '')) ELSE own_hash END AS own_hash FROM edited),
+  verdicts AS (SELECT event_id, user_id, sha256(p || '|' || coalesce(previous_hash, '')) = own_hash AS content_ok, lag(own_hash) OVER (PARTITION BY user_id ORDER BY event_id) IS NOT DISTINCT FROM previous_hash AS link_ok FROM redone)"""
+
+
+@query(_TAMPERED + " SELECT event_id, content_ok, link_ok, bool_and(content_ok AND link_ok) OVER (PARTITION BY user_id ORDER BY event_id) AS chain_ok FROM verdicts")
 def attestation_tamper_check(s, d):
-    signed = audit.chain(read(s, d, "events"), "user_id", "event_id", _payload())
-    edited = signed.withColumn("props", F.when(F.col("event_id") % 97 == 0, F.concat("props", F.lit("!"))).otherwise(F.col("props")))
-    return audit.verify(edited, "user_id", "event_id", _payload()).select("event_id", "content_ok", "link_ok")
+    signed = audit.chain(read(s, d, "events"), "user_id", "event_id", _payload()).where("event_id % 83 <> 3")
+    signed = signed.withColumn("payload", F.concat(_payload(), F.when(F.col("event_id") % 97 < 2, "!").otherwise("")))
+    edited = signed.withColumn("previous_hash", F.when(F.col("event_id") % 89 == 2, "bent").otherwise(F.col("previous_hash")))
+    edited = edited.withColumn("own_hash", F.when(F.col("event_id") % 97 == 1, audit.linked(F.col("payload"), F.col("previous_hash"))).otherwise(F.col("own_hash")))
+    verified = audit.verify(edited, "user_id", "event_id", F.col("payload"))
+    return audit.trusted_up_to(verified, "user_id", "event_id").select("event_id", "content_ok", "link_ok", "chain_ok")
+
+
+def _attested(s, d) -> DataFrame:
+    """A record for each query of hybrid search, one chain for each of seven agents."""
+    hits = _search(s, d, namespace="all").join(model.memories(s, d).select("id", "content"), "id")
+    items = audit.retrieved(hits.select("query_id", "rank", "id", "content", "score"), "query_id")
+    rows = _questions(s, d).select("query_id", "query").join(items, "query_id", "left")
+    agent = F.when(F.col("query_id") % 140 != 0, F.concat(F.lit("agent-"), F.col("query_id") % 7))
+    rows = rows.select(F.coalesce(agent, F.lit("shared")).alias("chain"), F.col("query_id").alias("id"), "query", F.lit("2024-02-01T00:00:00.000Z").alias("timestamp"), F.coalesce("memories_retrieved", F.array().cast("array<struct<id: bigint, content_hash: string, score: bigint>>")).alias("memories_retrieved"), agent.alias("agent_id"), F.lit(None).cast("string").alias("session_id"))
+    rows = rows.withColumn("attestation_id", audit.attestation_id(F.col("chain"), F.col("id"), F.col("query")))
+    keys = audit.Keys(s)
+    return materialize(audit.verify_records(audit.attest(rows, keys), keys.raw()[1]), "attested")
+
+
+_ITEMS = _HYBRID.format(where="true")
+
+
+@query(
+    f""", shown AS (SELECT h.query_id, rank, h.id, content, round(h.score * 10000)::bigint AS score FROM ({_ITEMS}) h JOIN mem ON mem.id = h.id), questions AS (SELECT DISTINCT query_id FROM kq UNION SELECT id FROM vec WHERE id % 20 = 0),
+    items AS (SELECT query_id, string_agg(id || ':' || sha256(content) || ':' || score, ',' ORDER BY rank) AS items FROM shown GROUP BY query_id)
+    SELECT query_id AS id, coalesce(items, '') AS items, 128 AS signature_chars, true AS whole, row_number() OVER (PARTITION BY CASE WHEN query_id % 140 <> 0 THEN query_id % 7 ELSE -1 END ORDER BY query_id) = 1 AS genesis FROM questions LEFT JOIN items USING (query_id)""",
+    "merged act latest rep mem kq vec",
+)
+def attestation_records(s, d):
+    items = F.array_join(F.transform("memories_retrieved", lambda m: F.concat_ws(":", m["id"], m["content_hash"], m["score"])), ",")
+    return _attested(s, d).select("id", items.alias("items"), F.length("signature").alias("signature_chars"), F.col("error").isNull().alias("whole"), F.col("previous_hash").isNull().alias("genesis"))
+
+
+@query()
+def audit_export(s, d):
+    """The whole export: summary, ledger of agents and records, as JSON and as Markdown."""
+    return audit.export_report(_attested(s, d), store.agent_stats(model.agent_events(s, d)), "2024-01-01", "2024-12-31", "2024-02-01T00:00:00.000Z").select("section", "position", "line")
 
 
 @query()
 def attestation_signatures(s, d):
     """The hash of each user's last record, signed: one signature vouches for the chain."""
-    heads = audit.chain(read(s, d, "events"), "user_id", "event_id", _payload()).groupBy("user_id").agg(F.max_by("own_hash", "event_id").alias("head"))
+    heads = audit.chain(read(s, d, "events"), "user_id", "event_id", _payload()).where("user_id is not null").groupBy("user_id").agg(F.max_by("own_hash", "event_id").alias("head"))
     return audit.sign_heads(heads, audit.Keys(s)).select("user_id", "head", F.length("signature").alias("signature_chars"), "verified", "forged")
 
 
