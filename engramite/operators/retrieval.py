@@ -179,21 +179,46 @@ def hybrid_merge(near: DataFrame, keyword: DataFrame) -> DataFrame:
 
 def hybrid_search(memories: DataFrame, vectors: DataFrame, provenance: DataFrame, events: DataFrame, queries: DataFrame, limit: int = 5, namespace: str | None = None, mmr: bool = False, filter_first: bool = False) -> DataFrame:
     """queries(query_id, query, embedding). The batch form of hybrid search: 2 * limit candidates of either kind are merged, filtered,
-    weighted by the reputation of their source and cut to the best. With filter_first, hidden rows take no candidate's place."""
+    weighted by the reputation of their source and cut to the best. With filter_first, hidden rows take no candidate's place. A query without
+    words, or without a vector, has candidates of the other kind only; no queries give no rows."""
     m = memories.select("id", "content", "valid_until", "namespace")
-    ok = F.col("valid_until").isNull() & (F.lit(True) if namespace == "all" else F.col("namespace").isin(sorted({namespace or "shared", "shared"})))
+    ok = F.col("valid_until").isNull() & (F.lit(True) if namespace == "all" else F.col("namespace").isin(sorted({(namespace or "shared").lower(), "shared"})))
     pool, vecs = (m.where(ok), vectors.join(m.where(ok).select("id"), "id", "left_semi")) if filter_first else (m, vectors)
     words = bm25(pool.select("id", "content"), queries, 2 * limit).select("query_id", "id")
     merged = hybrid_merge(knn(vecs, queries, 2 * limit), words)
-    shown = merged.join(m.where(ok), "id").join(latest_provenance(provenance).withColumnRenamed("memory_id", "id"), "id", "left")
-    shown = reputation_of(shown, agent_stats(events)).withColumn("score", F.round(F.col("hybrid_score") * F.col("reputation"), 4))
-    shown = shown.withColumn("warning", F.col("reputation") < 0.5)
+    shown = weighted(merged.join(m.where(ok), "id"), provenance, events)
     if mmr:
         return rerank(shown, limit)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return shown.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "rank", "id", F.round("similarity", 4).alias("similarity"), "keyword_match", "reputation", "score", "warning")
 
 
+def weighted(rows: DataFrame, provenance: DataFrame, events: DataFrame) -> DataFrame:
+    """Adds the latest source, its reputation, the score that it weighs, and a warning where it is low."""
+    known = rows.join(latest_provenance(provenance).withColumnRenamed("memory_id", "id"), "id", "left")
+    known = reputation_of(known, agent_stats(events)).withColumn("score", F.round(F.col("hybrid_score") * F.col("reputation"), 4))
+    return known.withColumn("warning", F.col("reputation") < 0.5)
+
+
+def batch_search(memories: DataFrame, vectors: DataFrame, provenance: DataFrame, events: DataFrame, entries: DataFrame, limit: int = 5, most: int = 50) -> DataFrame:
+    """entries(entry, query, embedding, limit, agent_id), at most ``most``: (query, rank, id, similarity, keyword_match, reputation, score, warning). An
+    entry with an agent sees what that agent sees, another one what is shared; its own limit goes before the common one. Of entries with one query the
+    last counts; entries without a query, and those with a limit that is no positive number, find nothing."""
+    if not 0 < entries.limit(most + 1).count() <= most:
+        raise ValueError(f"a batch has from 1 to {most} queries")
+    e = entries.where("query <> ''").groupBy("query").agg(F.max_by(F.struct("embedding", F.coalesce("limit", F.lit(limit)).alias("limit"), F.lower("agent_id").alias("agent")), "entry").alias("e"))
+    e = e.select(F.xxhash64("query").alias("query_id"), "query", "e.*").where("limit > 0")
+    widest = e.agg(F.max("limit")).first()[0] or 1
+    own = e.select("query_id", "query", F.floor("limit").alias("limit"), "agent")
+    near = knn(vectors, e.select("query_id", "embedding"), 2 * int(widest)).join(own.select("query_id", "limit"), "query_id").where("rank <= 2 * limit").select("query_id", "id", "distance")
+    words = bm25(memories.select("id", "content"), e.select("query_id", "query"), 2 * int(widest)).join(own.select("query_id", "limit"), "query_id").where("rank <= 2 * limit").select("query_id", "id")
+    rows = hybrid_merge(near, words).join(own, "query_id").join(memories.where("valid_until is null").select("id", "namespace"), "id")
+    rows = rows.where((F.col("namespace") == "shared") | (F.col("namespace") == F.col("agent")))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    shown = weighted(rows, provenance, events).withColumn("rank", rank).where("rank <= limit")
+    return shown.select("query", "rank", "id", F.round("similarity", 4).alias("similarity"), "keyword_match", "reputation", "score", "warning")
+
+
 def mmr_order(scores: list[float], contents: list[str], limit: int, weight: float = MMR_LAMBDA) -> list[int]:
     """Positions in the order of maximal marginal relevance; candidates come sorted by score. No more than the limit: as they are."""
     if len(scores) <= limit:

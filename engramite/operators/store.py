@@ -202,3 +202,32 @@ def race_guard(facts: DataFrame, memories: DataFrame, now: int, newest: int = 20
     fresh = active(memories).orderBy(F.desc("created_at"), F.desc("id")).limit(newest).where(now - F.col("created_at") <= seconds).select("content")
     near = facts.join(F.broadcast(fresh), F.size(F.array_intersect(words(F.col("fact")), words(F.col("content")))) > 0.5 * F.size(words(F.col("fact"))), "left_semi")
     return facts.join(near.select("fact_id"), "fact_id", "left_anti")
+
+
+def by_substring_or_archived(memories: DataFrame, name: str, most: int = 5) -> DataFrame:
+    """Active memories that hold a text; if there is none, the first archived ones that do."""
+    held = memories.where(F.lower("content").contains(name.lower()))
+    now = active(held)
+    none = now.limit(1).select(F.lit(True).alias("__any"))
+    before = held.where("valid_until is not null").orderBy("id").limit(most).join(F.broadcast(none), F.lit(True), "left_anti")
+    return now.unionByName(before)
+
+
+def read_and_boost(memories: DataFrame, provenance: DataFrame, wanted: DataFrame, now: int = NOW) -> tuple[DataFrame, DataFrame]:
+    """wanted(id), a row for each read: the active memories that were read, with their latest provenance, and all memories after the boosts. Ids that
+    are no active memory change nothing."""
+    seen = wanted.join(active(memories).select("id"), "id", "left_semi")
+    after = boost(memories, seen, now)
+    return with_provenance(active(after).join(seen.distinct(), "id", "left_semi"), provenance), after
+
+
+def latencies(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Of the values of each key, null ones left out: how many, the one in the middle and the one nine tenths up, both of the sorted list and not
+    between two of it."""
+    x = F.array_sort(F.collect_list(value))
+    return rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), x.alias("x")).select(key, "n", F.expr("x[int(n / 2)]").alias("median"), F.expr("x[least(int(n * 0.9D), int(n) - 1)]").alias("p90"))
+
+
+def compression(raw: Column, packed: Column) -> Column:
+    """By how many hundredths a text became shorter, to a tenth; null where there was none."""
+    return F.round(100 - packed / F.nullif(raw, F.lit(0)) * 100, 1)

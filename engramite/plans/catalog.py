@@ -19,6 +19,7 @@ from engramite.streaming import tails
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+_LATER: dict[str, tuple] = {}  # SQL that uses parts from further down
 
 _PARTS = {
     "mem": """mem AS (SELECT d.doc_id AS id, d.text AS content, round((d.doc_id % 100) / 100.0::double, 4) AS importance_score, 1704067200 + d.doc_id * 3600 AS created_at,
@@ -66,12 +67,14 @@ def _with(names: str, body: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{head}{body if body.startswith(',') else ' ' + body}"
 
 
-def query(sql: str | None = None, needs: str = "", recursive: bool = False):
+def query(sql=None, needs: str = "", recursive: bool = False):
     """Registers a function as a query of its name."""
 
     def add(f):
         QUERIES[f.__name__] = f
-        if sql:
+        if callable(sql):
+            _LATER[f.__name__] = (needs, sql, recursive)
+        elif sql:
             ORACLES[f.__name__] = _with(needs, sql, recursive)
         return f
 
@@ -107,9 +110,19 @@ def prefix_lookup(s, d):
     return store.by_prefix(model.memories(s, d), "The ").select("id")
 
 
-@query("SELECT id FROM act WHERE contains(lower(content), 'password')", "act")
+@query("SELECT id FROM act WHERE contains(lower(content), 'the t')", "act")
 def substring_lookup(s, d):
-    return store.by_substring(model.memories(s, d), "PassWord").select("id")
+    return store.by_substring(model.memories(s, d), "The T").select("id")
+
+
+@query("SELECT id, valid_until IS NOT NULL AS archived FROM (SELECT *, contains(lower(content), 'the t') AS a FROM mem) WHERE (a AND valid_until IS NULL) OR (a AND NOT EXISTS (SELECT 1 FROM act WHERE contains(lower(content), 'the t')))", "act mem")
+def substring_or_archived(s, d):
+    return store.by_substring_or_archived(model.memories(s, d), "The T").select("id", F.col("valid_until").isNotNull().alias("archived"))
+
+
+@query("SELECT m.id, valid_until IS NOT NULL AS archived, source_type, source_id, confidence FROM mem m LEFT JOIN latest ON m.id = memory_id", "mem latest")
+def get_any_validity(s, d):
+    return store.with_provenance(model.memories(s, d), model.provenance(s, d)).select("id", F.col("valid_until").isNotNull().alias("archived"), "source_type", "source_id", "confidence")
 
 
 @query("SELECT id, created_at FROM act WHERE namespace IN ('src3', 'shared') ORDER BY created_at DESC, id LIMIT 20", "act")
@@ -304,6 +317,56 @@ def hybrid_search_mmr(s, d):
     return _search(s, d, namespace="all", mmr=True)
 
 
+@query(
+    f", shown AS MATERIALIZED (SELECT id, count(*) AS n FROM ({_HYBRID.format(where='true')}) GROUP BY id) SELECT m.id, round(least(importance_score + n * 0.1::double, 1), 4) AS importance_score, access_count + n AS access_count, source_type, source_id FROM mem m JOIN shown USING (id) LEFT JOIN latest ON m.id = memory_id",
+    "merged act latest rep mem",
+)
+def search_boost(s, d):
+    """What hybrid search shows, read and boosted, a time for each query."""
+    return store.read_and_boost(model.memories(s, d), model.provenance(s, d), _search(s, d, namespace="all").select("id"))[0].select("id", "importance_score", "access_count", "source_type", "source_id")
+
+
+@query(
+    """, asked AS MATERIALIZED (SELECT query, max(query_id) AS query_id FROM (SELECT query_id, string_agg(token, ' ' ORDER BY length(token) DESC, token) AS query FROM kq GROUP BY query_id) GROUP BY query),
+    entries AS (SELECT query, query_id, CASE (query_id // 20) % 3 WHEN 0 THEN 2 WHEN 1 THEN 5 ELSE 4 END AS n, CASE WHEN (query_id // 20) % 2 = 0 THEN 'src' || (query_id // 20) % 20 END AS agent FROM asked),
+    a AS (SELECT query_id, id, round(greatest(0, 1 - distance * distance / 2), 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS r FROM near) JOIN entries USING (query_id) WHERE r <= 2 * n),
+    b AS (SELECT query_id, id FROM bm JOIN entries USING (query_id) WHERE rank <= 2 * n),
+    c AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, coalesce(similarity, 0) AS similarity, b.id IS NOT NULL AS keyword_match FROM a FULL JOIN b ON a.query_id = b.query_id AND a.id = b.id),
+    w AS (SELECT query, n, c.id, similarity, keyword_match, coalesce(CASE WHEN source_type = 'agent' THEN reputation_score END, 1.0::double) AS reputation,
+      round((similarity + CASE WHEN keyword_match THEN 0.2::double ELSE 0 END) * coalesce(CASE WHEN source_type = 'agent' THEN reputation_score END, 1.0::double), 4) AS score
+      FROM c JOIN entries USING (query_id) JOIN act ON act.id = c.id LEFT JOIN latest ON c.id = memory_id LEFT JOIN rep ON source_id = agent_id WHERE (keyword_match OR similarity >= 0.30) AND (namespace = 'shared' OR namespace = agent))
+    SELECT query, rank, id, score, reputation < 0.5 AS warning FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM w) WHERE rank <= n""",
+    "near bm act latest rep kq",
+)
+def batch_search(s, d):
+    q, turn = _questions(s, d).where("query <> ''"), F.floor(F.col("query_id") / 20)
+    entries = q.select(F.col("query_id").alias("entry"), "query", "embedding", F.when(turn % 3 == 0, 2.0).when(turn % 3 == 1, 5.0).otherwise(4.0).alias("limit"), F.when(turn % 2 == 0, F.concat(F.lit("SRC"), turn % 20)).alias("agent_id"))
+    args = model.memories(s, d), model.vectors(s, d), model.provenance(s, d), model.agent_events(s, d)
+    return retrieval.batch_search(*args, entries, most=10**9).select("query", "rank", "id", "score", "warning")
+
+
+@query(
+    f""", shown AS (SELECT query_id, list(id ORDER BY rank) AS ids FROM ({_HYBRID.format(where='true')}) GROUP BY query_id), asked AS (SELECT query_id, string_agg(token, ' ' ORDER BY length(token) DESC, token) AS query FROM kq GROUP BY query_id)
+    SELECT query_id, '{{"tool":"search_memories","query":"' || query || '","count":' || len(ids) || ',"agent_id":"unknown","namespace":"shared","memory_ids":[' || array_to_string(ids, ',') || ']}}' AS payload FROM shown JOIN asked USING (query_id)""",
+    "merged act latest rep kq",
+)
+def event_payload(s, d):
+    hits = _search(s, d, namespace="all").groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids"))
+    none = F.lit(None).cast("string")
+    return hits.join(_questions(s, d).where("query <> ''"), "query_id").select("query_id", tails.event_payload(F.lit("search_memories"), F.col("query"), F.col("ids"), none, none).alias("payload"))
+
+
+@query(
+    f""", shown AS (SELECT query_id, string_agg('• [Memory #' || h.id || '] ' || content, chr(10) ORDER BY rank) AS items FROM ({_HYBRID.format(where='true')}) h JOIN mem ON mem.id = h.id GROUP BY query_id)
+    SELECT query_id, left(content, 200) AS query, '=== MEMORY (auto-retrieved) ===' || chr(10) || items || chr(10) || '=== END MEMORY ===' AS text FROM shown JOIN mem ON mem.id = query_id WHERE length(trim(content)) >= 15""",
+    "merged act latest rep mem",
+)
+def prompt_lines(s, d):
+    m = model.memories(s, d)
+    hits = _search(s, d, namespace="all").join(m.select("id", "content"), "id")
+    return files.prompt_lines(hits, m.select(F.col("id").alias("query_id"), F.col("content").alias("prompt")), "=== MEMORY (auto-retrieved) ===", "=== END MEMORY ===", True)
+
+
 # --- similarity and curation
 
 
@@ -336,10 +399,15 @@ def similarity_join_top30(s, d):
     return curation.similarity_join(model.vectors(s, d), above=0.30)
 
 
-@query("SELECT query_id FROM near GROUP BY query_id HAVING round(greatest(0, 1 - power(min(distance), 2) / 2), 6) >= 0.8", "near")
+@query(lambda: _CONTRADICTIONS + """, dots AS (SELECT a.id AS query_id, b.id, sum(a.w * b.w) AS dot FROM embedded a JOIN embedded b ON a.k = b.k AND a.id % 20 = 0 AND b.id % 20 <> 0 GROUP BY a.id, b.id), squares AS (SELECT id, sum(w * w) AS s FROM embedded GROUP BY id),
+    best AS (SELECT query_id, min(round(sqrt(greatest(p.s + q.s - 2 * dot, 0)), 6)) AS distance FROM dots JOIN squares p ON p.id = query_id JOIN squares q ON q.id = dots.id GROUP BY query_id)
+    SELECT query_id FROM best WHERE round(greatest(0, 1 - distance * distance / 2), 6) >= 0.8""", "mem")
 def semantic_dedup_gate(s, d):
-    v = model.vectors(s, d)
-    return retrieval.semantic_gate(retrieval.knn(v, _vector_queries(v), 10))
+    """Each twentieth memory as a new one, against all others."""
+    ship_package(s)
+    e = _embedded(model.memories(s, d))
+    near = retrieval.knn(e.where("id % 20 <> 0"), e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), 1)
+    return retrieval.semantic_gate(near)
 
 
 @query(
@@ -803,16 +871,119 @@ def redact_full(s, d):
     return read(s, d, "documents").select("doc_id", redact_secrets(F.col("text")).alias("content"))
 
 
-@query("SELECT event_id, CASE WHEN event_type IN ('signup', 'purchase') THEN 'architectural' WHEN event_type = 'error' THEN 'chore' ELSE 'other' END AS kind, CASE WHEN event_type IN ('signup', 'purchase') THEN 0.9::double WHEN event_type = 'error' THEN 0.4::double ELSE 0.6::double END AS importance FROM events")
+_SUBJECT = "CASE user_id % 8 WHEN 0 THEN 'Feat: ' WHEN 1 THEN '  fix: ' WHEN 2 THEN 'docs: ' WHEN 3 THEN 'feature: ' WHEN 4 THEN 'CI:' WHEN 5 THEN 'Breaking: ' WHEN 6 THEN 'test : ' ELSE 'refactor' END || event_type"
+
+
+@query(
+    f"SELECT event_id, kind, CASE kind WHEN 'architectural' THEN 0.9::double WHEN 'chore' THEN 0.4::double ELSE 0.6::double END AS importance FROM (SELECT event_id, CASE WHEN split_part(lower(trim(s)), ':', 1) IN ('feat', 'fix', 'refactor', 'breaking', 'decision') AND contains(s, ':') THEN 'architectural'"
+    f" WHEN split_part(lower(trim(s)), ':', 1) IN ('chore', 'docs', 'test', 'style', 'ci') AND contains(s, ':') THEN 'chore' ELSE 'other' END AS kind FROM (SELECT event_id, {_SUBJECT} AS s FROM events))"
+)
 def commit_class(s, d):
-    subject = F.expr("CASE event_type WHEN 'signup' THEN 'Feat: x' WHEN 'purchase' THEN ' fix: y' WHEN 'error' THEN 'docs: z' ELSE 'feature: w' END")
+    subject = F.expr(_SUBJECT)
     return read(s, d, "events").select("event_id", tx.commit_class(subject).alias("kind"), tx.commit_importance(subject).alias("importance"))
 
 
-@query("SELECT event_id, '[' || props || ']' AS array FROM events")
+_ANSWER = "CASE event_id % 5 WHEN 0 THEN 'Here: [' || props || '] done' WHEN 1 THEN '```json\n[' || props || ']\n```' WHEN 2 THEN 'none' WHEN 3 THEN '[' || props || ', [1]]' ELSE 'a [' || props || '] b [2] c' END"
+
+
+@query(
+    f"SELECT event_id, CASE WHEN starts_with(b, '[') AND ends_with(b, ']') THEN b WHEN strpos(b, '[') > 0 AND length(b) - strpos(reverse(b), ']') + 1 > strpos(b, '[') THEN substr(b, strpos(b, '['), length(b) - strpos(reverse(b), ']') + 2 - strpos(b, '[')) ELSE '' END AS array"
+    " FROM (SELECT event_id, trim(replace(replace(a, '```json', ''), '```', ''), chr(10) || ' ') AS b FROM (SELECT event_id, " + _ANSWER.replace("\n", "' || chr(10) || '") + " AS a FROM events))"
+)
 def json_array_rescue(s, d):
-    wrapped = F.concat(F.when(F.col("event_id") % 2 == 0, "Here: ").otherwise("```json\n"), F.lit("["), "props", F.lit("]"), F.when(F.col("event_id") % 2 == 0, " done").otherwise("\n```"))
-    return read(s, d, "events").select("event_id", tx.json_array_rescue(wrapped).alias("array"))
+    return read(s, d, "events").select("event_id", tx.json_array_rescue(F.expr(_ANSWER)).alias("array"))
+
+
+@query("SELECT event_type, count(*) AS n, list_sort(list(value))[count(*) // 2 + 1] AS median, list_sort(list(value))[floor(count(*) * 0.9::double)::bigint + 1] AS p90 FROM events GROUP BY event_type")
+def latency_percentiles(s, d):
+    return store.latencies(read(s, d, "events"), "event_type", "value")
+
+
+@query("SELECT conv_id, round(100 - packed / nullif(raw, 0) * 100, 1) AS percent FROM (SELECT conv_id, sum(length(text))::double AS raw, coalesce(sum(length(text)) FILTER (role = 'user'), 0)::double AS packed FROM conversations GROUP BY conv_id)")
+def compression_ratio(s, d):
+    n = F.length("text")
+    c = read(s, d, "conversations").groupBy("conv_id").agg(F.sum(n).cast("double").alias("raw"), F.coalesce(F.sum(F.when(F.col("role") == "user", n)), F.lit(0)).cast("double").alias("packed"))
+    return c.select("conv_id", store.compression(F.col("raw"), F.col("packed")).alias("percent"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'own ' || event_type ELSE 'Event: ' || event_type || CASE WHEN user_id % 2 = 0 THEN ' in workflow: w' || user_id ELSE '' END || CASE WHEN event_id % 3 = 0 THEN '. Metadata: {\"user\":\"' || user_id || '\"}' ELSE '' END END AS content FROM events")
+def tracked_content(s, d):
+    meta = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("user"), F.col("user_id").cast("string")))
+    own = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("own "), "event_type"))
+    flow = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("w"), "user_id"))
+    return read(s, d, "events").select("event_id", files.tracked_content(own, F.col("event_type"), flow, meta).alias("content"))
+
+
+_EVENT = "CASE event_type WHEN 'signup' THEN 'memory_added' WHEN 'purchase' THEN 'memory_updated' WHEN 'error' THEN 'memory_deleted' WHEN 'view' THEN 'memory_retrieved' ELSE event_type END"
+
+
+@query(f"SELECT event, count(*) AS count FROM (SELECT {_EVENT} AS event FROM events) WHERE event IN ('memory_added', 'memory_updated', 'memory_deleted', 'memory_retrieved', 'memories_consolidated') GROUP BY event")
+def event_counts(s, d):
+    """As a stream, in its last state."""
+    stream = s.readStream.schema(read(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return tails.drained(tails.event_counts(stream.select(F.expr(_EVENT).alias("event"))), "complete")
+
+
+# --- links, commits and imports
+
+
+@query(
+    ", asked AS (SELECT l_orderkey AS entry, l_partkey AS part, l_orderkey AS memory_id, CASE WHEN l_orderkey % 4 = 0 THEN 'src' || l_partkey % 5 END AS agent FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem))"
+    " SELECT memory_id AS target_id, part AS source_id, 'touches' AS relation FROM asked JOIN part ON p_partkey = part AND p_partkey % 7 <> 0 JOIN act ON act.id = memory_id WHERE agent IS NULL OR namespace IN ('shared', agent)",
+    "act",
+)
+def link_memories(s, d):
+    e = model.entities(s, d)
+    asked = model.edges(s, d).join(e.select(F.col("id").alias("source_id"), "name"), "source_id").select(F.col("target_id").alias("entry"), F.col("name").alias("entity_name"), F.col("target_id").alias("memory_id"), "relation", F.when(F.col("target_id") % 4 == 0, F.concat(F.lit("SRC"), F.col("source_id") % 5)).alias("agent_id"))
+    return write.link(e.where("id % 7 <> 0"), model.memories(s, d), asked, NOW)[0].select("target_id", "source_id", "relation")
+
+
+_COMMITS = "SELECT md5(c_custkey::varchar) || '00000000' AS hash, 'Dev ' || c_nationkey AS author, '2024-01-02T00:00:00Z' AS date, CASE WHEN c_custkey % 3 = 0 THEN 'fix: ' ELSE 'docs: ' END || c_name AS subject, CASE WHEN c_custkey % 2 = 0 THEN 'Body' ELSE '' END AS body, CASE WHEN c_custkey % 5 = 0 THEN 'Note' ELSE '' END AS notes, c_custkey % 40 AS f FROM customer"
+
+
+def _commits(s, d) -> DataFrame:
+    k, n = F.col("c_custkey"), lambda m: F.col("c_custkey") % m
+    return read(s, d, "customer").select(
+        F.concat(F.md5(k.cast("string").cast("binary")), F.lit("00000000")).alias("hash"), F.concat(F.lit("Dev "), "c_nationkey").alias("author"), F.lit("2024-01-02T00:00:00Z").alias("date"), F.concat(F.when(n(3) == 0, "fix: ").otherwise("docs: "), "c_name").alias("subject"),
+        F.when(n(2) == 0, "Body").otherwise("").alias("body"), F.when(n(5) == 0, "Note").otherwise("").alias("notes"), F.array(F.concat(F.lit("src/f"), n(40), F.lit(".py")), F.lit("part 1 #1")).alias("files"),
+    )
+
+
+@query(
+    f"WITH c AS ({_COMMITS}), t AS (SELECT '[' || left(hash, 7) || '] Commit: ' || subject || ' — by ' || author || ' on 2024-01-02' || CASE WHEN body <> '' THEN '. ' || body ELSE '' END || CASE WHEN notes <> '' THEN ' [PR Notes] ' || notes ELSE '' END AS content, author, f FROM c)"
+    " SELECT content, author AS name, 'authored' AS relation FROM t UNION ALL SELECT content, 'src/f' || f || '.py', 'touches' FROM t UNION ALL SELECT content, 'part 1 #1', 'touches' FROM t"
+)
+def ingest_commits(s, d):
+    """Edges between the new memories of commits and their authors and files."""
+    e = model.entities(s, d)
+    made = files.ingest_commits(_commits(s, d), model.memories(s, d), e, NOW)
+    names = e.select("id", "name").unionByName(made["entities"].select("id", "name"))
+    m = made["memories"].select(F.col("id").alias("target_id"), "content")
+    return made["edges"].join(m, "target_id").join(names, F.col("source_id") == F.col("id")).select("content", "name", "relation")
+
+
+_LINES_IN = "SELECT conv_id * 1000 + turn AS line, CASE turn % 5 WHEN 0 THEN m.content WHEN 1 THEN 'line ' || conv_id % 6 WHEN 2 THEN '  ' ELSE c.text END AS content, CASE WHEN turn % 7 = 3 THEN 5 END AS valid_until, CASE WHEN turn % 2 = 0 THEN 'src' || conv_id % 5 END AS namespace FROM conversations c LEFT JOIN mem m ON m.id = conv_id"
+
+
+@query(
+    f""", lines AS (SELECT line, content, valid_until, coalesce(namespace, 'shared') AS namespace FROM ({_LINES_IN})), judged AS (SELECT *, CASE WHEN content IS NULL OR trim(content) = '' THEN 'error' WHEN valid_until IS NOT NULL THEN 'skipped' END AS o FROM lines)
+    SELECT line, namespace, coalesce(o, CASE WHEN EXISTS (SELECT 1 FROM act WHERE act.content = j.content AND act.namespace IN (j.namespace, 'shared')) OR EXISTS (SELECT 1 FROM judged k WHERE k.o IS NULL AND k.content = j.content AND k.namespace = j.namespace AND k.line < j.line) THEN 'skipped' ELSE 'imported' END) AS outcome FROM judged j""",
+    "act mem",
+)
+def import_outcomes(s, d):
+    """What an import without embeddings does with each line."""
+    c, m = read(s, d, "conversations"), model.memories(s, d)
+    x = c.join(m.select(F.col("id").alias("conv_id"), "content"), "conv_id", "left")
+    content = F.when(F.col("turn") % 5 == 0, F.col("content")).when(F.col("turn") % 5 == 1, F.concat(F.lit("line "), F.col("conv_id") % 6)).when(F.col("turn") % 5 == 2, "  ").otherwise(F.col("text"))
+    rows = x.select((F.col("conv_id") * 1000 + F.col("turn")).alias("line"), content.alias("content"), F.lit(1.0).alias("importance_score"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("src"), F.col("conv_id") % 5)).alias("namespace"), F.when(F.col("turn") % 7 == 3, 5).cast("bigint").alias("valid_until"), F.lit(None).cast("string").alias("bad"))
+    return write.import_memories(m, model.vectors(s, d), rows, embed=None).select("line", "namespace", "outcome")
+
+
+@query()
+def extraction_job(s, d):
+    """Facts of all conversations, stored where no memory has their text."""
+    rows, _, told = write.store_facts(extraction.extract_facts(_told(s, d)), model.memories(s, d), 1000000000, NOW)
+    return told.groupBy("stored").agg(F.count("*").alias("facts")).join(rows.agg(F.count("*").alias("rows")), F.col("stored"), "left")
 
 
 @query("SELECT DISTINCT token, list_reduce(list_prepend(2166136261::bigint, list_transform(string_split(token, ''), lambda c: ascii(c)::bigint)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS hash FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS token FROM benchmark) WHERE token <> ''")
@@ -912,19 +1083,12 @@ def audit_range(s, d):
 # --- streams
 
 
-def _drained(stream: DataFrame, mode: str) -> DataFrame:
-    name = f"s{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_dir(stream.sparkSession)}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
-
-
 @query("SELECT step_index, content FROM (SELECT turn::int AS step_index, trim(text) AS content FROM conversations WHERE role = 'user') WHERE length(content) >= 15")
 def stream_tail(s, d):
     folder = f"{shared_dir(s)}/tail-{uuid.uuid4().hex}"
     rows = read(s, d, "conversations").select(F.col("turn").alias("step_index"), F.col("role").alias("source"), F.lit("message").alias("type"), F.col("text").alias("content"))
     rows.write.json(folder)
-    return _drained(tails.transcript_tail(s, folder, "*.json"), "append")
+    return tails.drained(tails.transcript_tail(s, folder, "*.json"), "append")
 
 
 @query("SELECT lower('Agent-' || user_id) AS agent_id, count(*) FILTER (event_type = 'signup') AS created, count(*) FILTER (event_type = 'purchase') AS confirmed, count(*) FILTER (event_type = 'error') AS contradicted FROM events GROUP BY 1")
@@ -932,4 +1096,8 @@ def stream_agent_counts(s, d):
     schema = read(s, d, "events").schema
     stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     kind = F.expr("CASE event_type WHEN 'signup' THEN 'created' WHEN 'purchase' THEN 'confirmed' WHEN 'error' THEN 'contradicted' END")
-    return _drained(tails.agent_counters(stream.select(F.concat(F.lit("Agent-"), "user_id").alias("agent_id"), kind.alias("action"))), "complete")
+    return tails.drained(tails.agent_counters(stream.select(F.concat(F.lit("Agent-"), "user_id").alias("agent_id"), kind.alias("action"))), "complete")
+
+
+for _name, (_needs, _sql, _recursive) in _LATER.items():
+    ORACLES[_name] = _with(_needs, _sql(), _recursive)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,13 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or an own folder where it is unset (tests)."""
+    """spark.checkpoint.dir. Where it is unset: a temporary folder of a local session, as in tests, and on a cluster a folder in the warehouse, which
+    driver and executors share."""
     sc = spark.sparkContext
-    set_dir = sc.getConf().get("spark.checkpoint.dir")
+    set_dir = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if set_dir:
         return set_dir.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="engramite-"))
+    if sc.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="engramite-")
+        atexit.register(shutil.rmtree, folder, True)
+    else:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_engramite-{uuid.uuid4().hex}"
+    sc.setCheckpointDir(folder)
     return sc.getCheckpointDir().rstrip("/")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -25,6 +27,8 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         for f in [*_ROOT.glob("engramite/**/*.py"), *_ROOT.glob("corpus_pipeline.py")]:
             z.write(f, f.relative_to(_ROOT))
-    path = Path(tempfile.mkdtemp(prefix="engramite-"), "engramite_package.zip")
+    folder = tempfile.mkdtemp(prefix="engramite-")  # on the driver, which serves the archive while it runs
+    atexit.register(shutil.rmtree, folder, True)
+    path = Path(folder, "engramite_package.zip")
     path.write_bytes(data.getvalue())
     sc.addPyFile(str(path))

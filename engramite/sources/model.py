@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,3 +88,11 @@ def save_store(store: Store, path: str) -> None:
     for t in Store.__dataclass_fields__:
         df = getattr(store, t)
         (df.write.partitionBy("namespace") if t == "memories" else df.write).mode("overwrite").parquet(f"{path}/{t}")
+
+
+def migrate(table: DataFrame, schema: str) -> DataFrame:
+    """A table of an older schema in the columns of another: what is missing is null, types are cast, further columns stay at the end."""
+    wanted = [x.strip().split(" ", 1) for x in re.split(r",(?![^<]*>)", schema)]
+    have = {c.lower(): c for c in table.columns}
+    cols = [(F.col(have[n.lower()]) if n.lower() in have else F.lit(None)).cast(t).alias(n) for n, t in wanted]
+    return table.select(*cols, *[c for c in table.columns if c.lower() not in {n.lower() for n, _ in wanted}])

@@ -1,13 +1,17 @@
-"""Streams: appended transcripts, counters of agents, job queues and event fan-out, with Spark's checkpoints as offsets."""
+"""Streams: appended transcripts, task histories, counters of agents, job queues and event fan-out, with Spark's checkpoints as offsets."""
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from engramite.plans.scratch import shared_dir
+
 TRANSCRIPT = "step_index int, source string, type string, content string"
 LEAST_CHARS = 15
 
@@ -26,10 +30,157 @@ def agent_counters(events: DataFrame) -> DataFrame:
     return events.groupBy(F.lower("agent_id").alias("agent_id")).agg(*[c.alias(a) for a, c in n.items()])
 
 
+def drained(stream: DataFrame, mode: str) -> DataFrame:
+    """What a stream gives now, as a table in the shared folder: appended rows, or the last state of all groups. Nothing is held in the driver."""
+    spark = stream.sparkSession
+    top = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    sink = stream.writeStream.option("checkpointLocation", f"{top}/offsets").trigger(availableNow=True)
+    if mode == "append":
+        query = sink.outputMode("append").format("parquet").option("path", f"{top}/rows").start()
+    else:
+        # each batch holds all groups and takes the place of the one before
+        query = sink.outputMode(mode).foreachBatch(lambda df, number: df.write.mode("overwrite").parquet(f"{top}/rows")).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{top}/rows") if _exists(spark, f"{top}/rows") else spark.createDataFrame([], stream.schema)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _hadoop(spark, path)
+    return bool(fs.exists(p))
+
+
+HISTORY = "history array<struct<role: string, content: string>>"
+
+
+def new_messages(spark: SparkSession, folder: str, positions: DataFrame | None = None, pattern: str = "*.json", within: str = "") -> tuple[DataFrame, DataFrame]:
+    """Task histories, each a whole JSON file that is written anew: (file, position, role, content) of the messages beyond each file's saved
+    position, and the positions (file, last_position) to save. positions: those saved before. Files that do not parse yet, and those whose path lacks
+    ``within``, are left for another time; so are other roles than user and assistant and messages without text."""
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(folder)
+    files = files.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", HISTORY)["history"].alias("history")).where(F.col("history").isNotNull() & F.col("file").contains(within))
+    saved = positions if positions is not None else spark.createDataFrame([], "file string, last_position bigint")
+    files = files.join(saved, "file", "left").select("file", "history", F.coalesce("last_position", F.lit(0)).alias("last_position"))
+    rows = files.select("file", "last_position", F.posexplode("history").alias("position", "m")).where("position >= last_position")
+    rows = rows.where("m.role in ('user', 'assistant') and trim(m.content) <> ''").select("file", "position", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
+    after = files.select("file", F.greatest(F.size("history").cast("bigint"), "last_position").alias("last_position"))
+    return rows, after.unionByName(saved.join(files.select("file"), "file", "left_anti"))
+
+
+JOB = "text string, session_id string, agent_id string, namespace string, cwd string, queued_at string, _retries int"
+MAX_JOBS, MAX_JOB_AGE, TRIES = 50, 7 * 86400, 3
+
+
+def read_queue(spark: SparkSession, folder: str, now: int, most: int = MAX_JOBS) -> DataFrame:
+    """The files of a queue of jobs: (file, name, state, and the fields of a job), state pending, waiting, corrupt or expired. Names begin with the
+    time of queueing, so the first ``most`` that parse and are no week old are pending; hidden files are none of the queue."""
+    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"), F.unix_timestamp(F.col("_metadata.file_modification_time").cast("timestamp")).alias("changed"), F.from_json("value", JOB).alias("job"))
+    state = F.when(F.lit(now) - F.col("changed") > MAX_JOB_AGE, "expired").when(F.col("job.text").isNull(), "corrupt").otherwise("pending")
+    rows = rows.where(~F.col("name").startswith(".")).select("file", "name", state.alias("state"), "job.*")
+    first = rows.where("state = 'pending'").orderBy("name").limit(most).select("name", F.lit(True).alias("__first"))
+    taken = F.when((F.col("state") == "pending") & F.col("__first").isNull(), "waiting").otherwise(F.col("state"))
+    return rows.join(F.broadcast(first), "name", "left").withColumn("state", taken).drop("__first").select("file", "name", "state", "text", "session_id", "agent_id", "namespace", "cwd", "queued_at", F.coalesce("_retries", F.lit(0)).alias("retries"))
+
+
+def work_queue(spark: SparkSession, folder: str, failed: str, now: int, work: Callable[[DataFrame], None], most: int = MAX_JOBS, tries: int = TRIES) -> dict[str, int]:
+    """One run over a queue: expired files go, corrupt ones move to ``failed``, each pending job is handed to work by itself, at least once, and goes
+    when that succeeds; one that fails stays with one more try on its count, and moves to ``failed`` after the last. At most ``most`` jobs, so
+    the loop is bounded. Returns how many were done, retried, failed, corrupt and expired."""
+    rows = read_queue(spark, folder, now, most).where("state <> 'waiting'").orderBy("name").collect()
+    counts = dict.fromkeys(("done", "retried", "failed", "corrupt", "expired"), 0)
+
+    def away(row) -> None:
+        p, fs = _hadoop(spark, row.file)
+        target, _ = _hadoop(spark, failed)
+        fs.mkdirs(target)
+        fs.rename(p, _hadoop(spark, f"{failed}/{row.name}")[0])
+
+    def gone(row) -> None:
+        p, fs = _hadoop(spark, row.file)
+        fs.delete(p, False)
+
+    for row in rows:
+        if row.state != "pending":
+            (gone if row.state == "expired" else away)(row)
+            counts[row.state] += 1
+            continue
+        job = spark.createDataFrame([row], "file string, name string, state string, text string, session_id string, agent_id string, namespace string, cwd string, queued_at string, retries int")
+        try:
+            work(job)
+        except Exception:
+            if row.retries + 1 >= tries:
+                away(row)
+                counts["failed"] += 1
+            else:
+                again = {"text": row.text, "session_id": row.session_id, "agent_id": row.agent_id, "namespace": row.namespace, "cwd": row.cwd, "queued_at": row.queued_at, "_retries": row.retries + 1}
+                _write(spark, row.file, json.dumps(again))
+                counts["retried"] += 1
+            continue
+        gone(row)
+        counts["done"] += 1
+    return counts
+
+
+def enqueue(spark: SparkSession, folder: str, name: str, text: str, queued_at: str, **meta: str) -> None:
+    """Writes one job file."""
+    _write(spark, f"{folder}/{name}.json", json.dumps({"text": text, "session_id": None, "agent_id": None, "namespace": "shared", "cwd": None, **meta, "queued_at": queued_at, "_retries": 0}))
+
+
+def _write(spark: SparkSession, path: str, text: str) -> None:
+    p, fs = _hadoop(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def event_payload(tool: Column, query: Column, ids: Column, agent: Column, namespace: Column, token_budget: Column | None = None) -> Column:
+    """What is told of a retrieval, as JSON: tool, query, count, agent, namespace, ids, and a budget where there is one."""
+    fields = [tool.alias("tool"), query.alias("query"), F.size(ids).alias("count"), F.coalesce(agent, F.lit("unknown")).alias("agent_id"), F.coalesce(namespace, F.lit("shared")).alias("namespace"), ids.alias("memory_ids")]
+    return F.to_json(F.struct(*fields, *([] if token_budget is None else [token_budget.alias("token_budget")])))
+
+
+EVENTS = ("memory_added", "memory_deleted", "memory_updated", "memory_retrieved", "memories_consolidated")
+
+
+def event_counts(events: DataFrame) -> DataFrame:
+    """events(event, ...): how often each kind of event occurred, other names left out; batch or stream."""
+    return events.where(F.col("event").isin(*EVENTS)).groupBy("event").agg(F.count("*").alias("count"))
+
+
+def fan_out(stream: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]], checkpoint: str) -> StreamingQuery:
+    """Hands each batch of events to every sink. A batch is read once; a sink that fails fails the batch, which comes again after a restart, so
+    sinks take a batch by its number."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        df = df.persist()
+        try:
+            for sink in sinks.values():
+                sink(df, number)
+        finally:
+            df.unpersist()
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def every(spark: SparkSession, seconds: int, job: Callable[[int], None], checkpoint: str) -> StreamingQuery:
+    """Runs job(run number) every so many seconds until the query is stopped: the sweeps of decay, expiry and consolidation."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda df, number: job(number)).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
 def run_jobs(jobs: DataFrame, work: Callable[[DataFrame], None], dead_letter: str, checkpoint: str, tries: int = 3) -> StreamingQuery:
-    """Hands each batch of queued jobs to work, at least once; after so many failures the batch goes to the dead letter folder."""
+    """Hands each batch of queued jobs to work, at least once; after so many failures the batch goes to the dead letter folder. Jobs with an ``id``
+    column count once in a batch."""
 
     def batch(df: DataFrame, number: int) -> None:
+        df = df.dropDuplicates(["id"]) if "id" in df.columns else df
         for attempt in range(tries):
             try:
                 work(df)
