@@ -203,9 +203,9 @@ def weighted(rows: DataFrame, provenance: DataFrame, events: DataFrame) -> DataF
 def batch_search(memories: DataFrame, vectors: DataFrame, provenance: DataFrame, events: DataFrame, entries: DataFrame, limit: int = 5, most: int = 50) -> DataFrame:
     """entries(entry, query, embedding, limit, agent_id), at most ``most``: (query, rank, id, similarity, keyword_match, reputation, score, warning). An
     entry with an agent sees what that agent sees, another one what is shared; its own limit goes before the common one. Of entries with one query the
-    last counts; entries without a query, and those with a limit that is no positive number, find nothing."""
-    if not 0 < entries.limit(most + 1).count() <= most:
-        raise ValueError(f"a batch has from 1 to {most} queries")
+    last counts; entries without a query, and those with a limit that is no positive number, find nothing; no entries give no rows."""
+    if entries.limit(most + 1).count() > most:
+        raise ValueError(f"a batch has at most {most} queries")
     e = entries.where("query <> ''").groupBy("query").agg(F.max_by(F.struct("embedding", F.coalesce("limit", F.lit(limit)).alias("limit"), F.lower("agent_id").alias("agent")), "entry").alias("e"))
     e = e.select(F.xxhash64("query").alias("query_id"), "query", "e.*").where("limit > 0")
     widest = e.agg(F.max("limit")).first()[0] or 1

@@ -85,9 +85,9 @@ def namespace_content_stats(memories: DataFrame) -> DataFrame:
 
 
 def namespace_share(memories: DataFrame) -> DataFrame:
-    """Share of all characters, and a bar of 1 to 20."""
+    """Share of all characters, null where there are none, and a bar of 1 to 20."""
     stats = namespace_content_stats(memories)
-    share = F.col("total_chars") / F.sum("total_chars").over(Window.partitionBy(F.lit(0)))  # one row for each namespace
+    share = F.try_divide(F.col("total_chars"), F.sum("total_chars").over(Window.partitionBy(F.lit(0))))  # one row for each namespace
     return stats.select("namespace", F.round(share * 100, 4).alias("percent"), F.greatest(F.round(share * 20), F.lit(1.0)).cast("bigint").alias("bar"))
 
 
