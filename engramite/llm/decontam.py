@@ -80,6 +80,8 @@ class SuffixAutomaton:
             self.first_next.append(t)
             if len(edges) > 1:
                 self.more[s] = edges
+        #: the root's transitions: it has one for every word that has a number
+        self.root = array("i", [self._next[0][x] for x in range(len(self.words))])
         del self._next
 
     def _mark(self, s: int, item: int) -> None:
@@ -127,12 +129,13 @@ class SuffixAutomaton:
     def scan(self, w: list[str]) -> tuple[list[tuple[int, int]], set[str]]:
         """Word ranges that are hit (may overlap), and the items with occurring windows."""
         number, first_word, first_next, more, link, length, window = self.words.get, self.first_word, self.first_next, self.more, self.link, self.len, self.window
+        root, short = self.root, bool(self.short)
         s, n, hits, states = 0, 0, [], set()
-        for i, word in enumerate(w):
-            if (x := number(word)) is None:
+        for i, x in enumerate(map(number, w)):
+            if x is None:
                 s = n = 0
                 continue
-            while True:  # the root has a transition for every word that has a number
+            while s:
                 if first_word[s] == x:
                     s = first_next[s]
                     break
@@ -141,11 +144,13 @@ class SuffixAutomaton:
                     break
                 s = link[s]
                 n = length[s]
+            else:
+                s, n = root[x], 0
             n += 1
             if n >= window:
                 hits.append((i - n + 1, i + 1))
                 states.add(self._window_state(s))
-            if self.short:
+            if short:
                 # the state's longest word run may be longer than what matched: shorter items by suffix links
                 q = s if length[s] <= n else link[s]
                 q = self.nearest[q] if q > 0 else -1
@@ -187,7 +192,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
 
     def build(batch: pa.RecordBatch, found: list[Found]) -> dict:
         return {
-            "doc_id": batch.column("doc_id"), "n_words": pa.array([len(f.spans) for f in found], pa.int64()), "n_hit": pa.array([f.n_hit for f in found], pa.int64()),
+            "doc_id": batch.column("doc_id"), "n_words": pa.array([f.n_words for f in found], pa.int64()), "n_hit": pa.array([f.n_hit for f in found], pa.int64()),
             "n_items": pa.array([len(f.items) for f in found], pa.int64()), "items_sha256": [hashlib.sha256(",".join(sorted(f.items)).encode()).hexdigest() for f in found], "contaminated": [f.contaminated for f in found],
         }
 
@@ -202,7 +207,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     def build(batch: pa.RecordBatch, found: list[Found]) -> dict:
         texts = batch.column("text").to_pylist()
         out = {n: batch.column(n) for n in columns}
-        edited = [without(t, f.spans, f.hits) if f.hits else t for t, f in zip(texts, found, strict=True)]
+        edited = [without(t, word_spans(lower_ascii(t)), f.hits) if f.hits else t for t, f in zip(texts, found, strict=True)]
         out["text"] = pa.array(edited, batch.schema.field("text").type)
         if "n_chars" in out:
             sizes = [n if not f.hits else len(t) for t, f, n in zip(edited, found, out["n_chars"].to_pylist(), strict=True)]
@@ -215,9 +220,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 @dataclass
 class Found:
-    """What was found in a text: where its words are, disjoint word ranges that are hit, and items with occurring windows."""
+    """What was found in a text: how many words it has, disjoint word ranges that are hit, and items with occurring windows."""
 
-    spans: list[tuple[int, int]]
+    n_words: int
     hits: list[tuple[int, int]]
     items: set[str]
 
@@ -227,18 +232,16 @@ class Found:
 
     @property
     def contaminated(self) -> bool:
-        return bool(self.hits) and SHARE * self.n_hit >= len(self.spans)
+        return bool(self.hits) and SHARE * self.n_hit >= self.n_words
 
 
 def scan_all(text: str | None, automata: list[SuffixAutomaton]) -> Found:
-    low = lower_ascii(text or "")
-    spans, hits, items = word_spans(low), [], set()
-    words = [low[a:b] for a, b in spans]
+    words, hits, items = words_of(text), [], set()
     for automaton in automata:
         h, i = automaton.scan(words)
         hits += h
         items |= i
-    return Found(spans, union(hits), items)
+    return Found(len(words), union(hits), items)
 
 
 def _over(data: DataFrame, benchmark: DataFrame, build, schema, window: int, max_words: int, per_pass: int) -> DataFrame:
@@ -266,7 +269,7 @@ def _over(data: DataFrame, benchmark: DataFrame, build, schema, window: int, max
             found = []
             for text, r, i in zip(batch.column("text").to_pylist(), ranges, items, strict=True):
                 r = r or []
-                found.append(Found(word_spans(lower_ascii(text or "")), union(list(zip(r[::2], r[1::2], strict=True))), set(i or ())))
+                found.append(Found(len(words_of(text)), union(list(zip(r[::2], r[1::2], strict=True))), set(i or ())))
             return build(batch, found)
 
         return work
