@@ -566,16 +566,9 @@ def entity_memories(s, d):
     return store.entity_memories(model.entities(s, d), model.edges(s, d), model.memories(s, d))
 
 
-@query(", e AS (SELECT DISTINCT l_partkey AS p, l_orderkey AS o FROM lineitem) SELECT o AS memory_id, act.created_at FROM e JOIN act ON o = act.id WHERE p = (SELECT min(p_partkey) FROM part)", "act")
-def file_history(s, d):
-    first = model.entities(s, d).orderBy("id").limit(1)
-    m = model.memories(s, d)
-    return store.entity_memories(first, model.edges(s, d), m).join(m.select(F.col("id").alias("memory_id"), "created_at"), "memory_id").select("memory_id", "created_at")
-
-
 @query(", e AS (SELECT DISTINCT l_partkey AS p, l_orderkey AS o FROM lineitem) SELECT p AS entity_id, o AS memory_id, act.created_at FROM e JOIN act ON o = act.id JOIN part ON p = p_partkey", "act")
-def file_histories(s, d):
-    """file_history of every entity."""
+def file_history(s, d):
+    """The memories of every entity and when they were made."""
     m = store.active(model.memories(s, d)).select(F.col("id").alias("memory_id"), "created_at")
     e = model.edges(s, d).select(F.col("source_id").alias("entity_id"), F.col("target_id").alias("memory_id"))
     return e.join(m, "memory_id").join(model.entities(s, d).select(F.col("id").alias("entity_id")), "entity_id").select("entity_id", "memory_id", "created_at")
@@ -589,14 +582,17 @@ def implicit_entity_edges(s, d):
     return graph.implied_edges(m, names).join(names.withColumnRenamed("id", "entity_id"), "entity_id").select("memory_id", "name")
 
 
+_STEPS = "".join(f", w{k + 1} AS MATERIALIZED (SELECT q, n, min(depth) AS depth FROM (SELECT * FROM w{k} UNION ALL SELECT q, b, {k + 1} FROM w{k} JOIN b ON n = a WHERE depth = {k}) GROUP BY q, n)" for k in range(6))
+
+
 @query(
-    "WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT 2 * l_partkey AS a, 2 * l_orderkey + 1 AS b FROM lineitem), b AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), seeds AS (SELECT p_partkey AS q, 2 * p_partkey AS n FROM part ORDER BY p_partkey LIMIT 5),"
-    " w(q, n, depth) AS (SELECT q, n, 0 FROM seeds UNION SELECT w.q, b.b, depth + 1 FROM w JOIN b ON w.n = b.a WHERE depth < 3) SELECT q AS query_id, n AS node, min(depth)::int AS depth FROM w GROUP BY q, n"
+    "WITH e AS MATERIALIZED (SELECT DISTINCT 2 * l_partkey AS a, 2 * l_orderkey + 1 AS b FROM lineitem), b AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), w0 AS (SELECT p_partkey AS q, 2 * p_partkey AS n, 0 AS depth FROM part WHERE p_partkey % 20 = 0)"
+    + _STEPS + " SELECT q AS query_id, n AS node, depth FROM w6"
 )
 def graph_bfs(s, d):
-    e = _nodes(model.edges(s, d))
-    seeds = model.entities(s, d).orderBy("id").limit(5).select(F.col("id").alias("query_id"), (2 * F.col("id")).alias("node"))
-    return graph.expand(seeds, e, 3)
+    """From every twentieth entity, as the queries of a search, to the operator's own depth."""
+    seeds = model.entities(s, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), (2 * F.col("id")).alias("node"))
+    return graph.expand(seeds, _nodes(model.edges(s, d)))
 
 
 def _nodes(edges: DataFrame) -> DataFrame:
@@ -604,12 +600,6 @@ def _nodes(edges: DataFrame) -> DataFrame:
     return edges.select((2 * F.col("source_id")).alias("a"), (2 * F.col("target_id") + 1).alias("b"))
 
 
-@query()
-def graph_neighbourhoods(s, d):
-    """graph_bfs from every entity, to the operator's own depth."""
-    return graph.expand(model.entities(s, d).select(F.col("id").alias("query_id"), (2 * F.col("id")).alias("node")), _nodes(model.edges(s, d)))
-
-
 _CHAINS = ", t AS (SELECT id AS a, parent_id AS b FROM mem WHERE parent_id IS NOT NULL), b AS (SELECT a, b FROM t UNION SELECT b, a FROM t), r(x, y) AS (SELECT a, b FROM b UNION SELECT r.x, b.b FROM r JOIN b ON r.y = b.a), ch AS (SELECT x, min(y) AS y FROM r GROUP BY x), chain AS (SELECT id, least(id, coalesce(y, id)) AS chain FROM mem LEFT JOIN ch ON id = x)"
 
 
@@ -730,7 +720,7 @@ _WALK = "".join(f", s{k + 1} AS MATERIALIZED (SELECT q, n FROM s{k} UNION SELECT
     " told AS (SELECT DISTINCT 'entity:' || l_partkey AS a, 'memory:' || l_orderkey AS b FROM lineitem UNION SELECT 'entity:' || e, 'memory:' || m FROM held), links AS MATERIALIZED (SELECT a, b FROM told UNION SELECT b, a FROM told),"
     " s0 AS MATERIALIZED (SELECT query_id AS q, 'memory:' || id AS n FROM hits UNION SELECT query_id, 'entity:' || nodes.id FROM asked JOIN nodes ON contains(query, name))"
     + _WALK
-    + f""" SELECT query_id, act.id, source, round(base * exp(-0.01::double * greatest(0, ({NOW} - last_accessed) / 3600.0::double)) * coalesce(CASE WHEN source_type = 'agent' THEN reputation_score END, 1.0::double), 6) AS score
+    + f""" SELECT query_id, act.id, source, round(base * exp(-0.01::double * greatest(0, ({NOW} - last_accessed) / 3600.0::double)) * coalesce(CASE WHEN source_type = 'agent' THEN reputation_score END, 1.0::double), 9) AS score
     FROM (SELECT query_id, id, score AS base, 'search' AS source FROM hits UNION ALL
       SELECT q, r.id, coalesce(best * 0.5::double, 0.4::double), 'hop' FROM (SELECT q, substr(n, 8)::bigint AS id FROM s6 WHERE starts_with(n, 'memory:')) r LEFT JOIN best ON best.query_id = q
       WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = q AND h.id = r.id)) c
@@ -739,7 +729,7 @@ _WALK = "".join(f", s{k + 1} AS MATERIALIZED (SELECT q, n FROM s{k} UNION SELECT
 )
 def context_candidates(s, d):
     """All that may enter a context; context_scoring shows the decay of vector neighbours only, as its SQL does."""
-    return _found(s, d)[1].select("query_id", "id", "source", F.round("score", 6).alias("score"))
+    return _found(s, d)[1].select("query_id", "id", "source", F.round("score", 9).alias("score"))
 
 
 @query()
