@@ -33,7 +33,7 @@ def linked(payload: Column, previous: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.coalesce(payload, F.lit("")), F.coalesce(previous, F.lit(""))), 256)
 
 
-def _streamed(rows: DataFrame, key: str, order: str, carry: list[str], added: list[str], step) -> DataFrame:
+def _streamed(rows: DataFrame, key: str, order: str, carry: list[str], added: list[str], step, last: dict[str, str] | None = None) -> DataFrame:
     """Adds columns of text: step(state, row) -> (state, values), over the rows of each key in order. A chain has one place after another, so one task walks
     each key; it holds one record and streams."""
     ship_package(rows.sparkSession)
@@ -47,7 +47,7 @@ def _streamed(rows: DataFrame, key: str, order: str, carry: list[str], added: li
             out, keys = [], batch.column(key).to_pylist()
             for k, row in zip(keys, batch.to_pylist(), strict=True):
                 if state is None or k != current:
-                    current, state = k, (None,)
+                    current, state = k, ((last or {}).get(k),)
                 state, values = step(state, row)
                 out.append(values)
             made = [pa.array([v[i] for v in out], pa.string()) for i in range(len(added))]
@@ -104,9 +104,10 @@ def record_hash(signed: str, signature: str | None) -> str:
     return hashlib.sha256(f"{signed[:-1]},\"signature\":{json.dumps(signature)}}}".encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def attest(records: DataFrame, keys: Keys) -> DataFrame:
+def attest(records: DataFrame, keys: Keys, last: dict[str, str] | None = None) -> DataFrame:
     """records of RECORD: adds previous_hash, signature and hash. Within a chain, in the order of ids, each record names the hash of the one
-    before it, is signed with that name, and its hash covers the signature; signing runs in tasks, with the keys broadcast."""
+    before it, is signed with that name, and its hash covers the signature; signing runs in tasks, with the keys broadcast. last: the hash with which
+    a chain ended before, for chains that go on."""
     rows = records.select(*RECORD)
     shared = records.sparkSession.sparkContext.broadcast(keys.raw())
 
@@ -117,7 +118,7 @@ def attest(records: DataFrame, keys: Keys) -> DataFrame:
         own = record_hash(signed, signature)
         return (own,), (state[0], signature, own)
 
-    return _streamed(rows, "chain", "id", list(RECORD), ["previous_hash", "signature", "hash"], step)
+    return _streamed(rows, "chain", "id", list(RECORD), ["previous_hash", "signature", "hash"], step, last)
 
 
 def verify_records(records: DataFrame, public: bytes) -> DataFrame:
