@@ -5,32 +5,38 @@ sees the page's columns and nothing of the text: language, source and recorded l
 labels the unlabelled documents it is surest of, and gives them to the other view as pseudo-labels. The views are then calibrated on
 labelled rows that neither was fitted on, nor gave labels to, and combined by their calibrated log-odds.
 
-Fitting is done on the driver over the features of at most about ``max_rows`` labelled and ``max_rows`` unlabelled documents (the
-documented bound; chosen by a hash; of a text with over ``max_kinds`` kinds of words the most frequent reach the driver). Labelled documents are
-never in the unlabelled pool. Every document is scored, from its whole text.
+Features of every whole text are worked out once and written to the shared folder. In each round both views score all of them, and the
+``exchange`` surest documents of each view are gathered. Fitting is done on the driver over these and about ``max_rows`` labelled documents (the
+documented bound; chosen by a hash; of a text with over ``max_kinds`` kinds of words the most frequent reach the driver). Documents of the
+labelled sample, and copies of their texts, are never given pseudo-labels. Every document is scored, from its whole text.
 
 Defined cases: a null or empty text has the features of no words; null metadata are a value of their own; without labels of
-both classes every score is 0.5; repeated rows are scored alike, and rows that repeat an id are one row of the sample, the smallest; extra
-columns are ignored; null ids are scored and never learned from.
+both classes every score is 0.5; repeated rows are scored alike, rows that repeat an id are one row of the sample, the smallest, and equal texts
+get one pseudo-label of a view; documents of which a view is equally sure go by a hash of their texts; extra columns are ignored; null ids are
+scored and never learned from.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from engramite.llm.common import bound_batches, doc_id, fold, map_batches, texts_of
+from engramite.llm.common import bound_batches, discard, doc_id, fold, map_batches, materialize, shared_dir, texts_of
 from engramite.llm.neardup import pieces_of, word_hashes
 
 SCHEMA = "doc_id bigint, held_out boolean, text_score double, meta_score double, score double, predicted int"
+FEATURES = "doc_id bigint, held_out boolean, digest bigint, s binary, m binary, k binary, c binary"
 SHAPES, META_FEATURES, HASHED, BUCKETS = 16, 40, 32, 1 << 15
+SLICES = 32  # of candidates, so that no task ranks those of all tasks
 _Bag = tuple[np.ndarray, np.ndarray]
 _WORD = re.compile(r"[^\W\d_]+")
 _SYMBOL = re.compile(r"[#$%&*|~^<>{}\[\]\\=+_@]+")
@@ -213,11 +219,13 @@ class Model:
 
     def scores(self, texts: list[str], xm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the text view, of the metadata view and of both."""
+        return self.scores_of(Texts(np.array([shape_features(t) for t in texts]), [bag(t, BUCKETS) for t in texts]), xm)
+
+    def scores_of(self, x: Texts, xm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.text is None:
-            half = np.full(len(texts), 0.5)
+            half = np.full(len(x), 0.5)
             return half, half, half
-        shapes = np.array([shape_features(t) for t in texts])
-        a = self.text.log_odds(self.text.raw(shapes, np.array([self.text.over_text(t) for t in texts])))
+        a = self.text.log_odds(self.text.raw_rows(x))
         b = self.meta.log_odds(self.meta.raw(xm))
         return sigmoid(a), sigmoid(b), sigmoid(self.blend[0] + self.blend[1] * a + self.blend[2] * b)
 
@@ -231,8 +239,42 @@ def surest(p: np.ndarray, taken: dict[int, float], share: float, base: float, su
     return out
 
 
+@dataclass
+class Given:
+    """Pseudo-labelled rows of one round: those that the metadata view gives the text view, and those that it is given."""
+
+    texts: Texts
+    text_labels: np.ndarray
+    meta: np.ndarray
+    meta_labels: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.text_labels) + len(self.meta_labels)
+
+
+class HeldPool:
+    """Unlabelled rows in memory."""
+
+    def __init__(self, ut: Texts, um: np.ndarray, share: float, sure: float):
+        self.ut, self.um, self.share, self.sure = ut, um, share, sure
+        self.to_text, self.to_meta = {}, {}  # rows and labels given so far
+
+    def give(self, text: TextModel, meta: Logistic, base: float) -> Given:
+        new_meta = surest(sigmoid(text.log_odds(text.raw_rows(self.ut))), self.to_meta, self.share, base, self.sure) if len(self.ut) else {}
+        new_text = surest(sigmoid(meta.log_odds(meta.raw(self.um))), self.to_text, self.share, base, self.sure) if len(self.ut) else {}
+        self.to_meta.update(new_meta)
+        self.to_text.update(new_text)
+        kt, km = (np.fromiter(d, int, len(d)) for d in (new_text, new_meta))
+        return Given(self.ut.rows(kt), np.array([*new_text.values()]), self.um[km], np.array([*new_meta.values()]))
+
+
 def co_train(xt: Texts, xm: np.ndarray, y: np.ndarray, ut: Texts, um: np.ndarray, rounds: int = 4, share: float = 0.05, sure: float = 0.95, seed: int = 3) -> Model:
-    """xt, xm, y: labelled rows; ut, um: unlabelled rows. A pseudo-label weighs half of a label."""
+    """xt, xm, y: labelled rows; ut, um: unlabelled rows in memory."""
+    return co_train_with(xt, xm, y, HeldPool(ut, um, share, sure), rounds, seed)
+
+
+def co_train_with(xt: Texts, xm: np.ndarray, y: np.ndarray, pool: HeldPool | StoredPool, rounds: int = 4, seed: int = 3) -> Model:
+    """A pseudo-label weighs half of a label."""
     if len(y) < 20 or y.min() == y.max():
         return Model()
     order = np.random.default_rng(seed).permutation(len(y))
@@ -241,25 +283,24 @@ def co_train(xt: Texts, xm: np.ndarray, y: np.ndarray, ut: Texts, um: np.ndarray
     if y[tr].min() == y[tr].max():
         return Model()
     base = float(y[tr].mean())
-    to_text, to_meta = {}, {}  # pseudo-labels by row that the other view gave
+    given = Given(Texts(np.zeros((0, SHAPES)), []), np.zeros(0), np.zeros((0, META_FEATURES)), np.zeros(0))
 
     def fitted() -> tuple[TextModel, Logistic]:
-        kt, km = (np.fromiter(d, int, len(d)) for d in (to_text, to_meta))
-        weights = [np.concatenate([np.ones(len(tr)), np.full(len(k), 0.5)]) for k in (kt, km)]
-        text = fit_text(xt.rows(tr).plus(ut.rows(kt)), np.concatenate([y[tr], [to_text[i] for i in kt]]), weights[0])
-        meta = fit_logistic(np.vstack([xm[tr], um[km]]), np.concatenate([y[tr], [to_meta[i] for i in km]]), weights[1])
+        weights = [np.concatenate([np.ones(len(tr)), np.full(len(labels), 0.5)]) for labels in (given.text_labels, given.meta_labels)]
+        text = fit_text(xt.rows(tr).plus(given.texts), np.concatenate([y[tr], given.text_labels]), weights[0])
+        meta = fit_logistic(np.vstack([xm[tr], given.meta]), np.concatenate([y[tr], given.meta_labels]), weights[1])
         calibrate(text, text.raw_rows(xt.rows(cal)), y[cal])
         calibrate(meta, meta.raw(xm[cal]), y[cal])
         return text, meta
 
     text, meta = fitted()
-    for _ in range(rounds if len(ut) else 0):
-        new_meta = surest(sigmoid(text.log_odds(text.raw_rows(ut))), to_meta, share, base, sure)
-        new_text = surest(sigmoid(meta.log_odds(meta.raw(um))), to_text, share, base, sure)
-        if not new_meta and not new_text:
+    for _ in range(rounds):
+        new = pool.give(text, meta, base)
+        if not len(new):
             break
-        to_meta.update(new_meta)
-        to_text.update(new_text)
+        given = Given(
+            given.texts.plus(new.texts), np.concatenate([given.text_labels, new.text_labels]), np.vstack([given.meta, new.meta]), np.concatenate([given.meta_labels, new.meta_labels])
+        )
         text, meta = fitted()
     model = Model(text, meta)
     if n_cal and y[cal].min() < y[cal].max():
@@ -273,64 +314,183 @@ def co_train(xt: Texts, xm: np.ndarray, y: np.ndarray, ut: Texts, um: np.ndarray
     return model
 
 
-def _views(documents: DataFrame, extra: list) -> DataFrame:
-    cols = [doc_id(documents).alias("doc_id"), documents["text"], documents["lang"].cast("string").alias("lang"), documents["source"].cast("string").alias("source"), documents["n_chars"].cast("bigint").alias("n_chars")]
-    return documents.select(*cols, *extra)
-
-
 def _meta(batch: pa.RecordBatch) -> list[list[float]]:
     return [meta_features(*m) for m in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)]
 
 
-def _gather(rows: DataFrame, max_kinds: int) -> tuple[Texts, np.ndarray, np.ndarray]:
+def _binary(values: list, dtype: str) -> pa.Array:
+    return pa.array([np.asarray(v, dtype).tobytes() for v in values], pa.binary())
+
+
+def features(documents: DataFrame) -> DataFrame:
+    """Both views of each document: shapes and hashed words of its whole text, page columns; and a digest of the text."""
+    views = documents.select(
+        doc_id(documents).alias("doc_id"), documents["text"], documents["lang"].cast("string").alias("lang"), documents["source"].cast("string").alias("source"),
+        documents["n_chars"].cast("bigint").alias("n_chars"), F.coalesce(fold(documents, 5) == 0, F.lit(False)).alias("held_out"),
+        F.xxhash64(F.coalesce(documents["text"], F.lit(""))).alias("digest"),
+    )
+
     def make():
         def work(batch: pa.RecordBatch) -> dict:
             texts = texts_of(batch)
-            bags = [bag(t, max_kinds) for t in texts]
-            return {
-                "doc_id": batch.column("doc_id"), "y": batch.column("__y"), "s": pa.array([shape_features(t) for t in texts], pa.list_(pa.float64())), "m": pa.array(_meta(batch), pa.list_(pa.float64())),
-                "k": pa.array([k.astype("<u2").tobytes() for k, _ in bags], pa.binary()), "c": pa.array([c.astype("<u4").tobytes() for _, c in bags], pa.binary()),
-            }
+            bags = [bag(t, BUCKETS) for t in texts]
+            same = {c: batch.column(c) for c in ("doc_id", "held_out", "digest")}
+            return same | {"s": _binary([shape_features(t) for t in texts], "<f8"), "m": _binary(_meta(batch), "<f8"), "k": _binary([k for k, _ in bags], "<u2"), "c": _binary([c for _, c in bags], "<u4")}
 
         return work
 
-    # an id that repeats counts once, by one of its rows, so what reaches the driver stays within the sample's bound
-    got = map_batches(rows, make, "doc_id bigint, y int, s array<double>, m array<double>, k binary, c binary")
-    got = got.groupBy("doc_id").agg(F.min(F.struct("y", "s", "m", "k", "c")).alias("r")).select("doc_id", "r.*").toArrow().to_pylist()
-    got.sort(key=lambda r: r["doc_id"])
-    bags = [(np.frombuffer(r["k"], "<u2").astype(np.int64), np.frombuffer(r["c"], "<u4").astype(np.int64)) for r in got]
-    y = np.array([float((r["y"] or 0) > 0) for r in got])
-    return Texts(np.array([r["s"] for r in got]).reshape(len(got), SHAPES), bags), np.array([r["m"] for r in got]).reshape(len(got), META_FEATURES), y
+    return map_batches(views, make, FEATURES)
 
 
-def train(documents: DataFrame, labels: DataFrame, max_rows: int = 8000, target: str = "quality", max_kinds: int = 4096) -> Model:
-    """Learns labels only from rows whose crc32(doc_id as text) mod 5 is not 0."""
+def _rows_of(values: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(values), "<f8").reshape(len(values), width)
+
+
+def _both(table: pa.RecordBatch | pa.Table) -> tuple[Texts, np.ndarray]:
+    """The views of rows of features."""
+    s, m, k, c = (table.column(x).to_pylist() for x in "smkc")
+    bags = [(np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(b, "<u4").astype(np.int64)) for a, b in zip(k, c, strict=True)]
+    return Texts(_rows_of(s, SHAPES), bags), _rows_of(m, META_FEATURES)
+
+
+def _gather(rows: DataFrame, key: list[str], max_kinds: int) -> pa.Table:
+    """Rows of features at the driver, one of each key, by key; of words the most frequent kinds. key must bound their number."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            out = {c: batch.column(c) for c in [*key, "y", "digest", "s", "m"]}
+            bags = _both(batch)[0].bags
+            at = [np.sort(np.lexsort((k, -c))[:max_kinds]) for k, c in bags]
+            return out | {"k": _binary([k[i] for (k, _), i in zip(bags, at, strict=True)], "<u2"), "c": _binary([c[i] for (_, c), i in zip(bags, at, strict=True)], "<u4")}
+
+        return work
+
+    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*key, "y"]), "digest bigint, s binary, m binary, k binary, c binary"])
+    cut = map_batches(rows.select(*key, "y", "digest", "s", "m", "k", "c"), make, schema).withColumnRenamed("digest", "d")
+    one = cut.groupBy(*key).agg(F.min(F.struct("y", "d", "s", "m", "k", "c")).alias("r")).select(*key, "r.*")
+    return one.toArrow().sort_by([(c, "ascending") for c in key])
+
+
+@dataclass
+class Best:
+    """The rows that a view is surest of, each text once: log-odds for the class, digests of texts, ids."""
+
+    odds: np.ndarray
+    digest: np.ndarray
+    ids: np.ndarray
+
+    def with_rows(self, odds: np.ndarray, digest: np.ndarray, ids: np.ndarray, most: int) -> Best:
+        odds, digest, ids = np.concatenate([self.odds, odds]), np.concatenate([self.digest, digest]), np.concatenate([self.ids, ids])
+        order = np.lexsort((ids, digest, -odds))
+        first = np.sort(np.unique(digest[order], return_index=True)[1])[:most]
+        return Best(odds[order][first], digest[order][first], ids[order][first])
+
+
+class StoredPool:
+    """All documents of a table of features but those of the labelled sample: what each view is surest of is found by tasks over the whole table."""
+
+    def __init__(self, table: DataFrame, ids: np.ndarray, digests: np.ndarray, exchange: int, sure: float, max_kinds: int):
+        self.table, self.ids, self.exchange, self.sure, self.max_kinds = table, ids, exchange, sure, max_kinds
+        self.gone = {"text": digests, "meta": digests}  # by the view that gave labels
+
+    def candidates(self, text: TextModel, meta: Logistic, most: dict[int, int]) -> DataFrame:
+        """Of each task the surest rows by view and class, which bounds what is ranked."""
+        shared = self.table.sparkSession.sparkContext.broadcast((text, meta, self.ids, self.gone))
+        least = float(np.log(self.sure / (1 - self.sure)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            text, meta, known, gone = shared.value
+            best: dict[tuple[str, int], Best] = {}
+            none = Best(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            for batch in batches:
+                batch = batch.filter(batch.column("doc_id").is_valid())
+                if not batch.num_rows:
+                    continue
+                x, xm = _both(batch)
+                ids, digest = (batch.column(c).to_numpy() for c in ("doc_id", "digest"))
+                free = ~np.isin(ids, known)
+                for view, odds in (("text", text.log_odds(text.raw_rows(x))), ("meta", meta.log_odds(meta.raw(xm)))):
+                    odds = np.round(odds, 9)  # what is equal stays so in batches of any size
+                    mine = free & ~np.isin(digest, gone[view])
+                    for label, towards in ((1, odds), (0, -odds)):
+                        at = np.flatnonzero(mine & (towards >= least))
+                        best[view, label] = best.get((view, label), none).with_rows(towards[at], digest[at], ids[at], most[label])
+            for (view, label), b in best.items():
+                n = len(b.ids)
+                yield pa.RecordBatch.from_arrays([pa.array([view] * n, pa.string()), pa.array([label] * n, pa.int32()), pa.array(b.odds), pa.array(b.digest), pa.array(b.ids)], names=["view", "label", "odds", "digest", "doc_id"])
+
+        return self.table.select("doc_id", "digest", "s", "m", "k", "c").mapInArrow(run, "view string, label int, odds double, digest bigint, doc_id bigint")
+
+    def give(self, text: TextModel, meta: Logistic, base: float) -> Given:
+        """The surest of each view and class, in proportion to the classes; equally sure ones by their digests."""
+        most = {1: int(self.exchange * base) + 1, 0: int(self.exchange * (1 - base)) + 1}
+        order = [F.col("odds").desc(), F.col("digest")]
+        texts = self.candidates(text, meta, most).groupBy("view", "label", "digest").agg(F.max(F.struct("odds", -F.col("doc_id"))).alias("r"))
+        ranked = texts.select("view", "label", "digest", F.col("r.odds").alias("odds"), (-F.col("r.col2")).alias("doc_id"))
+        for group in (["view", "label", F.pmod("digest", F.lit(SLICES))], ["view", "label"]):
+            ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= max(most.values()))
+        chosen = [r for r in ranked.collect() if r["rank"] <= most[r["label"]]]
+        if not chosen:
+            return Given(Texts(np.zeros((0, SHAPES)), []), np.zeros(0), np.zeros((0, META_FEATURES)), np.zeros(0))
+        for view in ("text", "meta"):
+            self.gone[view] = np.concatenate([self.gone[view], np.array([r["digest"] for r in chosen if r["view"] == view], np.int64)])
+        picked = self.table.sparkSession.createDataFrame([(r["view"], r["doc_id"], r["digest"], r["label"]) for r in chosen], "view string, doc_id bigint, digest bigint, y int")
+        got = _gather(self.table.join(F.broadcast(picked), ["doc_id", "digest"]), ["view", "doc_id"], self.max_kinds)
+        by_meta, by_text = (got.filter(pa.array([v == view for v in got.column("view").to_pylist()], pa.bool_())) for view in ("meta", "text"))
+        return Given(_both(by_meta)[0], by_meta.column("y").to_numpy().astype(float), _both(by_text)[1], by_text.column("y").to_numpy().astype(float))
+
+
+def _stored(documents: DataFrame) -> DataFrame:
+    """Features as a table in the shared folder."""
     bound_batches(documents.sparkSession)
+    path = f"{shared_dir(documents.sparkSession)}/quality-features-{uuid.uuid4().hex}"
+    found = features(documents)
+    found.write.option("compression", "zstd").parquet(path)
+    return documents.sparkSession.read.schema(found.schema).parquet(path)
+
+
+def _trained(table: DataFrame, labels: DataFrame, max_rows: int, target: str, max_kinds: int, exchange: int, sure: float) -> Model:
     rows = labels.where((fold(labels, 5) != 0) & labels[target].isNotNull())
-    n, total = rows.count(), documents.count()
+    part = int(min(1.0, max_rows / max(rows.count(), 1)) * (1 << 30)) + 1
+    sample = rows.where(F.pmod(F.xxhash64(rows["doc_id"].cast("string"), F.lit("sample")), F.lit(1 << 30)) < part)
+    picked = sample.groupBy(sample["doc_id"].cast("bigint").alias("doc_id")).agg(F.max(sample[target].cast("int")).alias("y"))
+    got = _gather(table.join(F.broadcast(picked), "doc_id"), ["doc_id"], max_kinds)
+    xt, xm = _both(got)
+    y = (got.column("y").to_numpy() > 0).astype(float)
+    pool = StoredPool(table, got.column("doc_id").to_numpy(), got.column("d").to_numpy(), exchange, sure, max_kinds)
+    return co_train_with(xt, xm, y, pool)
 
-    def chosen(df: DataFrame, salt: str, of: int):
-        return F.pmod(F.xxhash64(df["doc_id"].cast("string"), F.lit(salt)), F.lit(1 << 30)) < int(min(1.0, max_rows / max(of, 1)) * (1 << 30)) + 1
 
-    picked = rows.where(chosen(rows, "sample", n)).groupBy(rows["doc_id"].cast("bigint").alias("__key")).agg(F.max(rows[target].cast("int")).alias("__y"))
-    views = _views(documents, [])
-    xt, xm, y = _gather(views.join(F.broadcast(picked), views["doc_id"] == picked["__key"]).drop("__key"), max_kinds)
-    pool = _views(documents.where(documents["doc_id"].isNotNull() & chosen(documents, "pool", total)), [F.lit(None).cast("int").alias("__y")])
-    ut, um, _ = _gather(pool.join(F.broadcast(picked.select("__key")), pool["doc_id"] == F.col("__key"), "left_anti"), max_kinds)
-    return co_train(xt, xm, y, ut, um)
+def train(documents: DataFrame, labels: DataFrame, max_rows: int = 8000, target: str = "quality", max_kinds: int = 4096, exchange: int = 400, sure: float = 0.95) -> Model:
+    """Learns labels only from rows whose crc32(doc_id as text) mod 5 is not 0."""
+    table = _stored(documents)
+    model = _trained(table, labels, max_rows, target, max_kinds, exchange, sure)
+    discard(table)
+    return model
 
 
-def classify_quality(documents: DataFrame, labels: DataFrame, max_rows: int = 8000, model: Model | None = None) -> DataFrame:
-    """Scores of both views and of their combination for each document; 1 is good."""
-    shared = documents.sparkSession.sparkContext.broadcast(model or train(documents, labels, max_rows))
+def _scored(table: DataFrame, model: Model) -> DataFrame:
+    shared = table.sparkSession.sparkContext.broadcast(model)
 
     def make():
         m = shared.value
 
         def work(batch: pa.RecordBatch) -> dict:
-            a, b, s = m.scores(texts_of(batch), np.array(_meta(batch)))
+            a, b, s = m.scores_of(*_both(batch))
             return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "text_score": pa.array(a), "meta_score": pa.array(b), "score": pa.array(s), "predicted": pa.array((s >= 0.5).astype(np.int32), pa.int32())}
 
         return work
 
-    return map_batches(_views(documents, [F.coalesce(fold(documents, 5) == 0, F.lit(False)).alias("held_out")]), make, SCHEMA)
+    return map_batches(table, make, SCHEMA)
+
+
+def classify_quality(
+    documents: DataFrame, labels: DataFrame, max_rows: int = 8000, model: Model | None = None, target: str = "quality", max_kinds: int = 4096, exchange: int = 400, sure: float = 0.95
+) -> DataFrame:
+    """Scores of both views and of their combination for each document; 1 is good. Without a model one is learned, and the scores are written to the shared folder."""
+    if model is not None:
+        return _scored(features(documents), model)
+    table = _stored(documents)
+    out = materialize(_scored(table, _trained(table, labels, max_rows, target, max_kinds, exchange, sure)), "quality")
+    discard(table)
+    return out

@@ -6,7 +6,9 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from engramite.llm import cotrain, decontam, langid, matroska, neardup, packing, pii, secrets, toxicity, urlgraph
 
@@ -650,6 +652,42 @@ def test_quality_views_teach_each_other(spark):
     assert np.mean(right) > np.mean(alone)
 
 
+def test_quality_pool_is_all_documents(spark, docs):
+    """What the tasks of the pool choose over two rounds, against plain code over all rows: nulls, repeated ids, copies and ties among them."""
+    data, labels, _ = graded(spark, 600)
+    some = spark.createDataFrame([(10_000 + i, "the same text again and again", "en", f"s{i % 3}", 29) for i in range(300)], docs.schema)  # a hot text
+    table = cotrain.features(docs.unionByName(some).unionByName(data.withColumn("doc_id", F.col("doc_id") + 20_000))).repartition(7).cache()
+    stored = table.collect()
+    picked = [r for r in labels.collect() if r.doc_id is not None and r.quality is not None][:200]
+    rng, ids = np.random.default_rng(4), [r.doc_id + 20_000 for r in picked]
+    mine = [next(r for r in stored if r.doc_id == i) for i in ids]
+    x, xm = cotrain._both(pa.Table.from_pylist([r.asDict() for r in mine]))
+    y, one = np.array([float(r.quality) for r in picked]), np.ones(len(picked))
+    text, meta = cotrain.fit_text(x, y, one), cotrain.fit_logistic(xm + rng.normal(size=xm.shape) * 0.01, y, one)
+    pool = cotrain.StoredPool(table, np.array(ids), np.array([r.digest for r in mine]), exchange=60, sure=0.6, max_kinds=4096)
+    gone = {v: {r.digest for r in mine} for v in ("text", "meta")}
+    for _ in range(2):
+        given = pool.give(text, meta, 0.25)
+        for view in ("text", "meta"):
+            best = {0: {}, 1: {}}
+            for r in stored:
+                if r.doc_id is None or r.doc_id in ids or r.digest in gone[view]:
+                    continue
+                tx, tm = cotrain._both(pa.Table.from_pylist([r.asDict()]))
+                odds = float(text.log_odds(text.raw_rows(tx))[0] if view == "text" else meta.log_odds(meta.raw(tm))[0])
+                for label in (0, 1):
+                    if (odds if label else -odds) >= np.log(0.6 / 0.4):
+                        best[label][r.digest] = max(best[label].get(r.digest, -99), round(odds if label else -odds, 9))
+            want = [(d, label) for label, most in ((1, 16), (0, 46)) for d in sorted(best[label], key=lambda d: (-best[label][d], d))[:most]]
+            added = {d for d, _ in want}
+            assert set(pool.gone[view].tolist()) == gone[view] | added
+            gone[view] |= added
+            labels_given = given.meta_labels if view == "text" else given.text_labels
+            assert sorted(labels_given) == sorted(float(v) for _, v in want)
+        assert len(given.texts) == len(given.text_labels) and len(given.meta) == len(given.meta_labels)
+    assert len(gone["text"]) > 220 or len(gone["meta"]) > 220
+
+
 def test_quality_scores_equal_a_plain_sum():
     text = "One two  two\nThree one"
     words = [int(h) for h in neardup.word_hashes(text.encode().lower())[0]]
