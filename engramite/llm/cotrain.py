@@ -23,7 +23,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import eq
+from itertools import groupby, islice
+from operator import eq, itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from engramite.llm.neardup import pieces_of, word_hashes
 SCHEMA = "doc_id bigint, held_out boolean, text_score double, meta_score double, score double, predicted int"
 FEATURES = "doc_id bigint, held_out boolean, digest bigint, s binary, m binary, k binary, c binary"
 SHAPES, META_FEATURES, HASHED, BUCKETS = 16, 40, 32, 1 << 15
-SLICES = 32  # of candidates, so that no task ranks those of all tasks
+SLICES = 16  # of candidates, so that no task ranks those of all tasks; what the slices leave, at most exchange rows of each view, class and slice, is ranked on the driver
 _Bag = tuple[np.ndarray, np.ndarray]
 _WORD = re.compile(r"[^\W\d_]+")
 _SYMBOL = re.compile(r"[#$%&*|~^<>{}\[\]\\=+_@]+")
@@ -424,12 +425,12 @@ class StoredPool:
     def give(self, text: TextModel, meta: Logistic, base: float) -> Given:
         """The surest of each view and class, in proportion to the classes; equally sure ones by their digests."""
         most = {1: int(self.exchange * base) + 1, 0: int(self.exchange * (1 - base)) + 1}
-        order = [F.col("odds").desc(), F.col("digest")]
         texts = self.candidates(text, meta, most).groupBy("view", "label", "digest").agg(F.max(F.struct("odds", -F.col("doc_id"))).alias("r"))
-        ranked = texts.select("view", "label", "digest", F.col("r.odds").alias("odds"), (-F.col("r.col2")).alias("doc_id"))
-        for group in (["view", "label", F.pmod("digest", F.lit(SLICES))], ["view", "label"]):
-            ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= max(most.values()))
-        chosen = [r for r in ranked.collect() if r["rank"] <= most[r["label"]]]
+        texts = texts.select("view", "label", "digest", F.col("r.odds").alias("odds"), (-F.col("r.col2")).alias("doc_id"))
+        by_slice = Window.partitionBy("view", "label", F.pmod("digest", F.lit(SLICES))).orderBy(F.col("odds").desc(), "digest")
+        left = texts.withColumn("rank", F.row_number().over(by_slice)).where(F.col("rank") <= max(most.values())).drop("rank").toArrow()
+        left = left.sort_by([("view", "ascending"), ("label", "ascending"), ("odds", "descending"), ("digest", "ascending")])
+        chosen = [r for (_, label), of in groupby(left.to_pylist(), itemgetter("view", "label")) for r in islice(of, most[label])]
         if not chosen:
             return Given(Texts(np.zeros((0, SHAPES)), []), np.zeros(0), np.zeros((0, META_FEATURES)), np.zeros(0))
         for view in ("text", "meta"):
