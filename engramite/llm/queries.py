@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramite.llm import cotrain, decontam, langid, matroska, neardup, packing, pii, runs, secrets, toxicity, urlgraph
+from engramite.llm import cotrain, decontam, divergence, langid, matroska, neardup, packing, pii, runs, secrets, toxicity, urlgraph
 from engramite.llm.common import read_table
 
 
@@ -48,11 +48,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(read_table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.audit_runs(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op3_url_filters, op4_packing, op5_secrets, op6_decontamination, op7_near_duplicates, op8_quality, op9_matroska, op10_toxicity, op12_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op3_url_filters, op4_packing, op5_secrets, op6_decontamination, op7_near_duplicates, op8_quality, op9_matroska, op10_toxicity, op11_divergence, op12_periodic_runs)}
 
 _LOWER = f"translate(text, '{urlgraph.UPPER}', '{urlgraph.LOWER}')"
 
@@ -88,4 +92,26 @@ least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0)::bigint AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(b, doc_id)) AS kept
 FROM doc LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON a = doc_id"""
 
-ORACLES = {"op3_url_filters": urlgraph.oracle_sql(), "op6_decontamination": OP6_SQL, "op7_near_duplicates": OP7_SQL}
+#: The full grid of groups and kept terms, and every pair of sources over all kept terms.
+OP11_SQL = rf"""
+WITH doc AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+word AS (SELECT r, lang, source, unnest(w) AS term FROM doc),
+counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM word GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS total FROM word GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(total)::hugeint AS size FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM doc),
+grid AS (SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sized AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS size FROM grid),
+share AS MATERIALIZED (
+  SELECT s.lang, s.source, s.term, s.n, (1 + 1000000000::hugeint * (s.n + 2) // (s.size + 2 * l.v))::bigint AS p, (1 + 1000000000::hugeint * (s.total + 2) // (l.size + 2 * l.v))::bigint AS q
+  FROM sized s JOIN langs l USING (lang)),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0)::bigint AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::bigint FROM share WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::int AS rank FROM every) WHERE part = 'pair' OR rank <= 10"""
+
+ORACLES = {"op11_divergence": OP11_SQL, "op3_url_filters": urlgraph.oracle_sql(), "op6_decontamination": OP6_SQL, "op7_near_duplicates": OP7_SQL}
