@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramite.llm import cotrain, decontam, divergence, langid, matroska, neardup, packing, pii, runs, secrets, toxicity, urlgraph
+from engramite.llm import cotrain, decontam, divergence, langid, matroska, neardup, packing, pii, runs, secrets, suffixtree, toxicity, urlgraph
 from engramite.llm.common import read_table
 
 
@@ -56,7 +56,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.audit_runs(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op3_url_filters, op4_packing, op5_secrets, op6_decontamination, op7_near_duplicates, op8_quality, op9_matroska, op10_toxicity, op11_divergence, op12_periodic_runs)}
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score_texts(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op3_url_filters, op4_packing, op5_secrets, op6_decontamination, op7_near_duplicates, op8_quality, op9_matroska, op10_toxicity, op11_divergence, op12_periodic_runs, op13_lm_scoring)}
 
 _LOWER = f"translate(text, '{urlgraph.UPPER}', '{urlgraph.LOWER}')"
 
