@@ -18,6 +18,7 @@ K1, B = 1.2, 0.75
 KEYWORD_BONUS, GATE, MMR_LAMBDA = 0.2, 0.30, 0.7
 #: Vectors of a block, the least of one, and of a tile of the product of two.
 BLOCK, LEAST_BLOCK, TILE = 16_384, 1024, 1024
+_ALL = 1 << 40
 
 
 def postings(texts: DataFrame) -> DataFrame:
@@ -70,6 +71,17 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, earlier: bool = False) -
     is k rows for each query and block. Null ids, null vectors and vectors with a null element meet nothing; vectors meet queries
     of their own length only; no queries or no vectors give no rows; rows that repeat are found as often as they occur, for a query that
     repeats its neighbours are ranked together."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return _met(vectors, queries, k, earlier).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def within(vectors: DataFrame, queries: DataFrame, reach: float) -> DataFrame:
+    """(query_id, id, distance) of all that are no further apart than reach; blocks and defined cases are those of knn."""
+    return _met(vectors, queries, _ALL, False, reach)
+
+
+def _met(vectors: DataFrame, queries: DataFrame, k: int, earlier: bool, reach: float = np.inf) -> DataFrame:
+    """Of each cell, the k nearest to each query within reach."""
     spark = vectors.sparkSession
     ship_package(spark)
     whole = "{0} is not null and embedding is not null and not exists(embedding, x -> x is null)"
@@ -96,21 +108,20 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, earlier: bool = False) -
                 if key != tuple(marks[a][:3]):
                     if cell is not None:
                         yield cell.best()
-                    key, cell = tuple(marks[a][:3]), _Cell(k, earlier)
+                    key, cell = tuple(marks[a][:3]), _Cell(k, earlier, reach)
                 part = batch.slice(a, b - a)
                 cell.add(bool(marks[a][3]), part.column("id").to_numpy(), part.column("embedding").flatten().to_numpy().reshape(b - a, int(marks[a][2])))
         if cell is not None:
             yield cell.best()
 
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return cells.mapInArrow(run, "query_id bigint, id bigint, distance double").withColumn("rank", rank).where(F.col("rank") <= k)
+    return cells.mapInArrow(run, "query_id bigint, id bigint, distance double")
 
 
 class _Cell:
     """Queries of one block, and the k nearest to each of the vectors that were added; equally near ones by id."""
 
-    def __init__(self, k: int, earlier: bool):
-        self.k, self.earlier = k, earlier
+    def __init__(self, k: int, earlier: bool, reach: float = np.inf):
+        self.k, self.earlier, self.reach = k, earlier, reach
         self.ids, self.rows = [], []
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
@@ -126,7 +137,7 @@ class _Cell:
             self.ids, self.rows = [np.concatenate(self.ids)], [np.concatenate(self.rows)]
         if not self.held:
             self.square = (self.rows[0] ** 2).sum(1)
-            self.limit = np.full(len(self.ids[0]), np.inf)
+            self.limit = np.full(len(self.ids[0]), self.reach)
         for at in range(0, len(ids), TILE):
             for first in range(0, len(self.ids[0]), TILE):
                 self._tile(slice(first, first + TILE), ids[at : at + TILE], x[at : at + TILE])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from engramite.plans.scratch import materialize, shared_dir
 from engramite.plans.ship import ship_package
 from engramite.sources import files, model
 from engramite.sources.model import NOW, read
-from engramite.streaming import tails
+from engramite.streaming import tail_source, tails
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -1073,12 +1074,42 @@ def audit_range(s, d):
 # --- streams
 
 
-@query("SELECT step_index, content FROM (SELECT turn::int AS step_index, trim(text) AS content FROM conversations WHERE role = 'user') WHERE length(content) >= 15")
+def _transcripts(s, d, folder: str, turns: int | None) -> None:
+    """A transcript for each conversation, as far as so many turns; written anew, it begins as before. Each message is wrapped behind a tag."""
+    kind = F.when(F.col("role") == "user", F.struct(F.lit("USER_EXPLICIT").alias("source"), F.lit("USER_INPUT").alias("type"))).when(F.col("role") == "assistant", F.struct(F.lit("MODEL").alias("source"), F.lit("RESPONSE").alias("type")))
+    record = F.to_json(F.struct(F.col("turn").alias("step_index"), "kind.*", F.concat(F.lit('<meta at="1"><b>'), "turn", F.lit("</b> "), F.col("text")).alias("content")))
+    rows = read(s, d, "conversations").withColumn("kind", F.coalesce(kind, F.struct(F.lit("SYSTEM").alias("source"), F.lit("NOTE").alias("type"))))
+    rows = rows.select("conv_id", "turn", record.alias("line")).where("turn < 2" if turns else "true")
+
+    def write(table: pa.Table) -> pa.Table:
+        system, top = tail_source.opened(folder)
+        path = f"{top}/{table.column('conv_id')[0].as_py()}"
+        system.create_dir(path)
+        lines = table.sort_by("turn").column("line").to_pylist()
+        with system.open_output_stream(f"{path}/transcript.jsonl") as out:
+            out.write("".join(f"{x}\n" for x in lines).encode() + (b'{"source": "MODEL", "content": "the beginning of a line' if turns else b""))
+        return pa.table({"n": pa.array([len(lines)], pa.int64())})
+
+    rows.groupBy("conv_id").applyInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+
+@query(
+    "SELECT turn::int AS step_index, source_id, trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS content, CASE WHEN turn < 2 THEN 0 ELSE 1 END AS scan FROM (SELECT *, CASE role WHEN 'user' THEN 'user-dialogue' ELSE 'antigravity-worker' END AS source_id FROM conversations WHERE role IN ('user', 'assistant')) WHERE length(trim(text)) >= 15"
+)
 def stream_tail(s, d):
+    """Transcripts that grow between two scans, the first of which ends in half a line."""
+    ship_package(s)
     folder = f"{shared_dir(s)}/tail-{uuid.uuid4().hex}"
-    rows = read(s, d, "conversations").select(F.col("turn").alias("step_index"), F.col("role").alias("source"), F.lit("message").alias("type"), F.col("text").alias("content"))
-    rows.write.json(folder)
-    return tails.drained(tails.transcript_tail(s, folder, "*.json"), "append")
+    for k, turns in enumerate((2, None)):
+        _transcripts(s, d, f"{folder}/in", turns)
+
+        def keep(df: DataFrame, number: int, k=k) -> None:
+            df.withColumn("scan", F.lit(k)).write.mode("overwrite").parquet(f"{folder}/rows/scan={k}-{number}")
+
+        stream = tails.transcript_tail(s, f"{folder}/in").select("step_index", "source_id", "content")
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
+    schema = "step_index int, source_id string, content string, scan int"
+    return tails.table_or_none(s, f"{folder}/rows", schema)
 
 
 @query("SELECT lower('Agent-' || user_id) AS agent_id, count(*) FILTER (event_type = 'signup') AS created, count(*) FILTER (event_type = 'purchase') AS confirmed, count(*) FILTER (event_type = 'error') AS contradicted FROM events GROUP BY 1")

@@ -10,18 +10,116 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from engramite.plans.scratch import shared_dir
+from engramite.functions.embed import embedding
+from engramite.operators.extraction import extract_facts
+from engramite.operators.retrieval import knn, similarity, within
+from engramite.operators.store import active
+from engramite.plans.scratch import discard, materialize, shared_dir
+from engramite.streaming import tail_source
 
 TRANSCRIPT = "step_index int, source string, type string, content string"
-LEAST_CHARS = 15
-
-
-def transcript_tail(spark: SparkSession, folder: str, pattern: str = "*.jsonl", files_per_trigger: int = 50) -> DataFrame:
-    """Messages of people from JSONL transcripts; complete lines only, tags taken out, short ones dropped."""
-    lines = spark.readStream.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).text(folder)
-    rows = lines.select(F.from_json("value", TRANSCRIPT).alias("r")).select("r.*").where("content is not null")
-    text = F.trim(F.regexp_replace("content", r"(?s)<([a-zA-Z_-]+)>.*?</\1>", ""))
-    return rows.where("source = 'USER' or type = 'user' or source = 'user'").select("step_index", text.alias("content")).where(F.length("content") >= LEAST_CHARS)
+LEAST_CHARS, DEDUP = 15, 0.80
+# The identities under which facts of transcripts are stored.
+MODEL_SOURCE, USER_SOURCE = "antigravity-worker", "user-dialogue"
+MEMORIES = "id bigint, content string, importance_score double, created_at bigint, last_accessed bigint, access_count bigint, valid_from bigint, valid_until bigint, assertion_time bigint, namespace string, parent_id bigint"
+VECTORS = "id bigint, embedding array<float>"
+
+
+def transcript_rows(lines: DataFrame) -> DataFrame:
+    """lines(file, position, line) of JSONL transcripts, batch or stream: (file, position, step_index, source_id, content) of what people and models said. Wrappers
+    in tags are taken out, from an opening tag to the next closing one. Lines that do not parse, other records, records without content and short ones are left out."""
+    rows = lines.select("file", "position", F.from_json("line", TRANSCRIPT).alias("r")).select("file", "position", "r.*")
+    model = F.coalesce(F.col("source") == "MODEL", F.lit(False))
+    said = model | F.coalesce(F.col("type").isin("USER_INPUT", "PLANNER_RESPONSE"), F.lit(False))
+    text = F.regexp_replace(F.regexp_replace("content", r"<[^>]+>[\s\S]*?</[^>]+>", ""), r"^\s+|\s+$", "")
+    rows = rows.where(said & (F.col("content") != ""))
+    rows = rows.select("file", "position", "step_index", F.when(model, MODEL_SOURCE).otherwise(USER_SOURCE).alias("source_id"), text.alias("content"))
+    return rows.where(F.length("content") >= LEAST_CHARS)
+
+
+def transcript_tail(spark: SparkSession, folder: str, suffix: str = "transcript.jsonl", depth: int = 3) -> DataFrame:
+    """A stream of transcript_rows over transcripts that grow."""
+    return transcript_rows(tail_source.lines(spark, folder, suffix, depth))
+
+
+def new_facts(rows: DataFrame, memories: DataFrame, vectors: DataFrame, threshold: float = DEDUP, embed: Callable[[Column], Column] = embedding) -> DataFrame:
+    """rows of transcript_rows: (file, position, source_id, content, confidence, embedding) of the facts that they tell and the store does not hold. A text that
+    is an active shared memory is known, and so is one as similar as ``threshold`` to the nearest of them. Facts of the batch meet each other too, in the order of files, lines
+    and facts: one that equals or is as similar to an earlier new one is left out. No rows give none; what a row tells twice is told once."""
+    shared = active(memories).where("namespace = 'shared'")
+    keyed = rows.withColumn("id", F.xxhash64("file", "position"))
+    facts = extract_facts(keyed.select("id", "content"), "content").select("id", F.col("position").alias("part"), F.col("content").alias("fact"), "confidence")
+    facts = keyed.select("id", "file", "position", "source_id").join(facts, "id").drop("id")
+    facts = facts.join(shared.select(F.col("content").alias("fact")), "fact", "left_anti")
+    place = F.struct("file", "position", "part")
+    facts = facts.groupBy("fact").agg(F.min_by(F.struct("file", "position", "part", "source_id", "confidence"), place).alias("f")).select("fact", "f.*")
+    facts = materialize(facts.withColumn("id", F.xxhash64("fact")).withColumn("embedding", embed(F.col("fact"))), "facts")
+    own = vectors.join(shared.select("id"), "id", "left_semi")
+    asked = facts.select(F.col("id").alias("query_id"), "embedding")
+    held = knn(own, asked, 1).where(F.round(similarity(F.col("distance")), 4) >= threshold).select(F.col("query_id").alias("id"))
+    open_ = materialize(facts.join(held, "id", "left_anti"), "open")
+    near = similar_pairs(open_.select("id", "file", "position", "part", "embedding"), threshold)
+    kept = materialize(open_.join(later_ones(open_.select("id"), near), "id", "left_anti").select("file", "position", "part", "source_id", F.col("fact").alias("content"), "confidence", "embedding"), "new")
+    discard(facts)
+    discard(open_)
+    return kept
+
+
+def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """(earlier, later) ids of rows(id, file, position, part, embedding) that are as similar as threshold, by file, position and part."""
+    place = rows.select("id", F.struct("file", "position", "part").alias("place"))
+    reach = float((2 * (1 - threshold + 1e-4)) ** 0.5)  # similarities are rounded to four places
+    met = within(rows, rows.select(F.col("id").alias("query_id"), "embedding"), reach).where("id <> query_id").where(F.round(similarity(F.col("distance")), 4) >= threshold)
+    a, b = place.select(F.col("id").alias("query_id"), F.col("place").alias("own")), place.select("id", F.col("place").alias("other"))
+    return met.join(a, "query_id").join(b, "id").where("other < own").select(F.col("id").alias("earlier"), F.col("query_id").alias("later"))
+
+
+def later_ones(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Ids that an earlier kept row displaces, as if the rows came one by one: a row goes if an earlier similar one stays. Rounds: what has no earlier open
+    neighbour stays, and its later neighbours go."""
+    pairs, gone = materialize(pairs, "pairs"), rows.where("false")
+    while not pairs.isEmpty():
+        stays = pairs.select(F.col("earlier").alias("id")).distinct().join(pairs.select(F.col("later").alias("id")), "id", "left_anti")
+        out = materialize(pairs.join(stays.withColumnRenamed("id", "earlier"), "earlier", "left_semi").select(F.col("later").alias("id")).distinct(), "displaced")
+        gone = gone.unionByName(out)
+        left = pairs.join(stays.withColumnRenamed("id", "earlier"), "earlier", "left_anti")
+        for side in ("earlier", "later"):
+            left = left.join(out.withColumnRenamed("id", side), side, "left_anti")
+        before, pairs = pairs, materialize(left.select("earlier", "later"), "pairs")
+        discard(before)
+    return gone
+
+
+def follow_transcripts(spark: SparkSession, folder: str, store: str, checkpoint: str, now: Callable[[], int], load: Callable[[], tuple[DataFrame, DataFrame]] | None = None, suffix: str = "transcript.jsonl", depth: int = 3, **trigger) -> StreamingQuery:
+    """Watches a folder of transcripts and keeps what they tell in ``store``: folders memories, vectors and provenance, one part for each batch, which a batch that
+    comes again writes anew. load(): (memories, vectors) that the store has besides. Without a trigger it reads what is there now and ends."""
+
+    def held(name: str, schema: str, number: int) -> DataFrame:
+        path = f"{store}/{name}"
+        if not _exists(spark, path):
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(f"{schema}, batch bigint").parquet(path).where(F.col("batch") != number).drop("batch")
+
+    def batch(rows: DataFrame, number: int) -> None:
+        memories, vectors = held("memories", MEMORIES, number), held("vectors", VECTORS, number)
+        if load is not None:
+            more = load()
+            memories = memories.unionByName(more[0].select(*memories.columns))
+            vectors = vectors.unionByName(more[1].select(*vectors.columns))
+        t, none = F.lit(now()).cast("bigint"), F.lit(None).cast("bigint")
+        # ids that stay the same when a batch comes again
+        new = new_facts(rows, memories, vectors).withColumn("id", F.abs(F.xxhash64("file", "position", "part")))
+        tables = {
+            "memories": new.select("id", "content", F.col("confidence").alias("importance_score"), t.alias("created_at"), t.alias("last_accessed"), F.lit(0).cast("bigint").alias("access_count"), t.alias("valid_from"), none.alias("valid_until"), t.alias("assertion_time"), F.lit("shared").alias("namespace"), none.alias("parent_id")),
+            "vectors": new.select("id", "embedding"),
+            "provenance": new.select(F.col("id").alias("memory_id"), F.lit("agent").alias("source_type"), "source_id", t.alias("created_at"), "confidence"),
+        }
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{store}/{name}/batch={number}")
+        discard(new)
+
+    sink = transcript_tail(spark, folder, suffix, depth).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return sink.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def agent_counters(events: DataFrame) -> DataFrame:
@@ -54,6 +152,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def table_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What batches wrote below a folder, or no rows if none did."""
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+
+
 HISTORY = "history array<struct<role: string, content: string>>"
 
 
@@ -61,7 +164,7 @@ def new_messages(spark: SparkSession, folder: str, positions: DataFrame | None =
     """Task histories, each a whole JSON file that is written anew: (file, position, role, content) of the messages beyond each file's saved
     position, and the positions (file, last_position) to save. positions: those saved before. Files that do not parse yet, and those whose path lacks
     ``within``, are left for another time; so are other roles than user and assistant and messages without text."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(folder)
+    files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(folder, wholetext=True)
     files = files.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", HISTORY)["history"].alias("history")).where(F.col("history").isNotNull() & F.col("file").contains(within))
     saved = positions if positions is not None else spark.createDataFrame([], "file string, last_position bigint")
     files = files.join(saved, "file", "left").select("file", "history", F.coalesce("last_position", F.lit(0)).alias("last_position"))
@@ -78,7 +181,7 @@ MAX_JOBS, MAX_JOB_AGE, TRIES = 50, 7 * 86400, 3
 def read_queue(spark: SparkSession, folder: str, now: int, most: int = MAX_JOBS) -> DataFrame:
     """The files of a queue of jobs: (file, name, state, and the fields of a job), state pending, waiting, corrupt or expired. Names begin with the
     time of queueing, so the first ``most`` that parse and are no week old are pending; hidden files are none of the queue."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+    rows = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
     rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"), F.unix_timestamp(F.col("_metadata.file_modification_time").cast("timestamp")).alias("changed"), F.from_json("value", JOB).alias("job"))
     state = F.when(F.lit(now) - F.col("changed") > MAX_JOB_AGE, "expired").when(F.col("job.text").isNull(), "corrupt").otherwise("pending")
     rows = rows.where(~F.col("name").startswith(".")).select("file", "name", state.alias("state"), "job.*")

@@ -350,9 +350,7 @@ def test_streams(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
     for k in range(2):
-        (src / f"{k}.jsonl").write_text(json.dumps({"step_index": k, "source": "USER", "type": "user", "content": "<x>hidden</x> a message that is long enough"}) + "\nbroken\n")
-    got = tails.drained(tails.transcript_tail(spark, str(src)), "append").collect()
-    assert [r.content for r in got] == ["a message that is long enough"] * 2
+        (src / f"{k}.jsonl").write_text(json.dumps({"step_index": k}) + "\nbroken\n")
     seen = []
     jobs = spark.readStream.schema("step_index int").json(str(src))
 
