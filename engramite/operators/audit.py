@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from engramite.plans.numbers import numbered
 from engramite.plans.ship import ship_package
 
 
@@ -161,7 +162,7 @@ def export_report(records: DataFrame, stats: DataFrame, start: str | None, end:
     line = F.concat(F.lit("Total audit records: **"), F.col("total_attestations").cast("string"), F.lit("**, status: **"), state, F.lit("**"))
     summary = count.select(F.lit("summary").alias("section"), F.lit(0).cast("bigint").alias("position"), F.to_json(head).alias("json"), line.alias("line"))
     cells = F.concat_ws(" | ", F.concat(F.lit("| `"), "agent_id", F.lit("`")), "memories_created", "memories_confirmed", "memories_contradicted", F.concat(F.lit("**"), F.format_number("reputation_score", 2), F.lit("** |")))
-    ledger = stats.select(F.lit("agents").alias("section"), F.row_number().over(Window.orderBy(F.desc("reputation_score"), "agent_id")).cast("bigint").alias("position"), F.to_json(F.struct(*stats.columns)).alias("json"), cells.alias("line"))
+    ledger = numbered(stats, [F.desc("reputation_score"), F.asc("agent_id")], "position", 1).select(F.lit("agents").alias("section"), "position", F.to_json(F.struct(*stats.columns)).alias("json"), cells.alias("line"))
     items = F.concat_ws("; ", F.transform("memories_retrieved", lambda m: F.concat(F.lit("ID: `"), m["id"].cast("string"), F.lit("`, Hash: `"), m["content_hash"], F.lit("`, Score: `"), m["score"].cast("string"), F.lit("`"))))
     told = F.concat_ws(" — ", F.concat(F.lit("### Attestation `"), "attestation_id", F.lit("`")), "timestamp", F.coalesce("agent_id", F.lit("shared")), "query", F.coalesce("previous_hash", F.lit("GENESIS")), "hash", F.when(items != "", items).otherwise("None"))
     trail = shown.select(F.lit("attestations").alias("section"), F.col("id").alias("position"), F.to_json(F.struct(*shown.columns), {"ignoreNullFields": "false"}).alias("json"), told.alias("line"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramite.operators.curation import version_diffs
-from engramite.operators.graph import history_components
+from engramite.operators.graph import history_components, implied_edges
 from engramite.operators.retrieval import bm25
 from engramite.operators.store import latest_provenance
 from engramite.plans.scratch import materialize
@@ -26,9 +26,9 @@ def history_hits(memories: DataFrame, queries: DataFrame, most: int = FOUND) ->
     texts = memories.select("id", "content")
     by_words = materialize(bm25(texts, rest, most).select("query_id", "id", F.lit("words").alias("how")), "words")
     plain = rest.join(by_words.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lower("query").alias("low"))
-    # what is left are few and short; they go to the texts
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("id"))
-    by_part = texts.join(plain, F.lower("content").contains(F.col("low"))).withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "id", F.lit("part").alias("how"))
+    held = implied_edges(texts, plain.select(F.col("query_id").alias("id"), F.col("low").alias("name"))).select(F.col("entity_id").alias("query_id"), F.col("memory_id").alias("id"))
+    by_part = held.withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "id", F.lit("part").alias("how"))
     return by_id.unionByName(by_words).unionByName(by_part)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engramite.plans.numbers import numbered
 from engramite.sources.model import DAY, NOW
 
 # Identities of background writers, which earn no reputation and whose memories the first agent takes over.
@@ -150,19 +151,23 @@ def namespace_for(shared: Column, agent: Column, project: Column) -> Column:
 
 
 # Prefixes that already categorise a text.
-CATEGORIES = "Note|Reminder|Rule|Decision|Preference|Stack|Naming|Architecture|Config|Important"
+CATEGORIES = "Note|Reminder|Rule|Decision|Preference|Stack|Architecture|Config|Warning|FYI"
 
 
 def remembered(content: Column) -> Column:
-    return F.when(content.rlike(f"(?i)^(?:{CATEGORIES}):"), content).otherwise(F.concat(F.lit("Note: "), content))
+    """A text without space around it, as a note if it is of no category."""
+    text = F.regexp_replace(content, r"^\s+|\s+$", "")
+    return F.when(text.rlike(f"(?i)^(?:{CATEGORIES}):"), text).otherwise(F.concat(F.lit("Note: "), text))
 
 
 def new_versions(memories: DataFrame, updates: DataFrame, now: int = NOW) -> tuple[DataFrame, DataFrame]:
-    """updates(old_id, new_id, content). Returns all memories, the old ones archived, the new with their importance and namespace, and the ledger."""
-    old = active(memories).join(updates.withColumnRenamed("content", "new_content"), F.col("id") == F.col("old_id"))
+    """updates(old_id, new_id, content). Returns all memories, the old ones archived, the new with their importance and namespace, and the ledger. Of several
+    updates of one memory the one of the greatest new id counts; null ids, and ids that are no active memory, change nothing; a null content stays null."""
+    last = updates.where("new_id is not null").groupBy("old_id").agg(F.max_by(F.struct("new_id", F.col("content").alias("new_content")), F.struct("new_id", "content")).alias("u")).select("old_id", "u.*")
+    old = active(memories).join(last, F.col("id") == F.col("old_id"))
     t = F.lit(now)
     new = old.select(F.col("new_id").alias("id"), F.col("new_content").alias("content"), "importance_score", t.alias("created_at"), t.alias("last_accessed"), F.lit(0).cast("bigint").alias("access_count"), t.alias("valid_from"), F.lit(None).cast("bigint").alias("valid_until"), t.alias("assertion_time"), "namespace", F.col("old_id").alias("parent_id"))
-    archived = memories.join(old.select(F.col("old_id").alias("__old")), F.col("id") == F.col("__old"), "left").withColumn("valid_until", F.when(F.col("__old").isNotNull(), t).otherwise(F.col("valid_until"))).drop("__old")
+    archived = memories.join(old.select(F.col("old_id").alias("__old")).distinct(), F.col("id") == F.col("__old"), "left").withColumn("valid_until", F.when(F.col("__old").isNotNull() & F.col("valid_until").isNull(), t).otherwise(F.col("valid_until"))).drop("__old")
     ledger = old.select(F.col("old_id").alias("old_memory_id"), F.col("new_id").alias("new_memory_id"), t.alias("resolved_at"), F.lit("update_memory").alias("resolution_reason"))
     return archived.unionByName(new), ledger
 
@@ -196,10 +201,10 @@ def entity_memories(entities: DataFrame, edges: DataFrame, memories: DataFrame)
 
 
 def race_guard(facts: DataFrame, memories: DataFrame, now: int, newest: int = 20, seconds: int = 60) -> DataFrame:
-    """facts(fact_id, fact): drops those of which over half of the words are in one of the newest memories of the last minute."""
+    """facts(fact_id, fact): drops those of which over half of the words are in one of the newest shared memories, if it is of the last minute."""
     from engramite.functions.text import words
 
-    fresh = active(memories).orderBy(F.desc("created_at"), F.desc("id")).limit(newest).where(now - F.col("created_at") <= seconds).select("content")
+    fresh = active(memories).where("namespace = 'shared'").orderBy(F.desc("created_at"), F.desc("id")).limit(newest).where(now - F.col("created_at") <= seconds).select("content")
     near = facts.join(F.broadcast(fresh), F.size(F.array_intersect(words(F.col("fact")), words(F.col("content")))) > 0.5 * F.size(words(F.col("fact"))), "left_semi")
     return facts.join(near.select("fact_id"), "fact_id", "left_anti")
 
@@ -224,8 +229,13 @@ def read_and_boost(memories: DataFrame, provenance: DataFrame, wanted: DataFrame
 def latencies(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Of the values of each key, null ones left out: how many, the one in the middle and the one nine tenths up, both of the sorted list and not
     between two of it."""
-    x = F.array_sort(F.collect_list(value))
-    return rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), x.alias("x")).select(key, "n", F.expr("x[int(n / 2)]").alias("median"), F.expr("x[least(int(n * 0.9D), int(n) - 1)]").alias("p90"))
+    own = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v")).withColumn("row", F.monotonically_increasing_id())
+    placed = numbered(own, ["k", "v", "row"], "place")
+    sizes = placed.groupBy("k").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    wanted = sizes.select("k", "n", (F.col("first") + F.expr("n div 2")).alias("middle"), (F.col("first") + F.least(F.floor(F.col("n") * 0.9), F.col("n") - 1)).alias("up"))
+    found = placed.join(wanted.withColumnRenamed("k", "__k"), F.col("k").eqNullSafe(F.col("__k"))).where(F.col("place").isin(F.col("middle"), F.col("up")))
+    value_at = lambda c: F.max(F.when(F.col("place") == F.col(c), F.col("v")))
+    return found.groupBy(F.col("k").alias(key), "n").agg(value_at("middle").alias("median"), value_at("up").alias("p90"))
 
 
 def compression(raw: Column, packed: Column) -> Column:

@@ -12,6 +12,7 @@ from engramite.functions import embed as emb
 from engramite.functions import text as tx
 from engramite.functions.redact import redact_secrets
 from engramite.operators import audit, context, curation, extraction, graph, history, retrieval, store, write
+from engramite.plans.numbers import numbered
 from engramite.plans.scratch import materialize, shared_dir
 from engramite.plans.ship import ship_package
 from engramite.sources import files, model
@@ -226,9 +227,10 @@ def namespace_choice(s, d):
     return read(s, d, "events").select("event_id", store.namespace_for(F.col("event_type") == "view", agent, project).alias("namespace"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)^(?:Note|Reminder|Rule|Decision|Preference|Stack|Naming|Architecture|Config|Important):') THEN text ELSE 'Note: ' || text END AS content FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)^(?:Note|Reminder|Rule|Decision|Preference|Stack|Architecture|Config|Warning|FYI):') THEN text ELSE 'Note: ' || text END AS content FROM (SELECT conv_id, turn, trim(CASE turn % 4 WHEN 0 THEN ' warning: ' WHEN 1 THEN 'FYI:' WHEN 2 THEN 'Naming: ' ELSE '' END || text || chr(10), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS text FROM conversations)")
 def remember_prefix(s, d):
-    return read(s, d, "conversations").select("conv_id", "turn", store.remembered(F.col("text")).alias("content"))
+    text = F.concat(F.expr("CASE turn % 4 WHEN 0 THEN ' warning: ' WHEN 1 THEN 'FYI:' WHEN 2 THEN 'Naming: ' ELSE '' END"), F.col("text"), F.lit("\n"))
+    return read(s, d, "conversations").select("conv_id", "turn", store.remembered(text).alias("content"))
 
 
 @query("SELECT 'memories' AS name, count(*) AS n FROM act UNION ALL SELECT 'provenance', count(*) FROM prov WHERE memory_id NOT IN (SELECT id FROM mem WHERE valid_until IS NOT NULL) UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) WHERE l_orderkey NOT IN (SELECT id FROM mem WHERE valid_until IS NOT NULL)", "act prov")
@@ -412,7 +414,7 @@ def semantic_dedup_gate(s, d):
 
 
 @query(
-    ", newest AS (SELECT content FROM (SELECT * FROM act ORDER BY created_at DESC, id DESC LIMIT 20) WHERE (SELECT max(created_at) FROM act) + 60 - created_at <= 36000)"
+    ", newest AS (SELECT content FROM (SELECT * FROM act WHERE namespace = 'shared' ORDER BY created_at DESC, id DESC LIMIT 20) WHERE (SELECT max(created_at) FROM act) + 60 - created_at <= 36000)"
     f" SELECT item_id AS fact_id FROM benchmark WHERE NOT EXISTS (SELECT 1 FROM newest WHERE len(list_intersect({_W.format('text')}, {_W.format('content')})) > 0.5 * len({_W.format('text')}))",
     "act",
 )
@@ -695,8 +697,8 @@ _ENTITIES = """named AS MATERIALIZED (SELECT 1000000 + row_number() OVER (ORDER
 
 def _entities(s, d) -> DataFrame:
     rare = retrieval.document_frequency(model.memories(s, d)).where("length(token) >= 9 and df between 2 and 5")
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("token"))  # names only, for ids that SQL gives too
-    return rare.select((rank + 1000000).cast("bigint").alias("id"), F.col("token").alias("name")).unionByName(model.entities(s, d).select("id", "name"))
+    ranked = numbered(rare.select("token"), ["token"], "id", 1000001)  # ids that SQL gives too
+    return ranked.select("id", F.col("token").alias("name")).unionByName(model.entities(s, d).select("id", "name"))
 
 
 def _questions(s, d) -> DataFrame:

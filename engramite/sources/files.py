@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import subprocess
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramite.functions.text import commit_importance
 from engramite.operators.store import active, visible
+from engramite.plans.numbers import numbered
 from engramite.plans.scratch import materialize
 
 
@@ -67,10 +68,10 @@ def commit_memories(commits: DataFrame, memories: DataFrame | None = None) -> Da
 def ingest_commits(commits: DataFrame, memories: DataFrame, entities: DataFrame, now: int, namespace: str = "shared") -> dict[str, DataFrame]:
     """commits(hash, author, subject, body, notes, date, files): the new rows of memories, provenance, entities and edges. Commits that are known, and
     repeated rows of one, are left out; authors and files become entities where no entity has their name, linked by authored and
-    touches. Ids follow the largest ones there are; commits are few, so one task numbers them."""
+    touches. Ids follow the largest ones there are."""
     base_m, base_e = ((t.agg(F.max("id")).first()[0] or 0) for t in (memories, entities))
     rows = commit_memories(commits.dropDuplicates(["hash"]), memories)
-    rows = materialize(rows.withColumn("id", F.row_number().over(Window.orderBy("hash")) + F.lit(base_m)).withColumn("id", F.col("id").cast("bigint")), "commits")
+    rows = materialize(numbered(rows.drop("id"), ["hash"], "id", base_m + 1), "commits")
     t, none = F.lit(now).cast("bigint"), F.lit(None).cast("bigint")
     fresh = rows.select("id", "content", "importance_score", t.alias("created_at"), t.alias("last_accessed"), F.lit(0).cast("bigint").alias("access_count"), t.alias("valid_from"), none.alias("valid_until"), t.alias("assertion_time"), F.lit(namespace).alias("namespace"), none.alias("parent_id"))
     authors = rows.select(F.col("id").alias("memory"), F.col("author").alias("name"), F.lit("person").alias("type"), F.lit("authored").alias("relation"))
@@ -78,7 +79,7 @@ def ingest_commits(commits: DataFrame, memories: DataFrame, entities: DataFrame,
     told = authors.unionByName(touched).where("name <> ''")
     known = entities.groupBy("name").agg(F.min("id").alias("known"))
     added = told.groupBy("name").agg(F.max("type").alias("type")).join(known, "name", "left_anti")  # an author who is a file's name too is a person
-    added = materialize(added.select((F.row_number().over(Window.orderBy("name")) + F.lit(base_e)).cast("bigint").alias("id"), "name", "type", t.alias("created_at")), "entities")
+    added = materialize(numbered(added, ["name"], "id", base_e + 1).select("id", "name", "type", t.alias("created_at")), "entities")
     ids = known.withColumnRenamed("known", "source_id").unionByName(added.select("name", F.col("id").alias("source_id")))
     edges = told.join(ids, "name").select("source_id", F.col("memory").alias("target_id"), "relation", F.lit("entity").alias("source_type"), F.lit("memory").alias("target_type"), t.alias("created_at"))
     return {"memories": fresh, "provenance": rows.select(F.col("id").alias("memory_id"), "source_type", "source_id", "confidence"), "entities": added, "edges": edges}
