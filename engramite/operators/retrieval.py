@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramite.functions.text import tokens
+from engramite.operators import querylang
 from engramite.operators.store import agent_stats, latest_provenance, reputation_of
 from engramite.plans.ship import ship_package
 
@@ -21,43 +22,41 @@ BLOCK, LEAST_BLOCK, TILE = 16_384, 1024, 1024
 _ALL = 1 << 40
 
 
-def postings(texts: DataFrame) -> DataFrame:
-    """(token, id, tf, doc_len) of texts(id, content)."""
-    t = F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda x: x != "")
-    rows = texts.select("id", t.alias("t")).select("id", F.size("t").alias("doc_len"), F.explode("t").alias("token"))
-    return rows.groupBy("token", "id", "doc_len").agg(F.count("*").alias("tf")).select("token", "id", "tf", "doc_len")
+def document_frequency(texts: DataFrame) -> DataFrame:
+    return spread(texts.select("content")).select(F.explode(tokens(F.col("content"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
-def document_frequency(texts: DataFrame) -> DataFrame:
-    return texts.select(F.explode(tokens(F.col("content"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the files hold fewer pieces than there are cores; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 2 * rows.rdd.getNumPartitions() <= cores else rows
 
 
-def keyword_and_match(texts: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id): texts that hold every token of queries(query_id, query). The tokens of the queries cut the exploded texts
-    before anything is counted. Null and empty texts, and queries without tokens, match nothing."""
-    q = query_tokens(queries)
-    t = texts.select("id", F.explode(tokens(F.col("content"))).alias("token")).join(q.select("token").distinct(), "token", "left_semi")
-    return t.join(q, "token").groupBy("query_id", "id", "need").agg(F.count("*").alias("n")).where("n = need").select("query_id", "id")
+def _worded(texts: DataFrame) -> DataFrame:
+    return spread(texts.select("id", "content")).select("id", F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda x: x != "").alias("t"))
 
 
-def query_tokens(queries: DataFrame) -> DataFrame:
-    """queries(query_id, query): (query_id, need, token), a row for each distinct token."""
-    q = queries.select("query_id", tokens(F.col("query")).alias("t")).where(F.size("t") > 0)
-    return q.select("query_id", F.size("t").alias("need"), F.explode("t").alias("token"))
+def keyword_and_match(texts: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id): texts that queries(query_id, query) match, in the language of querylang. The words of the queries cut the exploded texts
+    before anything is counted. Null and empty texts, and null, blank and malformed queries, match nothing."""
+    asked = querylang.parsed(queries)
+    met = querylang.leaf_hits(_worded(texts), asked).groupBy("query_id", "id").agg(F.collect_set("leaf").alias("met"))  # the leaves of a query
+    return met.join(asked.select("query_id", "program"), "query_id").where(querylang.holds(F.col("program"), F.col("met"))).select("query_id", "id")
 
 
 def bm25(texts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best texts of each query that hold all its tokens: (query_id, id, score, rank). Archived texts count as any other. Null and empty texts
-    match nothing but count; queries without tokens find nothing. The tokens of the queries cut the exploded texts before anything is counted."""
-    all_tokens = F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda x: x != "")
-    n = texts.agg(F.count("*").alias("n"), F.avg(F.size(all_tokens)).alias("avg_len")).first()
-    q = query_tokens(queries)
-    rows = texts.select("id", all_tokens.alias("t")).select("id", F.size("t").alias("doc_len"), F.explode("t").alias("token"))
-    p = rows.join(q.select("token").distinct(), "token", "left_semi").groupBy("token", "id", "doc_len").agg(F.count("*").alias("tf"))
-    df = p.groupBy("token").agg(F.count("*").alias("df"))
+    """The k best texts that each query matches, in the language of querylang: (query_id, id, score, rank). The score sums over the query's words and phrases that a text
+    holds. Archived texts count as any other. Null and empty texts match nothing but count; null, blank and malformed queries find nothing. The words
+    of the queries cut the exploded texts before anything is counted; how many texts there are, and how long they are, comes from one more look at them."""
+    worded = _worded(texts)
+    n = worded.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len")).first()
+    asked = querylang.parsed(queries)
+    hits = querylang.leaf_hits(worded, asked)
+    df = hits.groupBy("query_id", "leaf").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(n.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(float(n.avg_len or 1.0))))
-    scored = p.join(df, "token").join(q, "token").groupBy("query_id", "id", "need").agg(F.count("*").alias("n"), F.round(F.sum(part), 6).alias("score")).where("n = need")
+    scored = hits.join(df, ["query_id", "leaf"]).groupBy("query_id", "id").agg(F.collect_set("leaf").alias("met"), F.round(F.sum(part), 6).alias("score"))
+    scored = scored.join(asked.select("query_id", "program"), "query_id").where(querylang.holds(F.col("program"), F.col("met")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 

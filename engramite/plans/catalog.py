@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import pyarrow as pa
@@ -265,6 +266,33 @@ def keyword_and_match(s, d):
     return retrieval.keyword_and_match(m, _keyword_queries(m))
 
 
+#: The forms of a query by the place of its memory, of the memory's two longest words (t1, t2) and its first two (w0, w1).
+_FORMS = ("%(t1)s %(t2)s", '"%(w0)s %(w1)s"', "%(t1)s OR %(w0)s", "%(w0)s NOT %(t1)s", "%(p)s*", "(%(t1)s OR %(w0)s) AND %(w1)s", "%(t1)s AND", "^%(w0)s + %(w1)s", "%(w0)s-%(t1)s", "%(w0)s %(w1)s NOT %(t1)s OR %(t2)s")
+
+
+@query(
+    """, texts AS MATERIALIZED (SELECT id, list_filter(string_split_regex(lower(content), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM mem),
+    told AS (SELECT id AS query_id, (id // 20) % 10 AS form, w[1] AS t1, w[2] AS t2, t[1] AS w0, t[2] AS w1, substr(w[1], 1, 3) AS p FROM (
+      SELECT id, t, list_transform(list_sort(list_transform(list_distinct(t), lambda x: {'n': -length(x), 'x': x})), lambda s: s.x) AS w FROM texts WHERE id % 20 = 0) WHERE len(w) > 1)
+    SELECT query_id, form, id FROM told, texts WHERE CASE form WHEN 0 THEN list_contains(t, t1) AND list_contains(t, t2) WHEN 1 THEN contains(' ' || array_to_string(t, ' ') || ' ', ' ' || w0 || ' ' || w1 || ' ')
+      WHEN 2 THEN list_contains(t, t1) OR list_contains(t, w0) WHEN 3 THEN list_contains(t, w0) AND NOT list_contains(t, t1) WHEN 4 THEN len(list_filter(t, lambda x: starts_with(x, p))) > 0
+      WHEN 5 THEN (list_contains(t, t1) OR list_contains(t, w0)) AND list_contains(t, w1) WHEN 7 THEN starts_with(array_to_string(t, ' ') || ' ', w0 || ' ' || w1 || ' ')
+      WHEN 9 THEN list_contains(t, w0) AND list_contains(t, w1) AND NOT list_contains(t, t1) OR list_contains(t, t2) ELSE false END""",
+    "mem",
+)
+def keyword_language(s, d):
+    """Each form of the query language; two of them are malformed and find nothing."""
+    m = model.memories(s, d).where("id % 20 = 0").select("id", F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda x: x != "").alias("t"))
+    best = F.array_sort(F.transform(F.array_distinct("t"), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
+    m = m.withColumn("w", F.transform(best, lambda x: x["x"])).where("size(w) > 1").select("id", F.expr("(id div 20) % 10").alias("form"), F.expr("w[0]").alias("t1"), F.expr("w[1]").alias("t2"), F.expr("t[0]").alias("w0"), F.expr("t[1]").alias("w1"), F.expr("left(w[0], 3)").alias("p"))
+    text = F.lit(None).cast("string")
+    for k, form in enumerate(_FORMS):
+        parts = [F.col(x[2:-2]) if x.startswith("%(") else F.lit(x) for x in re.split(r"(%\(\w+\)s)", form) if x]
+        text = F.when(F.col("form") == k, F.concat(*parts)).otherwise(text)
+    queries = m.select(F.col("id").alias("query_id"), "form", text.alias("query"))
+    return retrieval.keyword_and_match(model.memories(s, d).select("id", "content"), queries).join(queries, "query_id").select("query_id", "form", "id")
+
+
 @query("SELECT query_id, id, score, rank FROM bm", "bm")
 def bm25_topk(s, d):
     m = model.memories(s, d)
@@ -628,10 +656,10 @@ def _for_queries(name: str) -> str:
 
 
 #: Of every twentieth memory: its id, its two longest tokens, or a piece of its text.
-_LOOKUPS = """lookups AS MATERIALIZED (SELECT m.id AS query_id, CASE (m.id // 20) % 3 WHEN 0 THEN m.id::varchar WHEN 1 THEN two ELSE substr(content, 4, 14) END AS query FROM mem m LEFT JOIN (SELECT query_id, string_agg(token, ' ') AS two FROM kq GROUP BY query_id) ON query_id = m.id WHERE m.id % 20 = 0),
+_LOOKUPS = """lookups AS MATERIALIZED (SELECT m.id AS query_id, CASE (m.id // 20) % 3 WHEN 0 THEN m.id::varchar WHEN 1 THEN two ELSE regexp_replace(substr(content, 4, 14), '[^ -~]+', ' ', 'g') END AS query FROM mem m LEFT JOIN (SELECT query_id, string_agg(token, ' ') AS two FROM kq GROUP BY query_id) ON query_id = m.id WHERE m.id % 20 = 0),
   rest AS MATERIALIZED (SELECT * FROM lookups WHERE trim(query) <> '' AND coalesce(try_cast(trim(query) AS bigint), -1) NOT IN (SELECT id FROM mem)),
-  hq AS MATERIALIZED (SELECT DISTINCT query_id, unnest(string_split_regex(lower(query), '[^a-z0-9]+')) AS token FROM rest)"""
-_HITS = f", {_LOOKUPS.replace('AS token FROM rest)', 'AS token FROM rest)')}, wq AS MATERIALIZED (SELECT * FROM hq WHERE token <> ''), {_for_queries('wq')}, parts AS (SELECT query_id, m.id, row_number() OVER (PARTITION BY query_id ORDER BY m.id) AS r FROM rest JOIN mem m ON contains(lower(content), lower(query)) WHERE query_id NOT IN (SELECT query_id FROM bm)),"
+  hq AS MATERIALIZED (SELECT DISTINCT query_id, unnest(string_split_regex(lower(query), '[^a-z0-9]+')) AS token FROM rest WHERE regexp_full_match(query, '[0-9A-Za-z_ ]*'))"""
+_HITS = f", {_LOOKUPS}, wq AS MATERIALIZED (SELECT * FROM hq WHERE token <> ''), {_for_queries('wq')}, parts AS (SELECT query_id, m.id, row_number() OVER (PARTITION BY query_id ORDER BY m.id) AS r FROM rest JOIN mem m ON contains(lower(content), lower(query)) WHERE query_id NOT IN (SELECT query_id FROM bm)),"
 _HITS += " found AS MATERIALIZED (SELECT query_id, try_cast(trim(query) AS bigint) AS id, 'id' AS how FROM lookups WHERE try_cast(trim(query) AS bigint) IN (SELECT id FROM mem) UNION ALL SELECT query_id, id, 'words' FROM bm WHERE rank <= 5 UNION ALL SELECT query_id, id, 'part' FROM parts WHERE r <= 5)"
 
 
@@ -639,7 +667,7 @@ def _lookups(s, d) -> DataFrame:
     m = model.memories(s, d)
     both = m.where("id % 20 = 0").select(F.col("id").alias("query_id"), "content").join(_keyword_queries(m), "query_id", "left")
     kind = F.floor(F.col("query_id") / 20) % 3
-    return both.select("query_id", F.when(kind == 0, F.col("query_id").cast("string")).when(kind == 1, F.col("query")).otherwise(F.substring("content", 4, 14)).alias("query"))
+    return both.select("query_id", F.when(kind == 0, F.col("query_id").cast("string")).when(kind == 1, F.col("query")).otherwise(F.regexp_replace(F.substring("content", 4, 14), "[^ -~]+", " ")).alias("query"))
 
 
 @query(_HITS + " SELECT query_id, id, how FROM found", "mem kq")
