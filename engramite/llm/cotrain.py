@@ -7,7 +7,7 @@ labelled rows that neither was fitted on, nor gave labels to, and combined by th
 
 Features of every whole text are worked out once and written to the shared folder. In each round both views score all of them, and the
 ``exchange`` surest documents of each view are gathered. Fitting is done on the driver over these and about ``max_rows`` labelled documents (the
-documented bound; chosen by a hash; of a text with over ``max_kinds`` kinds of words the most frequent reach the driver). Documents of the
+documented bound; chosen by a hash): ``max_rows`` and ``exchange`` are the two bounds of what is fitted, the second for each view and round, whatever the size of the corpus. Documents of the
 labelled sample, and copies of their texts, are never given pseudo-labels. Every document is scored, from its whole text.
 
 Defined cases: a null or empty text has the features of no words; null metadata are a value of their own; without labels of
@@ -71,14 +71,12 @@ def word_buckets(text: str):
         before = words[-1:]
 
 
-def bag(text: str, max_kinds: int) -> _Bag:
-    """Buckets that occur and their counts; the most frequent ones, of equally frequent ones the first."""
+def bag(text: str) -> _Bag:
+    """Buckets that occur and their counts."""
     counts = np.zeros(BUCKETS, np.int64)
     for ids in word_buckets(text):
         counts += np.bincount(ids, minlength=BUCKETS)
     kinds = np.flatnonzero(counts)
-    if len(kinds) > max_kinds:
-        kinds = np.sort(kinds[np.lexsort((kinds, -counts[kinds]))[:max_kinds]])
     return kinds, counts[kinds]
 
 
@@ -220,7 +218,7 @@ class Model:
 
     def scores(self, texts: list[str], xm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the text view, of the metadata view and of both."""
-        return self.scores_of(Texts(np.array([shape_features(t) for t in texts]), [bag(t, BUCKETS) for t in texts]), xm)
+        return self.scores_of(Texts(np.array([shape_features(t) for t in texts]), [bag(t) for t in texts]), xm)
 
     def scores_of(self, x: Texts, xm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.text is None:
@@ -334,7 +332,7 @@ def features(documents: DataFrame) -> DataFrame:
     def make():
         def work(batch: pa.RecordBatch) -> dict:
             texts = texts_of(batch)
-            bags = [bag(t, BUCKETS) for t in texts]
+            bags = [bag(t) for t in texts]
             same = {c: batch.column(c) for c in ("doc_id", "held_out", "digest")}
             return same | {"s": _binary([shape_features(t) for t in texts], "<f8"), "m": _binary(_meta(batch), "<f8"), "k": _binary([k for k, _ in bags], "<u2"), "c": _binary([c for _, c in bags], "<u4")}
 
@@ -354,20 +352,9 @@ def _both(table: pa.RecordBatch | pa.Table) -> tuple[Texts, np.ndarray]:
     return Texts(_rows_of(s, SHAPES), bags), _rows_of(m, META_FEATURES)
 
 
-def _gather(rows: DataFrame, key: list[str], max_kinds: int) -> pa.Table:
-    """Rows of features at the driver, one of each key, by key; of words the most frequent kinds. key must bound their number."""
-
-    def make():
-        def work(batch: pa.RecordBatch) -> dict:
-            out = {c: batch.column(c) for c in [*key, "y", "digest", "s", "m"]}
-            bags = _both(batch)[0].bags
-            at = [np.sort(np.lexsort((k, -c))[:max_kinds]) for k, c in bags]
-            return out | {"k": _binary([k[i] for (k, _), i in zip(bags, at, strict=True)], "<u2"), "c": _binary([c[i] for (_, c), i in zip(bags, at, strict=True)], "<u4")}
-
-        return work
-
-    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*key, "y"]), "digest bigint, s binary, m binary, k binary, c binary"])
-    cut = map_batches(rows.select(*key, "y", "digest", "s", "m", "k", "c"), make, schema).withColumnRenamed("digest", "d")
+def _gather(rows: DataFrame, key: list[str]) -> pa.Table:
+    """Rows of features at the driver, one of each key, by key. key must bound their number."""
+    cut = rows.select(*key, "y", F.col("digest").alias("d"), "s", "m", "k", "c")
     one = cut.groupBy(*key).agg(F.min(F.struct("y", "d", "s", "m", "k", "c")).alias("r")).select(*key, "r.*")
     return one.toArrow().sort_by([(c, "ascending") for c in key])
 
@@ -390,8 +377,8 @@ class Best:
 class StoredPool:
     """All documents of a table of features but those of the labelled sample: what each view is surest of is found by tasks over the whole table."""
 
-    def __init__(self, table: DataFrame, ids: np.ndarray, digests: np.ndarray, exchange: int, sure: float, max_kinds: int):
-        self.table, self.ids, self.exchange, self.sure, self.max_kinds = table, ids, exchange, sure, max_kinds
+    def __init__(self, table: DataFrame, ids: np.ndarray, digests: np.ndarray, exchange: int, sure: float):
+        self.table, self.ids, self.exchange, self.sure = table, ids, exchange, sure
         self.gone = {"text": digests, "meta": digests}  # by the view that gave labels
 
     def candidates(self, text: TextModel, meta: Logistic, most: dict[int, int]) -> DataFrame:
@@ -436,7 +423,7 @@ class StoredPool:
         for view in ("text", "meta"):
             self.gone[view] = np.concatenate([self.gone[view], np.array([r["digest"] for r in chosen if r["view"] == view], np.int64)])
         picked = self.table.sparkSession.createDataFrame([(r["view"], r["doc_id"], r["digest"], r["label"]) for r in chosen], "view string, doc_id bigint, digest bigint, y int")
-        got = _gather(self.table.join(F.broadcast(picked), ["doc_id", "digest"]), ["view", "doc_id"], self.max_kinds)
+        got = _gather(self.table.join(F.broadcast(picked), ["doc_id", "digest"]), ["view", "doc_id"])
         by_meta, by_text = (got.filter(pa.array([v == view for v in got.column("view").to_pylist()], pa.bool_())) for view in ("meta", "text"))
         return Given(_both(by_meta)[0], by_meta.column("y").to_numpy().astype(float), _both(by_text)[1], by_text.column("y").to_numpy().astype(float))
 
@@ -450,22 +437,22 @@ def _stored(documents: DataFrame) -> DataFrame:
     return documents.sparkSession.read.schema(found.schema).parquet(path)
 
 
-def _trained(table: DataFrame, labels: DataFrame, max_rows: int, target: str, max_kinds: int, exchange: int, sure: float) -> Model:
+def _trained(table: DataFrame, labels: DataFrame, max_rows: int, target: str, exchange: int, sure: float) -> Model:
     rows = labels.where((fold(labels, 5) != 0) & labels[target].isNotNull())
     part = int(min(1.0, max_rows / max(rows.count(), 1)) * (1 << 30)) + 1
     sample = rows.where(F.pmod(F.xxhash64(rows["doc_id"].cast("string"), F.lit("sample")), F.lit(1 << 30)) < part)
     picked = sample.groupBy(sample["doc_id"].cast("bigint").alias("doc_id")).agg(F.max(sample[target].cast("int")).alias("y"))
-    got = _gather(table.join(F.broadcast(picked), "doc_id"), ["doc_id"], max_kinds)
+    got = _gather(table.join(F.broadcast(picked), "doc_id"), ["doc_id"])
     xt, xm = _both(got)
     y = (got.column("y").to_numpy() > 0).astype(float)
-    pool = StoredPool(table, got.column("doc_id").to_numpy(), got.column("d").to_numpy(), exchange, sure, max_kinds)
+    pool = StoredPool(table, got.column("doc_id").to_numpy(), got.column("d").to_numpy(), exchange, sure)
     return co_train_with(xt, xm, y, pool)
 
 
-def train(documents: DataFrame, labels: DataFrame, max_rows: int = 8000, target: str = "quality", max_kinds: int = 4096, exchange: int = 400, sure: float = 0.95) -> Model:
+def train(documents: DataFrame, labels: DataFrame, max_rows: int = 8000, target: str = "quality", exchange: int = 400, sure: float = 0.95) -> Model:
     """Learns labels only from rows whose crc32(doc_id as text) mod 5 is not 0."""
     table = _stored(documents)
-    model = _trained(table, labels, max_rows, target, max_kinds, exchange, sure)
+    model = _trained(table, labels, max_rows, target, exchange, sure)
     discard(table)
     return model
 
@@ -486,12 +473,12 @@ def _scored(table: DataFrame, model: Model) -> DataFrame:
 
 
 def classify_quality(
-    documents: DataFrame, labels: DataFrame, max_rows: int = 8000, model: Model | None = None, target: str = "quality", max_kinds: int = 4096, exchange: int = 400, sure: float = 0.95
+    documents: DataFrame, labels: DataFrame, max_rows: int = 8000, model: Model | None = None, target: str = "quality", exchange: int = 400, sure: float = 0.95
 ) -> DataFrame:
     """Scores of both views and of their combination for each document; 1 is good. Without a model one is learned, and the scores are written to the shared folder."""
     if model is not None:
         return _scored(features(documents), model)
     table = _stored(documents)
-    out = materialize(_scored(table, _trained(table, labels, max_rows, target, max_kinds, exchange, sure)), "quality")
+    out = materialize(_scored(table, _trained(table, labels, max_rows, target, exchange, sure)), "quality")
     discard(table)
     return out

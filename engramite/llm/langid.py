@@ -3,8 +3,8 @@
 A text's vector is the mean of the embeddings of its hashed subwords (letters, bigrams, trigrams and
 4-grams of its lower-cased letters, words marked by their borders). The model is trained by stochastic gradient descent in
 numpy on the driver, over about ``max_rows`` labelled documents (the documented bound of the sample): of each language its share
-of them, but ``least_rows`` of a rare one, chosen by a hash of id and text. Executors count the subwords of the whole texts; of a text with over
-``max_kinds`` kinds the most frequent ones reach the driver. A part of the sample is kept from the descent to fit a temperature and the
+of them, but ``least_rows`` of a rare one, chosen by a hash of id and text. Executors count the subwords of the whole texts; a text's
+counts, at most BUCKETS of them, reach the driver. A part of the sample is kept from the descent to fit a temperature and the
 threshold of rejection.
 
 Scoring needs one table only: embedding times softmax weights, a row of class scores for each subword. The
@@ -114,14 +114,12 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def bag(text: str, max_kinds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a whole text's subwords and how often each occurs; the most frequent ones, of equally frequent ones the first."""
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a whole text's subwords and how often each occurs."""
     counts = np.zeros(BUCKETS, np.int64)
     for ids in subwords(text):
         counts += np.bincount(ids, minlength=BUCKETS)
     kinds = np.flatnonzero(counts)
-    if len(kinds) > max_kinds:
-        kinds = np.sort(kinds[np.lexsort((kinds, -counts[kinds]))[:max_kinds]])
     return kinds, counts[kinds]
 
 
@@ -183,7 +181,7 @@ def sample_rows(labelled: DataFrame, max_rows: int, least_rows: int) -> DataFram
     return rows.join(F.broadcast(table), (rows["lang"] == table["__lang"]) & (key < table["__below"]), "left_semi").distinct()
 
 
-def train(documents: DataFrame, learn: Column, max_rows: int = 4000, least_rows: int = 100, max_kinds: int = 8192) -> Model:
+def train(documents: DataFrame, learn: Column, max_rows: int = 4000, least_rows: int = 100) -> Model:
     """learn: which rows may be learned from."""
     bound_batches(documents.sparkSession)
     lang = documents["lang"].cast("string")
@@ -191,7 +189,7 @@ def train(documents: DataFrame, learn: Column, max_rows: int = 4000, least_rows:
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            bags = [bag(t, max_kinds) for t in batch.column("text").to_pylist()]
+            bags = [bag(t) for t in batch.column("text").to_pylist()]
             return {
                 "doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "kinds": pa.array([k.astype("<u2").tobytes() for k, _ in bags], pa.binary()),
                 "counts": pa.array([c.astype("<u4").tobytes() for _, c in bags], pa.binary()),

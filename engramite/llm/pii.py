@@ -122,24 +122,23 @@ _FOLDED = {0x131: "i", 0x307: None, 0x17F: "s"}
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 # A run of number words, digits and what may stand between them; at least three words or digits in a row.
 _RUN = re.compile(
-    rf"(?<!\w)(?:(?:plus|\+)[\s-]{{0,2}})?(?:{_WORD}|[0-9]+)(?:(?:[\s,-]{{1,2}}|[\s]?\.[\s]?|\s(?:dot|point|punkt|punto)\s|\s?[()]\s?)(?:(?:double|triple)\s)?(?:{_WORD}|[0-9]+)(?!\w)){{3,}}",
+    rf"(?<!\w)(?:(?:plus|\+)[\s-]*+)?(?:{_WORD}|[0-9]+)(?:(?:[\s,-]++|\s*+\.\s*+|\s++(?:dot|point|punkt|punto)\s++|\s*+[()]\s*+)(?:(?:double|triple)\s++)?(?:{_WORD}|[0-9]+)(?!\w)){{3,}}",
     re.IGNORECASE,
 )
-_PART = re.compile(rf"(plus)[\s-]*|(double|triple)\s+|({_WORD})(?!\w)|\s(dot|point|punkt|punto)\s|([0-9]+)", re.IGNORECASE)
-_SEPARATOR = re.compile(r"[\s,-]{1,2}")
+_PART = re.compile(rf"(plus)[\s-]*|(double|triple)\s+|({_WORD})(?!\w)|\s+(dot|point|punkt|punto)\s+|([0-9]+)", re.IGNORECASE)
+_SEPARATOR = re.compile(r"[\s,-]+")
 _HAS_WORD = re.compile(rf"(?<!\w)(?:{_WORD})(?!\w)", re.IGNORECASE)
 
 _AT = r"at|arroba|arobase|klammeraffe"
 _DOT = r"dot|punto|punkt|point"
-_BRACKETED = re.compile(rf"\s{{0,3}}(?:\[\s?|\(\s?|\{{\s?|<\s?|_+|-+)(?:({_AT}|@)|({_DOT}|\.))(?:\s?\]|\s?\)|\s?\}}|\s?>|_+|-+)\s{{0,3}}", re.IGNORECASE)
-# local at label dot label (dot label)*, all in words; or with spaces about the signs. A full stop before a space ends a sentence.
+# Runs of any length begin where nothing of their kind is before them, so each is read once.
+_BRACKETED = re.compile(rf"(?<!\s)\s*+(?:[\[({{<]\s*+|(?<!_)_++|(?<!-)-++)(?:({_AT}|@)|({_DOT}|\.))(?:\s*+[\])}}>]|_++|-++)\s*+", re.IGNORECASE)
+# local (dot local)* at label dot label (dot label)*, all in words; or with spaces about the signs. A full stop before a space ends a sentence.
+# A chain of labels that no address follows is passed over as a whole.
 _LABELS = r"[A-Za-z0-9._%+-]++"
 _DOT_WORD = rf"\s+(?:{_DOT})\s+"
-_SPACED = re.compile(
-    rf"(?<![A-Za-z0-9._%+-]){_LABELS}(?:{_DOT_WORD}{_LABELS}){{0,3}}"
-    rf"(?:\s+(?:{_AT})\s+[A-Za-z0-9-]+(?:{_DOT_WORD}[A-Za-z0-9-]+)+|\s{{0,2}}@\s{{0,2}}[A-Za-z0-9-]+(?:(?:{_DOT_WORD}|\s\.\s|\.)[A-Za-z0-9-]+)+)",
-    re.IGNORECASE,
-)
+_HOST = rf"(?:\s++(?:{_AT})\s++[A-Za-z0-9-]+(?:{_DOT_WORD}[A-Za-z0-9-]+)+|\s*+@\s*+[A-Za-z0-9-]+(?:(?:{_DOT_WORD}|\s+\.\s+|\.)[A-Za-z0-9-]+)+)"
+_SPACED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_LABELS}(?:(?:{_DOT_WORD}{_LABELS})++({_HOST})?+|({_HOST}))", re.IGNORECASE)
 _SIGN = re.compile(rf"\s+(?:({_AT})|({_DOT}))\s+|\s*(@)\s*|\s*(\.)\s*", re.IGNORECASE)
 
 
@@ -230,13 +229,13 @@ def normalise(text: str) -> _Tape:
     if _SPACED_HINT.search(tape.text):
         edits = []
         for m in _SPACED.finditer(tape.text):
-            for s in _SIGN.finditer(tape.text, *m.span()):
+            for s in () if m[1] is None and m[2] is None else _SIGN.finditer(tape.text, *m.span()):
                 edits.append((s.start(), s.end(), "@" if s[1] or s[3] else "."))
         tape.rewrite(edits)
     return tape
 
 
-_BRACKET_HINT = re.compile(rf"[\[({{<_-]\s?(?:{_AT}|{_DOT}|@|\.)\s?[\])}}>_-]", re.IGNORECASE)
+_BRACKET_HINT = re.compile(rf"[\[({{<_-]\s*+(?:{_AT}|{_DOT}|@|\.)\s*+[\])}}>_-]", re.IGNORECASE)
 _SPACED_HINT = re.compile(rf"@|\s(?:{_DOT})\s", re.IGNORECASE)
 
 

@@ -234,13 +234,14 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, max_bins
 
 
 def sample(documents: DataFrame, labels: DataFrame, target: str, max_rows: int) -> DataFrame:
-    """(doc_id, text, y, half) of at most max_rows labelled documents, chosen by a hash of the id. Only the sample's ids and labels
-    are broadcast, at most 2 * max_rows rows."""
+    """(doc_id, text, y, half) of at most max_rows labelled documents, chosen by a hash of the id; an id that has
+    several labels counts once, as toxic if one of them says so. Only the sample's ids and labels are broadcast: about max_rows rows, as a hash deals them."""
     bound_batches(documents.sparkSession)
-    rows = labels.where((fold(labels, 5) != 0) & labels[target].isNotNull())
+    rows = labels.where((fold(labels, 5) != 0) & labels[target].isNotNull() & labels["doc_id"].isNotNull())
+    rows = rows.groupBy(rows["doc_id"].cast("bigint").alias("__key")).agg((F.max(target) > 0).cast("int").alias("y"))
     share = min(1.0, max_rows / max(rows.count(), 1))
-    key = F.pmod(F.xxhash64(rows["doc_id"].cast("string"), F.lit("sample")), F.lit(1 << 30))
-    picked = rows.where(key < int(share * (1 << 30)) + 1).select(rows["doc_id"].cast("bigint").alias("__key"), (rows[target] > 0).cast("int").alias("y")).limit(2 * max_rows)
+    key = F.pmod(F.xxhash64(rows["__key"].cast("string"), F.lit("sample")), F.lit(1 << 30))
+    picked = rows.where(key < int(share * (1 << 30)) + 1)
     docs = documents.select(doc_id(documents).alias("doc_id"), documents["text"])
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
     return docs.join(F.broadcast(picked), docs["doc_id"] == picked["__key"]).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y", half.alias("half"))

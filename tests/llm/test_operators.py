@@ -211,7 +211,7 @@ def test_language_scores_equal_the_whole_model():
     texts = ["der die und das ist nicht", "the of and that is not", "les des une dans pour"] * 20
     rng = random.Random(1)
     texts = [" ".join(rng.sample(t.split(), 4)) for t in texts]
-    model = langid.fit([langid.bag(t, 8192) for t in texts], ["de", "en", "fr"] * 20)
+    model = langid.fit([langid.bag(t) for t in texts], ["de", "en", "fr"] * 20)
     for t in texts[:6]:
         ids = np.concatenate(list(langid.subwords(t, 7)))
         z = np.mean([model.scores[i].astype(float) for i in ids], axis=0) + model.bias
@@ -228,8 +228,8 @@ def test_language_sample_holds_rare_languages_and_long_texts(spark):
     assert sum(r.lang == "rare" for r in got) == 5 and 100 < len(got) < 320 and len(got) == len(set(got))
     model = langid.train(rows_, langid.F.lit(True), 200, 50)
     assert model.langs == ["en", "rare"] and model.predict("zz yy zz")[0] == "rare"
-    kinds, counts = langid.bag("ab " * 100_000 + "xyz", 3)
-    assert len(kinds) == 3 and counts.min() >= 99_999
+    kinds, counts = langid.bag("ab " * 100_000 + "xyz")
+    assert len(kinds) == len({k for ids in langid.subwords("ab ab xyz") for k in ids.tolist()}) and counts.max() >= 99_999
 
 
 def test_subwords_do_not_depend_on_pieces():
@@ -640,7 +640,7 @@ def test_quality_views_teach_each_other(spark):
     data, _, _ = graded(spark, 1600)
     right, alone = [], []
     got = data.collect()
-    xt = cotrain.Texts(np.array([cotrain.shape_features(r.text) for r in got]), [cotrain.bag(r.text, 4096) for r in got])
+    xt = cotrain.Texts(np.array([cotrain.shape_features(r.text) for r in got]), [cotrain.bag(r.text) for r in got])
     xm = np.array([cotrain.meta_features(r.lang, r.source, 0) for r in got])
     y = np.array([float(any(w.startswith(("lorem", "ipsum", "dolor", "amet", "elit")) for w in r.text.split())) for r in got])
     for k in range(4):
@@ -664,7 +664,7 @@ def test_quality_pool_is_all_documents(spark, docs):
     x, xm = cotrain._both(pa.Table.from_pylist([r.asDict() for r in mine]))
     y, one = np.array([float(r.quality) for r in picked]), np.ones(len(picked))
     text, meta = cotrain.fit_text(x, y, one), cotrain.fit_logistic(xm + rng.normal(size=xm.shape) * 0.01, y, one)
-    pool = cotrain.StoredPool(table, np.array(ids), np.array([r.digest for r in mine]), exchange=60, sure=0.6, max_kinds=4096)
+    pool = cotrain.StoredPool(table, np.array(ids), np.array([r.digest for r in mine]), exchange=60, sure=0.6)
     gone = {v: {r.digest for r in mine} for v in ("text", "meta")}
     for _ in range(2):
         given = pool.give(text, meta, 0.25)
@@ -696,7 +696,7 @@ def test_quality_scores_equal_a_plain_sum():
     kinds += [((a * 0x9E3779B97F4A7C15 & mask ^ b) * 0xC2B2AE3D27D4EB4F & mask) >> 49 for a, b in zip(words, words[1:])]
     table = np.random.default_rng(1).normal(size=cotrain.BUCKETS)
     m = cotrain.TextModel(np.zeros(16), np.ones(16), np.zeros(17), table)
-    assert abs(m.over_text(text) - np.mean([table[k] for k in kinds])) < 1e-12 and abs(m.over_bag(cotrain.bag(text, 4096)) - m.over_text(text)) < 1e-12
+    assert abs(m.over_text(text) - np.mean([table[k] for k in kinds])) < 1e-12 and abs(m.over_bag(cotrain.bag(text)) - m.over_text(text)) < 1e-12
 
 
 # --- urls
