@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engramite.plans.numbers import numbered
+from engramite.plans.scratch import discard, materialize
 from engramite.plans.ship import ship_package
 
 
@@ -86,6 +87,7 @@ def trusted_up_to(verified: DataFrame, key: str, order: str) -> DataFrame:
 RECORD = ("chain", "id", "attestation_id", "query", "timestamp", "memories_retrieved", "agent_id", "session_id")
 # Keys of a record, in the order in which they are signed.
 FIELDS = ("attestation_id", "query", "timestamp", "memories_retrieved", "agent_id", "session_id", "previous_hash")
+MAX_CHAIN = 10_000
 MISMATCH, FORGED, BROKEN = "Attestation hash mismatch", "Signature verification failed", "Broken chain"
 
 
@@ -124,7 +126,7 @@ def attest(records: DataFrame, keys: Keys, last: dict[str, str] | None = None) -
 
 def verify_records(records: DataFrame, public: bytes) -> DataFrame:
     """Adds error, null for a record that is whole: its hash is that of what it says, the key signed it, and a whole record of a smaller id in
-    its chain has the hash it names; the first one names none. All records are judged in parallel, then chains by a window."""
+    the store has the hash it names, and so on to one that names none. All records are judged in parallel, then chains by walk_links."""
     ship_package(records.sparkSession)
     rows = records.select("chain", "id", *[f for f in FIELDS if f != "chain"], "signature", "hash")
 
@@ -143,13 +145,38 @@ def verify_records(records: DataFrame, public: bytes) -> DataFrame:
                 out.append(None if good else FORGED)
             yield pa.RecordBatch.from_arrays([batch.column("chain"), batch.column("id"), batch.column("hash"), batch.column("previous_hash"), pa.array(out, pa.string())], names=["chain", "id", "hash", "previous_hash", "own_error"])
 
-    judged = rows.mapInArrow(run, "chain string, id bigint, hash string, previous_hash string, own_error string")
-    before = Window.partitionBy("chain").orderBy("id")
-    names = F.lag("hash").over(before).eqNullSafe(F.when(F.col("previous_hash") != "", F.col("previous_hash")))
-    judged = judged.withColumn("own_error", F.coalesce("own_error", F.when(~names, f"{BROKEN}: previous hash is not that of the record before")))
-    earlier = F.max("own_error").over(before.rowsBetween(Window.unboundedPreceding, -1))
-    error = F.coalesce("own_error", F.when(earlier.isNotNull(), F.concat(F.lit(f"{BROKEN}: Previous link is invalid: "), earlier)))
-    return records.join(judged.withColumn("error", error).select("chain", "id", "error"), ["chain", "id"], "left")
+    judged = materialize(rows.mapInArrow(run, "chain string, id bigint, hash string, previous_hash string, own_error string"), "judged")
+    walked = walk_links(judged.select(F.struct("chain", "id").alias("key"), "id", "hash", "previous_hash", "own_error"))
+    return records.join(walked.select("key.chain", "key.id", "error"), ["chain", "id"], "left")
+
+
+def walk_links(records: DataFrame, most: int = MAX_CHAIN) -> DataFrame:
+    """records(key, id, hash, previous_hash, own_error): (key, depth, error). A record is whole if it is so itself and if the way back from it, each time to the record
+    that has the hash named, is: that record exists, has a smaller id and is whole itself. The error is the first on the way; a way of over ``most`` links is one too. depth
+    counts the links to the beginning, or to the first fault. Of several records with one hash the one of the smallest id is meant. Records that two writers put
+    behind the same one are two ways. Null and empty previous hashes begin a chain; null hashes are found by none.
+
+    All ways are walked at once: each record knows how far it has come, and jumps on by as far as the record has come where it stands, so rounds grow
+    with the logarithm of the longest chain. Ids fall along a way, so no way is a circle."""
+    named = F.col("previous_hash") != ""
+    found = records.where("hash is not null").groupBy("hash").agg(F.min_by(F.struct("key", "id", "own_error"), F.struct("id", "key")).alias("p"))
+    rows = records.join(found.withColumnRenamed("hash", "__hash"), named & (F.col("previous_hash") == F.col("__hash")), "left")
+    fault = (
+        F.when(~F.coalesce(named, F.lit(False)), None).when(F.col("p").isNull(), F.concat(F.lit(f"{BROKEN}: Previous attestation with hash "), "previous_hash", F.lit(" not found")))
+        .when(F.col("p.id") >= F.col("id"), f"{BROKEN}: Invalid sequence order").when(F.col("p.own_error").isNotNull(), F.concat(F.lit(f"{BROKEN}: Previous link is invalid: "), "p.own_error"))
+    )
+    go_on = F.col("fault").isNull() & F.coalesce(named, F.lit(False))
+    rows = rows.withColumn("fault", fault).select("key", "own_error", "fault", F.when(go_on, F.col("p.key")).alias("next"), F.when(go_on, 1).otherwise(0).cast("bigint").alias("depth"))
+    state = materialize(rows, "links")
+    while not state.where("next is not null").isEmpty():
+        there = state.select(F.col("key").alias("next"), F.col("next").alias("beyond"), F.col("fault").alias("later"), F.col("depth").alias("more"))
+        jumped = state.join(there, "next", "left").select("key", "own_error", F.coalesce("fault", "later").alias("fault"), F.col("beyond").alias("next"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        before, state = state, materialize(jumped, "links")
+        discard(before)
+    # a fault at the end of a way is one link further on
+    links = F.col("depth") + F.col("fault").isNotNull().cast("int")
+    error = F.coalesce("own_error", F.when(links > most, f"{BROKEN}: chain length exceeds maximum"), "fault")
+    return state.select("key", "depth", error.alias("error"))
 
 
 def export_report(records: DataFrame, stats: DataFrame, start: str | None, end: str | None, exported_at: str, error: str = "error") -> DataFrame:

@@ -1056,6 +1056,27 @@ def attestation_tamper_check(s, d):
     return audit.trusted_up_to(verified, "user_id", "event_id").select("event_id", "content_ok", "link_ok", "chain_ok")
 
 
+#: Each event names the one before it of its user; some name one further back, none that is there, or a later one, and some are not whole.
+_LINKED = """, base AS (SELECT event_id AS id, lag(event_id) OVER w AS p1, lag(event_id, 2) OVER w AS p2, lead(event_id) OVER w AS n1 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+  rec AS MATERIALIZED (SELECT id, CASE WHEN id % 41 = 5 THEN 'gone' WHEN id % 53 = 7 THEN 'h' || n1 WHEN id % 7 = 3 THEN 'h' || p2 ELSE 'h' || p1 END AS prev, CASE WHEN id % 61 = 11 THEN 'not whole' END AS own FROM base),
+  edge AS MATERIALIZED (SELECT r.id, r.own, p.id AS nxt, CASE WHEN r.prev IS NULL THEN NULL WHEN p.id IS NULL THEN 'Broken chain: Previous attestation with hash ' || r.prev || ' not found' WHEN p.id >= r.id THEN 'Broken chain: Invalid sequence order'
+    WHEN p.own IS NOT NULL THEN 'Broken chain: Previous link is invalid: ' || p.own END AS fault FROM rec r LEFT JOIN rec p ON r.prev = 'h' || p.id),
+  walk(id, place, depth) AS (SELECT id, id, 0 FROM edge UNION ALL SELECT w.id, e.nxt, w.depth + 1 FROM walk w JOIN edge e ON e.id = w.place WHERE e.fault IS NULL AND e.nxt IS NOT NULL),
+  last AS (SELECT id, max(depth) AS depth, arg_max(place, depth) AS place FROM walk GROUP BY id)
+  SELECT l.id, l.depth::bigint AS depth, coalesce(own.own, e.fault) AS error FROM last l JOIN edge e ON e.id = l.place JOIN edge own ON own.id = l.id"""
+
+
+@query("WITH RECURSIVE " + _LINKED[2:])
+def attestation_walk(s, d):
+    """Forks, gaps, wrong orders and records that are not whole, by the hashes that records name."""
+    by_user = Window.partitionBy("user_id").orderBy("event_id")
+    h = lambda c: F.concat(F.lit("h"), c)
+    e = F.col("event_id")
+    named = F.when(e % 41 == 5, "gone").when(e % 53 == 7, h(F.lead(e).over(by_user))).when(e % 7 == 3, h(F.lag(e, 2).over(by_user))).otherwise(h(F.lag(e).over(by_user)))
+    rows = read(s, d, "events").select(e.alias("key"), e.alias("id"), h(e).alias("hash"), named.alias("previous_hash"), F.when(e % 61 == 11, "not whole").alias("own_error"))
+    return audit.walk_links(rows).select(F.col("key").alias("id"), "depth", "error")
+
+
 def _attested(s, d) -> DataFrame:
     """A record for each query of hybrid search, one chain for each of seven agents."""
     hits = _search(s, d, namespace="all").join(model.memories(s, d).select("id", "content"), "id")
@@ -1142,6 +1163,17 @@ def stream_tail(s, d):
     return tails.table_or_none(s, f"{folder}/rows", schema)
 
 
+@query(
+    "SELECT path, min(ts)::timestamp AS changed_from, (max(ts) + INTERVAL 2 HOUR)::timestamp AS due, count(*) AS changes FROM (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, event_id) AS burst FROM"
+    " (SELECT event_id, ts, 'file-' || user_id AS path, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY path, burst"
+)
+def stream_debounce(s, d):
+    """Events as changes of a file for each user, in bursts."""
+    schema = read(s, d, "events").schema
+    stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return tails.drained(tails.debounced(stream.select(F.concat(F.lit("file-"), "user_id").alias("path"), F.col("ts").cast("timestamp").alias("ts")), "2 hours"), "complete").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("changed_from", "due")})
+
+
 @query("SELECT lower('Agent-' || user_id) AS agent_id, count(*) FILTER (event_type = 'signup') AS created, count(*) FILTER (event_type = 'purchase') AS confirmed, count(*) FILTER (event_type = 'error') AS contradicted FROM events GROUP BY 1")
 def stream_agent_counts(s, d):
     schema = read(s, d, "events").schema

@@ -122,6 +122,24 @@ def follow_transcripts(spark: SparkSession, folder: str, store: str, checkpoint:
     return sink.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def debounced(changes: DataFrame, quiet: str = "300 milliseconds", late: str | None = None) -> DataFrame:
+    """changes(path, ts): (path, changed_from, due, changes), one row for each burst of changes of a path, due when the path has been quiet for so long. late: how much
+    later than others a change may come; one that comes later still is left out, and a burst is told once no change can join it. Without it, and in a batch, all are told. Null paths and times make no burst."""
+    changes = changes.where("path is not null and ts is not null")
+    changes = changes.withWatermark("ts", late) if late is not None else changes
+    bursts = changes.groupBy(F.session_window("ts", quiet).alias("burst"), "path").agg(F.count("*").alias("changes"))
+    return bursts.select("path", F.col("burst.start").alias("changed_from"), F.col("burst.end").alias("due"), "changes")
+
+
+def on_changes(bursts: DataFrame, react: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
+    """Hands the files whose bursts ended to react, a batch at a time: one row for each path, however many of its bursts ended."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        react(df.groupBy("path").agg(F.max("due").alias("due"), F.sum("changes").alias("changes")), number)
+
+    return bursts.writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def agent_counters(events: DataFrame) -> DataFrame:
     """Counters per agent over a stream of (agent_id, action); update mode."""
     n = {a: F.count(F.when(F.col("action") == a, 1)) for a in ("created", "confirmed", "contradicted")}

@@ -3,7 +3,9 @@
 import itertools
 import json
 import random
+import re
 import subprocess
+import tracemalloc
 
 import duckdb
 import pytest
@@ -448,20 +450,48 @@ def test_consolidation_equals_the_plain_walk(spark):
         assert got == sorted(_plain_consolidation(m, hits)) and {r[2] for r in got} >= {"contradiction", "subset"}
 
 
+def _plain_diff(x, y):
+    """The whole table, read back from its end; the steps as they are told."""
+    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x)):
+        for j in range(len(y)):
+            table[i + 1][j + 1] = table[i][j] + 1 if x[i] == y[j] else max(table[i][j + 1], table[i + 1][j])
+    steps, i, j = [], len(x), len(y)
+    while i or j:
+        if i and j and x[i - 1] == y[j - 1]:
+            i, j = i - 1, j - 1
+            steps.append(("", x[i]))
+        elif not j or (i and table[i - 1][j] > table[i][j - 1]):
+            i -= 1
+            steps.append(("-", x[i]))
+        else:
+            j -= 1
+            steps.append(("+", y[j]))
+    out = ""
+    for sign, run in itertools.groupby(reversed(steps), key=lambda s: s[0]):
+        text = "".join(w for _, w in run)
+        out += f"[{sign}{text}{sign}]" if sign and text else text
+    return out
+
+
 def test_word_diff_is_a_shortest_edit():
     rng = random.Random(10)
-    for _ in range(300):
-        a, b = (" ".join(rng.choice("xyz") for _ in range(rng.randrange(0, 8))) for _ in range(2))
+    for _ in range(400):
+        a, b = (" ".join(rng.choice("xyz") for _ in range(rng.randrange(0, 14))) for _ in range(2))
         diff = curation.word_diff(a, b)
-        import re
-
         assert re.sub(r"\[-(.*?)-\]", r"\1", re.sub(r"\[\+.*?\+\]", "", diff)) == a and re.sub(r"\[\+(.*?)\+\]", r"\1", re.sub(r"\[-.*?-\]", "", diff)) == b
-        x, y = re.split(r"(\s+)", a), re.split(r"(\s+)", b)
-        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x)):
-            for j in range(len(y)):
-                table[i + 1][j + 1] = table[i][j] + 1 if x[i] == y[j] else max(table[i][j + 1], table[i + 1][j])
-        assert curation.common_lengths(x, y).tolist() == table
+        assert diff == _plain_diff(re.split(r"(\s+)", a), re.split(r"(\s+)", b))
+
+
+def test_word_diff_of_long_texts_in_little_memory():
+    rng = random.Random(11)
+    a = [rng.choice("abcdefgh") for _ in range(7_500)]
+    b = [w for w in a if rng.random() < 0.9]
+    tracemalloc.start()
+    diff = curation.word_diff(" ".join(a), " ".join(b))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and re.sub(r"\[-(.*?)-\]", r"\1", re.sub(r"\[\+.*?\+\]", "", diff)) == " ".join(a)
 
 
 def test_names_of_any_number(spark, tables):
