@@ -889,7 +889,7 @@ def redact_vendor(s, d):
 @query()
 def redact_full(s, d):
     ship_package(s)
-    return read(s, d, "documents").select("doc_id", redact_secrets(F.col("text")).alias("content"))
+    return retrieval.spread(read(s, d, "documents")).select("doc_id", redact_secrets(F.col("text")).alias("content"))
 
 
 _SUBJECT = "CASE user_id % 8 WHEN 0 THEN 'Feat: ' WHEN 1 THEN '  fix: ' WHEN 2 THEN 'docs: ' WHEN 3 THEN 'feature: ' WHEN 4 THEN 'CI:' WHEN 5 THEN 'Breaking: ' WHEN 6 THEN 'test : ' ELSE 'refactor' END || event_type"
