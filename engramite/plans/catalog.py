@@ -845,8 +845,7 @@ def extract_implicit(s, d):
 
 
 def _signal_sql() -> str:
-    explicit, implied = extraction.patterns(r"\z", r"\b")
-    return " OR ".join("regexp_matches(text, '(?i)" + p.replace("'", "''") + "')" for p in explicit + implied)
+    return " OR ".join("regexp_matches(text, '(?i)" + extraction.spelled(p, r"\z").replace("'", "''") + "')" for p, *_ in extraction.EXPLICIT + extraction.IMPLIED)
 
 
 _TOLD = "SELECT conv_id * 1000 + turn AS id, CASE WHEN turn % 2 = 0 THEN 'Remember that ' WHEN turn % 5 = 1 THEN 'Tell me ' ELSE 'We decided to use postgres and ' END || coalesce(text, '') AS text FROM conversations"
@@ -861,7 +860,7 @@ def signal_gate(s, d):
 _LINES = "CASE id % 9 WHEN 0 THEN 'import ' WHEN 1 THEN '  // ' WHEN 2 THEN 'ERROR: ' WHEN 3 THEN 'DB_HOST=' WHEN 4 THEN '2024-01-31 ' WHEN 5 THEN '    at f' ELSE '' END"
 
 
-@query(f"SELECT doc_id, line, regexp_matches(content, '^(?:{extraction.noise_pattern(chr(92) + 'z')})') AS noise FROM (SELECT id AS doc_id, i AS line, {_LINES.replace('id %', '(id + i) %')} || l[i + 1] AS content FROM (SELECT doc_id AS id, string_split(text, chr(10)) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents))")
+@query(f"SELECT doc_id, line, regexp_matches(content, '^(?:{'|'.join(extraction.spelled(p, chr(92) + 'z') for p in extraction.NOISE)})') AS noise FROM (SELECT id AS doc_id, i AS line, {_LINES.replace('id %', '(id + i) %')} || l[i + 1] AS content FROM (SELECT doc_id AS id, string_split(text, chr(10)) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents))")
 def noise_lines(s, d):
     lines = read(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content"))
     opened = F.concat(F.expr(_LINES.replace("id %", "(doc_id + line) %")), "content")

@@ -148,6 +148,21 @@ def test_values_of_keys(text, left):
         ("Don't forget to rotate the keys tomorrow.", ["Reminder: rotate the keys tomorrow"]),
         ("We decided to use postgres for the api.", ["Decision: postgres for the api"]),
         ("I prefer dark mode over light mode.", ["Preference: dark mode over light mode"]),
+        ("Remember: the staging server is flaky on Mondays", ["Note: the staging server is flaky on Mondays"]),
+        ("Note that Ann handles migrations, dont touch those files", ["Note: Ann handles migrations, dont touch those files"]),
+        ("Don't forget the certificate expires March 15", ["Reminder: the certificate expires March 15"]),
+        ("FYI the client doesnt want emojis in any answers", ["Note: the client doesnt want emojis in any answers"]),
+        ("Keep in mind that auth.js is old, leave it alone", ["Note: auth.js is old, leave it alone"]),
+        ("Heads up: the rate limit is 100 requests per minute", ["Note: the rate limit is 100 requests per minute"]),
+        ("take a notes that the build is slow. x", ["Note: the build is slow"]),
+        ("make a note – the build is slow", ["Note: the build is slow"]),
+        ("how do I use typescript", []),
+        ("what is the weather today", []),
+        ("we are using Postgres for our database", ["Stack: Using Postgres for database"]),
+        ("I prefer camelCase over snake_case for variable naming", ["Preference: camelCase over snake_case for variable naming"]),
+        ("I prefer camelCase code over snake_case", ["Preference: camelCase code over snake_case"]),
+        ("the infrastructure runs on docker. our tech stack has v1.2 of react. x", ["Stack: v1.2 of react", "Stack: the infrastructure runs on docker."]),
+        ("set the port to '5433'.", ["Config: set the port to '5433'."]),
         ("remember what?", []),
         ("hello there, how are you doing", []),
         ("```\nremember: this is inside a fence\n```", []),
@@ -158,6 +173,16 @@ def test_extraction(text, saved):
     assert [f.content for f in extraction.extract(text)] == saved
 
 
+def test_noise_is_told_by_how_lines_begin(spark):
+    noise = ["import x", "  const a", "}", " ;", "// x", "  * x", "```", "", "   ", "ERROR: x", "Info: x", "  at f (x)", "DB_HOST=1", "2024-01-31 x"]
+    told = ["important x", "constant", "a }", "an error: x", "at", " ERROR: x", " DB_HOST=1", "x 2024-01-31"]
+    rows = spark.createDataFrame([(x,) for x in [*noise, *told]], "line string")
+    got = {r.line: r.n for r in rows.select("line", extraction.noise(F.col("line")).alias("n")).collect()}
+    assert got == {x: x in noise for x in [*noise, *told]} == {x: extraction.is_noise(x) for x in [*noise, *told]}
+    texts = spark.createDataFrame([("we decided to use x",), ("hello, world",), ("fyi: x",), ("fyi: xyz abc",), (None,)], "text string")
+    assert [r.s for r in texts.select(extraction.signal(F.col("text")).alias("s")).collect()] == [True, False, False, True, False]
+
+
 def test_relationship_in_the_jvm_equals_python(spark):
     rng = random.Random(3)
     pairs = [(" ".join(rng.choice("abcdef.") for _ in range(rng.randrange(0, 12))), " ".join(rng.choice("abcdef") for _ in range(rng.randrange(0, 12)))) for _ in range(300)]
