@@ -734,36 +734,57 @@ def _questions(s, d) -> DataFrame:
     return _queries_both(m, v).select("query_id", F.coalesce("query", F.lit("")).alias("query"), "embedding")
 
 
-def _found(s, d) -> tuple[DataFrame, DataFrame]:
+def _found(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     questions = materialize(_questions(s, d), "questions")
     hits = materialize(_search(s, d, namespace="all").select("query_id", "id", "score"), "hits")
     args = model.memories(s, d), model.provenance(s, d), model.agent_events(s, d), materialize(_entities(s, d), "entities"), model.edges(s, d)
-    return questions, context.context_candidates(*args, questions, hits, NOW, "all")
+    return questions, context.context_candidates(*args, questions, hits, NOW, "all"), model.memories(s, d)
 
 
 _WALK = "".join(f", s{k + 1} AS MATERIALIZED (SELECT q, n FROM s{k} UNION SELECT s{k}.q, b FROM s{k} JOIN links ON n = a)" for k in range(6))
 
 
-@query(
+_CANDIDATES = (
     f", {_ENTITIES}, hits AS MATERIALIZED (SELECT query_id, id, score FROM ({_HYBRID.format(where='true')})), best AS (SELECT query_id, max(score) AS best FROM hits GROUP BY query_id),"
     " asked AS (SELECT query_id, string_agg(token, ' ') AS query FROM kq GROUP BY query_id),"
     " held AS MATERIALIZED (SELECT DISTINCT act.id AS m, nodes.id AS e FROM act JOIN tok USING (id) JOIN (SELECT DISTINCT t.token, n.id FROM (SELECT DISTINCT token FROM tok) t JOIN nodes n ON contains(t.token, n.name)) nodes USING (token)),"
     " told AS (SELECT DISTINCT 'entity:' || l_partkey AS a, 'memory:' || l_orderkey AS b FROM lineitem UNION SELECT 'entity:' || e, 'memory:' || m FROM held), links AS MATERIALIZED (SELECT a, b FROM told UNION SELECT b, a FROM told),"
     " s0 AS MATERIALIZED (SELECT query_id AS q, 'memory:' || id AS n FROM hits UNION SELECT query_id, 'entity:' || nodes.id FROM asked JOIN nodes ON contains(query, name))"
     + _WALK
-    + f""" SELECT query_id, act.id, source, round(base * exp(-0.01::double * greatest(0, ({NOW} - last_accessed) / 3600.0::double)) * coalesce(CASE WHEN source_type = 'agent' THEN reputation_score END, 1.0::double), 9) AS score
+    + f""", cand AS MATERIALIZED (SELECT query_id, act.id, content, source, base * exp(-0.01::double * greatest(0, ({NOW} - last_accessed) / 3600.0::double)) * coalesce(CASE WHEN source_type = 'agent' THEN reputation_score END, 1.0::double) AS score
     FROM (SELECT query_id, id, score AS base, 'search' AS source FROM hits UNION ALL
       SELECT q, r.id, coalesce(best * 0.5::double, 0.4::double), 'hop' FROM (SELECT q, substr(n, 8)::bigint AS id FROM s6 WHERE starts_with(n, 'memory:')) r LEFT JOIN best ON best.query_id = q
       WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = q AND h.id = r.id)) c
-    JOIN act ON act.id = c.id LEFT JOIN latest ON act.id = memory_id LEFT JOIN rep ON source_id = agent_id""",
-    "merged act latest rep tok kq",
+    JOIN act ON act.id = c.id LEFT JOIN latest ON act.id = memory_id LEFT JOIN rep ON source_id = agent_id)"""
 )
+
+
+@query(_CANDIDATES + " SELECT query_id, id, source, round(score, 9) AS score FROM cand", "merged act latest rep tok kq")
 def context_candidates(s, d):
     """All that may enter a context; context_scoring shows the decay of vector neighbours only, as its SQL does."""
     return _found(s, d)[1].select("query_id", "id", "source", F.round("score", 9).alias("score"))
 
 
-@query()
+#: One candidate of each query a step, in order; what was taken is carried as lists of words.
+_PACKED = f""", pool AS MATERIALIZED (SELECT query_id, id, ceil(length(content) / 4.0)::bigint + 3 AS cost, list_filter(list_distinct(string_split_regex(lower(content), '[ \t\n\r\f\v]+')), lambda x: x <> '') AS words,
+      row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM cand),
+    budgets AS MATERIALIZED (SELECT query_id, CASE WHEN intent IN ('general', 'testing') THEN {context.SMALL_BUDGET} ELSE 4000 END AS budget FROM
+      (SELECT query_id, {_families(tx.INTENTS, 'general')} AS intent FROM (SELECT query_id, coalesce(max(query), '') AS text FROM (SELECT query_id, query FROM asked UNION ALL SELECT id, NULL FROM vec WHERE id % 20 = 0) GROUP BY query_id))),
+    steps AS (SELECT query_id, budget, 0::bigint AS r, NULL::bigint AS id, 0::bigint AS cost, 0::bigint AS used, []::varchar[][] AS held FROM budgets
+      UNION ALL
+      SELECT query_id, budget, r, CASE WHEN fits THEN id END, cost, CASE WHEN fits THEN used + cost ELSE used END, CASE WHEN fits THEN list_append(held, words) ELSE held END
+      FROM (SELECT s.query_id, budget, p.r, p.id, p.cost, used, held, words, CASE WHEN used + p.cost > budget THEN false WHEN len(words) = 0 THEN true
+          ELSE NOT coalesce(list_bool_or(list_transform(held, lambda w: len(list_intersect(w, words)) > {context.TOO_ALIKE} * (len(w) + len(words) - len(list_intersect(w, words))))), false) END AS fits
+        FROM steps s JOIN pool p ON p.query_id = s.query_id AND p.r = s.r + 1))"""
+
+
+@query(
+    _CANDIDATES
+    + _PACKED
+    + """ SELECT query_id, budget, sum(cost) OVER (PARTITION BY query_id)::bigint AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY r) - 1 AS position, id FROM steps WHERE id IS NOT NULL""",
+    "merged act latest rep tok kq",
+    recursive=True,
+)
 def context_pack(s, d):
     return context.optimized_context(*_found(s, d)).select("query_id", "budget", "tokens", F.posexplode("memories").alias("position", "id"))
 

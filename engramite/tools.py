@@ -217,9 +217,9 @@ class Engine:
         asked = self.spark.createDataFrame([(0, query, intent)], "query_id bigint, query string, intent string")
         scored = self.spark.createDataFrame([(0, h["id"], h["score"]) for h in hits], "query_id bigint, id bigint, score double")
         found = materialize(context.context_candidates(t.memories, t.provenance, t.events, t.entities, t.edges, asked, scored, self.clock(), agent_id), "found")
-        row = context.optimized_context(asked, found, max_tokens).first().asDict()
+        row = context.optimized_context(asked, found, t.memories, max_tokens).first().asDict()
         if row["memories"]:
-            by = {r.id: r.asDict() for r in found.where(F.col("id").isin(row["memories"])).collect()}
+            by = {r.id: r.asDict() for r in found.join(t.memories.select("id", "content"), "id").where(F.col("id").isin(row["memories"])).collect()}
             row["attestation_id"] = self._attest(query, [by[i] for i in row["memories"]], agent_id, session_id)
         return row
 

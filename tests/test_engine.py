@@ -110,8 +110,9 @@ def test_packing_skips_and_stays_in_budget():
     for _ in range(200):
         texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 30))) for _ in range(8)]
         most = rng.randrange(5, 60)
-        taken = context.pack_order(texts, most)
-        assert sum(context.token_cost(texts[i]) for i in taken) <= most
+        packer = context.Packer()
+        taken = [i for i, t in enumerate(texts) if packer.offer(t, cost_of(t), most)]
+        assert taken == plain_pack(list(enumerate(texts)), most) and packer.used == sum(cost_of(texts[i]) for i in taken) <= most
         for i, j in itertools.combinations(taken, 2):
             a, b = set(texts[i].split()), set(texts[j].split())
             assert not a or not b or len(a & b) / len(a | b) <= context.TOO_ALIKE
@@ -321,11 +322,46 @@ def test_context_holds_hits_hops_and_reputation(spark, tables):
     assert {x for x, _ in got.values()} == {"search", "hop"} and any(r.reputation != 1 for r in m.values())
     for r in catalog.QUERIES["optimized_context"](spark, folder).collect():
         ranked = sorted((-score, i) for (q, i), (_, score) in want.items() if q == r.query_id)
-        taken = context.pack_order([m[i].content for _, i in ranked], r.budget)
-        assert r.memories == [ranked[k][1] for k in taken] and r.tokens == sum(context.token_cost(m[i].content) for i in r.memories) <= r.budget
+        assert r.memories == plain_pack([(i, m[i].content) for _, i in ranked], r.budget) and r.tokens == sum(cost_of(m[i].content) for i in r.memories) <= r.budget
         assert all(f"#{i}: {m[i].content}" in r.context for i in r.memories) and (r.memories or context.NOTHING in r.context)
 
 
+def cost_of(text):
+    return -(-len(text) // 4) + 3
+
+
+def plain_pack(ranked, most):
+    taken, used = [], 0
+    for i, text in ranked:
+        words = set(text.lower().split())
+        alike = any(words and w and len(words & w) / len(words | w) > 0.60 for _, w in taken)
+        if not alike and used + cost_of(text) <= most:
+            taken.append((i, words))
+            used += cost_of(text)
+    return [i for i, _ in taken]
+
+
+@pytest.mark.parametrize(("first", "growth"), [(1, 2), (3, 2), (128, 8)])
+def test_packing_by_rounds_equals_one_walk(spark, first, growth):
+    rng = random.Random(first)
+    texts = {i: " ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.choice([0, 1, 3, 8, 30, 90]))) for i in range(80)}
+    texts |= {90: None, 91: "a  A\ta", 92: "z" * 5000}
+    rows, want = [], {}
+    for q in range(12):
+        most = rng.choice([0, 3, 10, 60, 400, 1500])
+        some = [(rng.choice([1.0, 0.5, rng.random()]), i) for i in rng.sample(sorted(texts), rng.randrange(0, 80))]
+        rows += [(q, i, cost_of(texts[i] or ""), s, most) for s, i in some for _ in range(rng.choice([1, 1, 2]))]
+        want[q] = plain_pack([(i, texts[i] or "") for _, i in sorted((-s, i) for s, i in some)], most)
+    found = spark.createDataFrame([*rows, (0, 999, 4, 9.0, 100), (None, 1, 4, 9.0, 100)], "query_id bigint, id bigint, cost bigint, score double, budget int")
+    memories = spark.createDataFrame([*texts.items(), (None, "x")], "id bigint, content string")
+    got = {}
+    for r in sorted(context.pack_context(found, memories, first, growth).collect(), key=lambda r: (r.query_id, r.position)):
+        got.setdefault(r.query_id, []).append(r.id)
+        assert r.position == len(got[r.query_id]) and r.tokens == cost_of(texts[r.id] or "")
+    assert got == {q: t for q, t in want.items() if t} and len(got) > 5
+    assert context.pack_context(found.limit(0), memories).count() == context.pack_context(found, memories.limit(0)).count() == 0
+
+
 def test_audit_detects_changes_and_signatures(spark):
     rows = spark.createDataFrame([(i, "k", f"p{i}") for i in range(5)], "id bigint, key string, payload string")
     chained = audit.chain(rows, "key", "id", F.col("payload")).cache()
