@@ -343,7 +343,19 @@ def batch_hybrid_search(s, d):
     return _search(s, d, namespace="src3")
 
 
-@query()
+#: A memory a step: the one of the greatest margin between its score and its likeness to those chosen; no more than the limit stay as they are.
+_MMR = f""", pool AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS i, count(*) OVER (PARTITION BY query_id) AS n FROM (
+    SELECT m.query_id, m.id, round(similarity, 4) AS similarity, keyword_match, coalesce(CASE WHEN source_type = 'agent' THEN reputation_score END, 1.0::double) AS reputation, round(hybrid_score * coalesce(CASE WHEN source_type = 'agent' THEN reputation_score END, 1.0::double), 4) AS score,
+      list_filter(list_distinct(string_split_regex(lower(content), '[ \t\n\r\f\v]+')), lambda x: x <> '') AS words
+    FROM merged m JOIN act a ON m.id = a.id LEFT JOIN latest ON m.id = memory_id LEFT JOIN rep ON source_id = agent_id)),
+  picks AS (SELECT query_id, 1 AS rank, i, [i] AS chosen, [words] AS held FROM pool WHERE i = 1
+    UNION ALL SELECT query_id, rank + 1, i, list_append(chosen, i), list_append(held, words) FROM (
+      SELECT p.query_id, p.rank, c.i, chosen, held, words, row_number() OVER (PARTITION BY p.query_id ORDER BY CASE WHEN n <= 5 THEN 0 ELSE {retrieval.MMR_LAMBDA}::double * score - (1 - {retrieval.MMR_LAMBDA}::double) * list_max(list_transform(held,
+        lambda w: CASE WHEN len(w) = 0 OR len(words) = 0 THEN 0 ELSE len(list_intersect(w, words))::double / (len(w) + len(words) - len(list_intersect(w, words))) END)) END DESC, c.i) AS o
+      FROM picks p JOIN pool c ON p.query_id = c.query_id WHERE p.rank < 5 AND NOT list_contains(chosen, c.i)) WHERE o = 1)"""
+
+
+@query(_MMR + " SELECT query_id, rank, id, similarity, keyword_match, reputation, score, reputation < 0.5 AS warning FROM picks JOIN pool USING (query_id, i)", "merged act latest rep", recursive=True)
 def hybrid_search_mmr(s, d):
     return _search(s, d, namespace="all", mmr=True)
 
@@ -846,6 +858,31 @@ def grouped_prompt(s, d):
     return context.grouped_prompt(_taken(s, d)[1])
 
 
+def _prompt_sql(md: bool) -> str:
+    bullet, head, act = ("- ", "'## ' || g", "## Suggested Actions") if md else ("• ", "'[' || upper(g) || ']'", "[SUGGESTED ACTIONS]")
+    top = "'# Memory Context' || chr(10) || '> ' || n || ' memories | Updated: 6/15/2024 12:30:00 | Agent: `agent-a`'" if md else "'=== MEMORY CONTEXT ===' || chr(10) || 'Updated: 6/15/2024 12:30:00 | ' || n || ' memories | Agent: agent-a'"
+    return f"""SELECT query_id, '{'markdown' if md else 'text'}' AS style, {top} || chr(10) || chr(10) || coalesce(sections || chr(10) || chr(10), '')
+      || CASE WHEN len(actions) > 0 THEN '{act}' || chr(10) || '{bullet}' || array_to_string(actions, chr(10) || '{bullet}') || chr(10) || chr(10) ELSE '' END || '{'---' if md else '=== END MEMORY CONTEXT ==='}' AS prompt
+    FROM asking LEFT JOIN (SELECT query_id, string_agg({head} || chr(10) || items, chr(10) || chr(10) ORDER BY o) AS sections FROM
+      (SELECT query_id, o, g, string_agg('{bullet}' || content, chr(10) ORDER BY position) AS items FROM grouped GROUP BY ALL) GROUP BY query_id) USING (query_id)"""
+
+
+@query(
+    _TAKEN + _moods() + _ACTIONS
+    + """, grouped AS (SELECT *, list_extract(['Rules & Conventions', 'Architecture & Stack', 'Decisions', 'Preferences', 'Context'], o) AS g FROM (SELECT *, CASE lower(split_part(content, ':', 1)) WHEN 'rule' THEN 1 WHEN 'config' THEN 1 WHEN 'stack' THEN 2 WHEN 'architecture' THEN 2
+      WHEN 'decision' THEN 3 WHEN 'preference' THEN 4 ELSE 5 END AS o FROM taken)),
+    asking AS (SELECT query_id, actions, (SELECT count(*) FROM taken t WHERE t.query_id = actions.query_id) AS n FROM actions) """
+    + _prompt_sql(False) + " UNION ALL " + _prompt_sql(True),
+    "merged act latest rep kq vec mem",
+)
+def system_prompt(s, d):
+    """Whole prompts as text and as markdown."""
+    moods, taken = _taken(s, d)
+    moods = materialize(moods, "moods")
+    one = lambda style: context.system_prompt(moods, taken, 1718454600, style, "agent-a").withColumn("style", F.lit(style))
+    return one("text").unionByName(one("markdown")).select("query_id", "style", "prompt")
+
+
 # --- text rules
 
 

@@ -362,6 +362,18 @@ def test_packing_by_rounds_equals_one_walk(spark, first, growth):
     assert context.pack_context(found.limit(0), memories).count() == context.pack_context(found, memories.limit(0)).count() == 0
 
 
+def test_whole_prompts(spark):
+    asked = spark.createDataFrame([(1, "debugging", "critical"), (2, "general", "low")], "query_id bigint, intent string, urgency string")
+    packed = spark.createDataFrame([(1, 1, 7, "the port is 1"), (1, 2, 8, "rule: no tabs"), (1, 3, 9, None)], "query_id bigint, position int, id bigint, content string")
+    made = {style: {r.query_id: r.prompt for r in context.system_prompt(asked, packed, 1718454600, style, agent).collect()} for style, agent in (("text", None), ("markdown", "a"), ("json", "a"))}
+    acts = [context.CAUTION, context.INTENT_ACTIONS["debugging"], "Adhere to guideline: rule: no tabs..."]
+    assert made["text"][1] == "=== MEMORY CONTEXT ===\nUpdated: 6/15/2024 12:30:00 | 3 memories\n\n[RULES & CONVENTIONS]\n• rule: no tabs\n\n[CONTEXT]\n• the port is 1\n• \n\n[SUGGESTED ACTIONS]\n" + "\n".join("• " + a for a in acts) + "\n\n=== END MEMORY CONTEXT ==="
+    assert made["markdown"][2] == "# Memory Context\n> 0 memories | Updated: 6/15/2024 12:30:00 | Agent: `a`\n\n---"
+    told = json.loads(made["json"][1])
+    assert told["memories"] == [{"id": 7, "content": "the port is 1"}, {"id": 8, "content": "rule: no tabs"}, {"id": 9, "content": ""}] and told["suggested_actions"] == acts
+    assert told["generated_at"] == "2024-06-15T12:30:00.000Z" and json.loads(made["json"][2])["memories"] == [] and context.NOTHING in json.loads(made["json"][2])["context"]
+
+
 def test_audit_detects_changes_and_signatures(spark):
     rows = spark.createDataFrame([(i, "k", f"p{i}") for i in range(5)], "id bigint, key string, payload string")
     chained = audit.chain(rows, "key", "id", F.col("payload")).cache()
