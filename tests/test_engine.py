@@ -519,8 +519,22 @@ def test_consolidation_equals_the_plain_walk(spark):
         hits = {i: {i} | {j for j in range(60) if rng.random() < 0.08} for i in range(0, 60)}
         table = spark.createDataFrame([(i, *x) for i, x in m.items()] + [(None, "x", 1.0, 1.0)], "id bigint, content string, trust double, importance double")
         pairs = spark.createDataFrame([(i, j, 0.9) for i, x in hits.items() for j in x] + [(1, 999, 0.9)], "a bigint, b bigint, similarity double")
-        got = sorted(map(tuple, curation.consolidate(table, pairs).collect()))
-        assert got == sorted(_plain_consolidation(m, hits)) and {r[2] for r in got} >= {"contradiction", "subset"}
+        want = sorted(_plain_consolidation(m, hits))
+        for alone in (50_000, 20, 0):  # one walk, rounds and a walk, rounds only or components
+            assert sorted(map(tuple, curation.consolidate(table, pairs, alone).collect())) == want
+        assert {r[2] for r in want} >= {"contradiction", "subset"}
+
+
+def test_consolidation_with_a_hub_and_seeds_that_are_not_their_own_neighbours(spark):
+    """Every seed has one memory in common, so rounds close one at a time and components take over; seeds that others settle are passed over."""
+    rng = random.Random(10)
+    m = {i: (f"only {i} of its kind" if i else "hub of all", 1.0, rng.choice([0.1, 0.9])) for i in range(40)} | {i: ("copies of one text", 1.0, 0.5) for i in range(40, 60)}
+    hits = {i: {0, i} for i in range(40)} | {i: {j for j in range(40, 60) if j != i and rng.random() < 0.3} for i in range(40, 60)}
+    table = spark.createDataFrame([(i, *x) for i, x in m.items()], "id bigint, content string, trust double, importance double")
+    pairs = spark.createDataFrame([(i, j, 0.9) for i, x in hits.items() for j in x], "a bigint, b bigint, similarity double")
+    want = sorted(_plain_consolidation(m, hits))
+    assert want and all(sorted(map(tuple, curation.consolidate(table, pairs, alone).collect())) == want for alone in (50_000, 0))
+    assert curation.consolidate(table, pairs.where("false"), 0).count() == 0
 
 
 def _plain_diff(x, y):
