@@ -597,8 +597,8 @@ def add_memories(s, d):
 @query()
 def consolidate(s, d):
     ship_package(s)
-    m = _trusted(s, d)
-    return curation.consolidate(m, curation.similarity_join(_embedded(m)))
+    # archived memories take places among the nearest
+    return curation.consolidate(_trusted(s, d), curation.similarity_join(_embedded(model.memories(s, d))))
 
 
 # --- graph
