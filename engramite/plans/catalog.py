@@ -1045,7 +1045,7 @@ _LINES_IN = "SELECT conv_id * 1000 + turn AS line, CASE turn % 5 WHEN 0 THEN m.c
 
 @query(
     f""", lines AS (SELECT line, content, valid_until, coalesce(namespace, 'shared') AS namespace FROM ({_LINES_IN})), judged AS (SELECT *, CASE WHEN content IS NULL OR trim(content) = '' THEN 'error' WHEN valid_until IS NOT NULL THEN 'skipped' END AS o FROM lines)
-    SELECT line, namespace, coalesce(o, CASE WHEN EXISTS (SELECT 1 FROM act WHERE act.content = j.content AND act.namespace IN (j.namespace, 'shared')) OR EXISTS (SELECT 1 FROM judged k WHERE k.o IS NULL AND k.content = j.content AND k.namespace = j.namespace AND k.line < j.line) THEN 'skipped' ELSE 'imported' END) AS outcome FROM judged j""",
+    SELECT line, namespace, coalesce(o, CASE WHEN EXISTS (SELECT 1 FROM act WHERE act.content = j.content AND act.namespace IN (j.namespace, 'shared')) OR EXISTS (SELECT 1 FROM judged k WHERE k.o IS NULL AND k.content = j.content AND k.namespace IN (j.namespace, 'shared') AND k.line < j.line) THEN 'skipped' ELSE 'imported' END) AS outcome FROM judged j""",
     "act mem",
 )
 def import_outcomes(s, d):
