@@ -38,3 +38,22 @@ def test_matches(spark, query, ids):
     queries = spark.createDataFrame([(7, query), (8, None)], "query_id bigint, query string")
     assert {r.id for r in retrieval.keyword_and_match(texts, queries).collect()} == ids
     assert {(r.query_id, r.id) for r in retrieval.bm25(texts, queries, 10).collect()} == {(7, i) for i in ids}
+
+
+def test_a_word_that_a_query_repeats_counts_once(spark):
+    texts = spark.createDataFrame([(1, "sun sun sun moon"), (2, "sun moon moon moon"), (3, "tide")], "id bigint, content string")
+    queries = spark.createDataFrame([(1, "sun moon moon"), (2, "sun moon"), (3, "sun moon")], "query_id bigint, query string")
+    got = {}
+    for r in retrieval.bm25(texts, queries, 10).collect():
+        got.setdefault(r.query_id, {})[r.id] = (r.score, r["rank"])
+    assert got[1] == got[2] == got[3] and got[1].keys() == {1, 2}
+
+
+@pytest.mark.parametrize("block", [1, 2, 100])
+def test_blocks_of_queries(spark, block):
+    texts = spark.createDataFrame(list(TEXTS.items()), "id bigint, content string")
+    asked = ql.parsed(spark.createDataFrame([(1, "server"), (2, "rea*"), (3, "express OR vue"), (4, "server"), (5, "^the + server")], "query_id bigint, query string"))
+    got = {(r.query_id, r.id) for r in ql.matched(texts, asked, block=block).collect()}
+    assert got == {(q, i) for q, ids in {1: (1, 2, 8), 2: (3, 4), 3: (1, 2, 4, 8), 4: (1, 2, 8), 5: (2,)}.items() for i in ids}
+    rows = ql.matched(texts, asked, counts=True, block=block).collect()
+    assert sum(r.df for r in rows if r.leaf == -1) == len(TEXTS) and sum(r.doc_len for r in rows if r.leaf == -1) == 23
