@@ -1,6 +1,7 @@
 """The query language: grammar, and matches over small texts against a plain reading."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from engramite.operators import querylang as ql
 from engramite.operators import retrieval
@@ -57,3 +58,9 @@ def test_blocks_of_queries(spark, block):
     assert got == {(q, i) for q, ids in {1: (1, 2, 8), 2: (3, 4), 3: (1, 2, 4, 8), 4: (1, 2, 8), 5: (2,)}.items() for i in ids}
     rows = ql.matched(texts, asked, counts=True, block=block).collect()
     assert sum(r.df for r in rows if r.leaf == -1) == len(TEXTS) and sum(r.doc_len for r in rows if r.leaf == -1) == 23
+
+
+def test_scores_are_rounded_as_doubles(spark):
+    """0.36265 lies below the half as a double, as SQL rounds it."""
+    row = spark.range(1).select(retrieval.rounded(F.lit(0.36265), 4).alias("a"), retrieval.rounded(F.lit(0.36266), 4).alias("b"), retrieval.rounded(F.lit(0.5), 0).alias("c")).first()
+    assert (row.a, row.b, row.c) == (0.3626, 0.3627, 1.0)
