@@ -1,7 +1,7 @@
 """A streaming source for files that grow: each trigger reads the bytes that were added since the one before.
 
 An offset names, for each file, the end of its last complete line and a checksum of its first line. Files are listed and their last blocks looked at
-on the driver; what was added is read by executors, a partition for each stretch of ``split`` bytes. A last line without its end waits for a later trigger. A
+on the driver; what was added is read by executors, in stretches of at most ``split`` bytes; short ones share a partition, up to that size and ``_FILES`` of them. A last line without its end waits for a later trigger. A
 file that is shorter than before, or begins with another line, was written anew and is read from its start; one that was written anew and both begins with the same line
 and is longer counts as grown. Paths are those of pyarrow's file systems: local ones, and URIs of stores that it knows.
 
@@ -24,6 +24,7 @@ from engramite.plans.ship import ship_package
 
 SCHEMA = "file string, position bigint, line string"
 _BLOCK, _HEAD, _ROWS = 1 << 16, 4096, 1000
+_FILES = 1000  # stretches of a partition at most
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -52,9 +53,11 @@ def end_of_lines(file, size: int) -> int:
     return 0
 
 
-class Stretch(InputPartition):
-    def __init__(self, path: str, start: int, first: int, last: int):
-        self.path, self.start, self.first, self.last = path, start, first, last
+class Stretches(InputPartition):
+    """(path, where its new part starts, first, last) of each."""
+
+    def __init__(self, parts: list[tuple[str, int, int, int]]):
+        self.parts = parts
 
 
 class TailReader(DataSourceStreamReader):
@@ -78,35 +81,42 @@ class TailReader(DataSourceStreamReader):
                 continue
         return out
 
-    def partitions(self, start: dict, end: dict) -> list[Stretch]:
-        out = []
+    def partitions(self, start: dict, end: dict) -> list[Stretches]:
+        out, held, room = [], [], self.split
         for path, (last, head) in end.items():
             before, known = start.get(path, (0, head))
             first = before if known == head and before <= last else 0
-            out += [Stretch(path, first, at, min(last, at + self.split)) for at in range(first, last, self.split)]
-        return out
-
-    def read(self, part: Stretch) -> Iterator[pa.RecordBatch]:
-        """The lines that begin in the stretch."""
+            for at in range(first, last, self.split):
+                upto = min(last, at + self.split)
+                if held and (upto - at > room or len(held) == _FILES):
+                    out.append(Stretches(held))
+                    held, room = [], self.split
+                held.append((path, first, at, upto))
+                room -= upto - at
+        return [*out, Stretches(held)] if held else out
+
+    def read(self, part: Stretches) -> Iterator[pa.RecordBatch]:
+        """The lines that begin in the stretches."""
         system, _ = opened(self.top)
-        with system.open_input_file(part.path) as file:
-            at = part.first
-            if at > part.start:  # a line that began before belongs to the stretch before
-                at -= 1
-                file.seek(at)
-                at += len(_line(file))
-            file.seek(at)
-            rows: list[tuple[int, str]] = []
-            while at < part.last and (line := _line(file)):
-                if text := line.decode("utf-8", "replace").rstrip("\r\n"):
-                    rows.append((at, text))
-                at += len(line)
+        rows: list[tuple[str, int, str]] = []
+        for path, start, first, last in part.parts:
+            with system.open_input_file(path) as file:
+                at = first
+                if at > start:  # a line that began before belongs to the stretch before
+                    at -= 1
+                    file.seek(at)
+                    at += len(_line(file))
                 file.seek(at)
-                if len(rows) == _ROWS:
-                    yield _batch(part.path, rows)
-                    rows = []
-            if rows:
-                yield _batch(part.path, rows)
+                while at < last and (line := _line(file)):
+                    if text := line.decode("utf-8", "replace").rstrip("\r\n"):
+                        rows.append((path, at, text))
+                    at += len(line)
+                    file.seek(at)
+                    if len(rows) == _ROWS:
+                        yield _batch(rows)
+                        rows = []
+        if rows:
+            yield _batch(rows)
 
     def commit(self, end: dict) -> None:
         pass
@@ -123,8 +133,8 @@ def _line(file) -> bytes:
     return b"".join(parts)
 
 
-def _batch(path: str, rows: list[tuple[int, str]]) -> pa.RecordBatch:
-    columns = [pa.array([path] * len(rows)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows])]
+def _batch(rows: list[tuple[str, int, str]]) -> pa.RecordBatch:
+    columns = [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows])]
     return pa.RecordBatch.from_arrays(columns, names=["file", "position", "line"])
 
 

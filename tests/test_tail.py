@@ -105,3 +105,15 @@ def test_later_rows_go_one_by_one(spark):
             stays.append(k)
     gone = {r.id for r in tails.later_ones(rows, spark.createDataFrame(pairs, "earlier bigint, later bigint")).collect()}
     assert gone == set(range(8)) - set(stays)
+
+
+def test_many_files_share_partitions(tmp_path):
+    for k in range(2500):
+        (tmp_path / f"{k:04d}.transcript.jsonl").write_text(f"line {k}\nhalf")
+    reader = tail_source.TailReader({"path": str(tmp_path), "split": "9000"})
+    end = reader.latestOffset()
+    parts = reader.partitions({}, end)
+    assert len(parts) < 10 and all(sum(last - first for _, _, first, last in p.parts) <= 9000 for p in parts)
+    got = [(b.column("file")[i].as_py(), b.column("line")[i].as_py()) for p in parts for b in reader.read(p) for i in range(b.num_rows)]
+    assert sorted(got) == [(f"{tmp_path}/{k:04d}.transcript.jsonl", f"line {k}") for k in range(2500)]
+    assert reader.partitions(end, end) == []
