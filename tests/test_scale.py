@@ -81,6 +81,17 @@ def test_walks_of_many_queries(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_rows_of_a_walk_are_not_shuffled(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = graph.expand(spark.createDataFrame([(q, q % 5) for q in range(70)], "query_id bigint, node bigint"), spark.createDataFrame([(0, 9), (9, 1)], "a bigint, b bigint"))
+        above, generate, _ = got._jdf.queryExecution().sparkPlan().toString().partition("Generate")
+        assert generate and "Join" not in above and "Exchange" not in above
+        assert got.count() == 70 + 2 * 28
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def links(spark, rows, **options):
     schema = "key bigint, id bigint, hash string, previous_hash string, own_error string"
     return {r.key: (r.depth, r.error) for r in audit.walk_links(spark.createDataFrame(rows, schema), **options).collect()}
