@@ -7,8 +7,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from engramite.operators import audit, graph, history, store, write
+from engramite.operators import audit, context, graph, history, store, write
 from engramite.plans.numbers import numbered
+from engramite.sources import model
 from engramite.streaming import tails
 
 
@@ -92,6 +93,24 @@ def test_rows_of_a_walk_are_not_shuffled(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_candidates_of_contexts_are_not_shuffled(spark):
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    memories = make([(k, "a Kafka text", 0, 0, None, "shared") for k in range(4)] + [(9, "hidden", 0, 0, None, "own")], "id bigint, content string, created_at bigint, last_accessed bigint, valid_until bigint, namespace string")
+    provenance = make([(1, 1, "agent", "a", 0, 1.0)], model.PROVENANCE)
+    events = make([(1, "a", "contradicted", None)], "event_id bigint, agent_id string, action string, ts timestamp")
+    edges = make([("memory", 9, "entity", 5)], "source_type string, source_id bigint, target_type string, target_id bigint")
+    queries, hits = make([(20, "x"), (40, "kafka")], "query_id bigint, query string"), make([(20, 1, 0.8), (20, 9, 0.2)], "query_id bigint, id bigint, score double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = context.context_candidates(memories, provenance, events, make([(5, "Kafka")], "id bigint, name string"), edges, queries, hits, 0)
+        above, generate, _ = got._jdf.queryExecution().sparkPlan().toString().partition("Generate")
+        assert generate and "Join" not in above and "Exchange" not in above
+        want = [(20, k, "hop", 0.4) for k in (0, 2, 3)] + [(20, 1, "search", 0.4), (20, 9, "search", 0.2)] + [(40, k, "hop", 0.2 if k == 1 else 0.4) for k in range(4)]
+        assert sorted((r.query_id, r.id, r.source, round(r.score, 9)) for r in got.collect()) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def links(spark, rows, **options):
     schema = "key bigint, id bigint, hash string, previous_hash string, own_error string"
     return {r.key: (r.depth, r.error) for r in audit.walk_links(spark.createDataFrame(rows, schema), **options).collect()}
