@@ -590,6 +590,28 @@ def test_names_of_any_number(spark, tables):
     assert graph.implied_edges(texts, names.where("false")).count() == 0
 
 
+def test_many_names_are_found_by_words_without_the_driver(spark, monkeypatch):
+    rng = random.Random(5)
+    plain = ["".join(rng.choice("ab1") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    long = "".join(rng.choice("ab1") for _ in range(500))
+    told = [*plain, "A B", "b é", "é", "x\n", "x", long[60:124], long[64:129], long[100:300], long]
+    texts = [(i, "".join(rng.choice(["a", "b", "1", "A", " ", "é", "-", "x\n"]) for _ in range(60))) for i in range(60)] + [(100, f"in {long.upper()}!"), (101, long[90:310]), (102, None), (103, "")]
+    want = sorted({(i, n) for i, t in texts for n in map(str.lower, told) if t and n in t.lower()})
+    seen, inner = [], graph._finder
+    monkeypatch.setattr(graph, "_finder", lambda shared, *kind: (seen.append([n for n, _ in shared.value]), inner(shared, *kind))[1])
+    rows = spark.createDataFrame(texts, "id bigint, content string")
+    for block in (10**6, 7, 2):
+        for kind in ("string", "bigint"):
+            names = spark.createDataFrame([(n, n) if kind == "string" else (i, n) for i, n in enumerate(told)], f"id {kind}, name string")
+            seen.clear()
+            got = graph.implied_edges(rows, names, block).collect()
+            assert sorted({(m, (e if kind == "string" else told[e]).lower()) for m, e in got}) == want
+            if kind == "string":
+                assert len(got) == len(set(got))
+            if block < 100:
+                assert {n for some in seen for n in some} == {"a b", "b é", "é", "x\n", long[64:129], long[100:300], long} and all(len(some) <= block for some in seen)
+
+
 # --- the write path
 
 
