@@ -394,6 +394,21 @@ def test_every_head_is_signed_as_the_jvm_would(spark):
     assert all(r.signature == keys.sign(r.head) and keys.verify(r.head, r.signature) for r in got)
 
 
+def test_signing_is_dealt_to_all_cores_and_short(spark):
+    keys = audit.Keys(spark)
+    heads = spark.range(200).select((F.col("id") % 50).alias("user_id")).groupBy("user_id").agg(F.concat(F.lit("head "), F.min("user_id")).alias("head"))
+    signed = audit.sign_heads(heads, keys)
+    assert len({r.p for r in signed.select(F.spark_partition_id().alias("p")).collect()}) > 1
+    seed, public = keys.raw()
+    assert sum(map(len, (audit._base_table(), audit._key_table(public)))) == 64  # a byte of a scalar is one addition, not eight doublings
+    for text in (b"", b"a", bytes(range(256))):
+        made = audit.sign_with(seed, public, text)
+        assert audit.verify_with(public, text, made) and not audit.verify_with(public, text + b"x", made)
+        other = [bytes([made[0] ^ 1]) + made[1:], made[:63] + bytes([made[63] ^ 1]), made[:-1], bytes(64), (2**255 - 18).to_bytes(32, "little") + made[32:], made[:32] + (int.from_bytes(made[32:], "little") + audit._Q).to_bytes(32, "little")]
+        assert not any(audit.verify_with(public, text, x) for x in other)
+    assert not audit.verify_with((2**255 - 19).to_bytes(32, "little"), b"a", audit.sign_with(seed, public, b"a"))
+
+
 def test_signatures_of_every_user(spark, tables, tmp_path):
     import shutil
 
