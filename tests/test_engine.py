@@ -8,11 +8,13 @@ import subprocess
 import tracemalloc
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from engramite.functions import embed as emb
 from engramite.functions import text as tx
+from engramite.functions import redact
 from engramite.functions.redact import redact_pairs, redact_secrets
 from engramite.operators import audit, context, curation, extraction, graph, history, retrieval, store, write
 from engramite.plans import catalog
@@ -129,6 +131,18 @@ def test_redaction(spark):
     assert got[10] == "\ufdd0 \ufdd0. the password \ufdd0([REDACTED]\ufdd0) end"
 
 
+def test_pairs_are_read_in_little_memory(spark):
+    filler = "é" * 4_000
+    values = pa.array([f"{filler} password: abc{i}" if i % 3 else None for i in range(6_000)])
+    tracemalloc.start()
+    got = redact._pairs(values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6 and got.null_count == values.null_count and got[5_999].as_py() == f"{filler} password: [REDACTED]" and len(redact._pairs(values[:0])) == 0
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(["password: abc1", None, "", "none here"] * 50)], "i int, t string").select("i", redact_secrets(F.col("t")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in rows] == ["password: [REDACTED]", None, "", "none here"] * 50
+
+
 @pytest.mark.parametrize(
     ("text", "left"),
     [
