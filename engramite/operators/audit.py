@@ -182,28 +182,38 @@ def walk_links(records: DataFrame, most: int = MAX_CHAIN) -> DataFrame:
 
 def export_report(records: DataFrame, stats: DataFrame, start: str | None, end: str | None, exported_at: str, error: str = "error") -> DataFrame:
     """records with their verification, within a range of time, and the ledger of agents: (section, position, json, line), the parts of an
-    export as JSON and as lines of Markdown. The summary says whether every record shown is whole."""
-    shown = in_range(records, start, end)
+    export as JSON and as lines of Markdown, in their order: the summary, agents by reputation, records by id. The summary says when and for which range the export
+    was made and whether every record shown is whole; a record that is not says why in its own line."""
+    shown = _within(records, start, end)
     count = shown.agg(F.count("*").alias("total_attestations"), (F.count(F.col(error)) == 0).alias("whole"))
     state = F.when(F.col("whole"), "SECURE").otherwise("COMPROMISED")
     head = F.struct(F.lit(exported_at).alias("exported_at"), F.lit(start or "").alias("start_date"), F.lit(end or "").alias("end_date"), "total_attestations", state.alias("system_integrity"))
-    line = F.concat(F.lit("Total audit records: **"), F.col("total_attestations").cast("string"), F.lit("**, status: **"), state, F.lit("**"))
+    made = F.lit(f"Exported at: `{exported_at}`, period: `{start or ''}` to `{end or ''}`, total audit records: **")
+    line = F.concat(made, F.col("total_attestations").cast("string"), F.lit("**, status: **"), state, F.lit("**"))
     summary = count.select(F.lit("summary").alias("section"), F.lit(0).cast("bigint").alias("position"), F.to_json(head).alias("json"), line.alias("line"))
     cells = F.concat_ws(" | ", F.concat(F.lit("| `"), "agent_id", F.lit("`")), "memories_created", "memories_confirmed", "memories_contradicted", F.concat(F.lit("**"), F.format_number("reputation_score", 2), F.lit("** |")))
     ledger = numbered(stats, [F.desc("reputation_score"), F.asc("agent_id")], "position", 1).select(F.lit("agents").alias("section"), "position", F.to_json(F.struct(*stats.columns)).alias("json"), cells.alias("line"))
     items = F.concat_ws("; ", F.transform("memories_retrieved", lambda m: F.concat(F.lit("ID: `"), m["id"].cast("string"), F.lit("`, Hash: `"), m["content_hash"], F.lit("`, Score: `"), m["score"].cast("string"), F.lit("`"))))
-    told = F.concat_ws(" — ", F.concat(F.lit("### Attestation `"), "attestation_id", F.lit("`")), "timestamp", F.coalesce("agent_id", F.lit("shared")), "query", F.coalesce("previous_hash", F.lit("GENESIS")), "hash", F.when(items != "", items).otherwise("None"))
+    told = F.concat_ws(
+        " — ", F.concat(F.lit("### Attestation `"), "attestation_id", F.lit("`")), "timestamp", F.coalesce("agent_id", F.lit("shared")), "query", F.coalesce("previous_hash", F.lit("GENESIS")), "hash",
+        F.concat(F.lit("Signature: `"), F.substring("signature", 1, 32), F.lit("...`")), F.when(items != "", items).otherwise("None"), F.concat(F.lit("**"), F.col(error), F.lit("**")),
+    )
     trail = shown.select(F.lit("attestations").alias("section"), F.col("id").alias("position"), F.to_json(F.struct(*shown.columns), {"ignoreNullFields": "false"}).alias("json"), told.alias("line"))
-    return summary.unionByName(ledger).unionByName(trail)
+    place = F.array_position(F.array(F.lit("summary"), F.lit("agents"), F.lit("attestations")), F.col("section"))
+    return summary.unionByName(ledger).unionByName(trail).orderBy(place, "position")
 
 
 def in_range(records: DataFrame, start: str | None, end: str | None) -> DataFrame:
     """ISO times compared as text, both ends included, in the order of ids."""
+    return _within(records, start, end).orderBy("id")
+
+
+def _within(records: DataFrame, start: str | None, end: str | None) -> DataFrame:
     if start:
         records = records.where(F.col("timestamp") >= start)
     if end:
         records = records.where(F.col("timestamp") <= end)
-    return records.orderBy("id")
+    return records
 
 
 class Keys:
